@@ -183,9 +183,10 @@ def costs(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int)
 
 def _answer(pairs: np.ndarray, order: int):
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("chunk", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())]))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         code, grams = pd.factorize(table.column("gram").to_numpy())
         counts = np.bincount(code, weights=table.column("n").to_numpy(), minlength=len(grams))
         cost = costs(grams, counts, pairs.astype(np.float64), order)

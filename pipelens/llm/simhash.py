@@ -249,10 +249,10 @@ def links(prints: DataFrame, bits: int) -> DataFrame:
     dealt = rows.join(hot, F.col("key") == F.col("hot_key"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select("key", "p", "home", F.explode(pairs).alias("pair"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("p", pa.int64()), ("home", pa.bool_()), ("pair", pa.int32())]))
-        key, p, home, pair = (table.column(c).to_numpy() for c in table.column_names)
-        if not len(key):
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        key, p, home, pair = (x.to_numpy() for x in pa.Table.from_batches(held).columns)
         order = np.lexsort((pair, key))
         key, pair, p, home = key[order], pair[order], p[order], home[order]
         group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))))
