@@ -2,11 +2,14 @@
 
 Passages are overlapping windows of words, wide enough that any item fits in
 one. Items, ordered by the score they need, are in blocks; a block knows the
-largest contribution that each term makes to any of its items. The sum of
-those over a passage bounds all scores in the block, so only (passage, block)
-pairs whose bound reaches the lowest need of the block are scored, exactly, on
-their different terms. Every item at or above its need is retrieved, without a
-cap, and confirmed on the overlap of word shingles of question and answer.
+largest contribution that each term makes to any of its items. Terms of more
+than ``COMMON`` of the items are not essential: whatever a passage has of them,
+they add no more to an item than the item's own sum over them, which is taken
+off its need. The sum of block maxima over the essential terms of a passage
+bounds all scores in the block, so only (passage, block) pairs whose bound
+reaches the lowest need of the block are scored, exactly, on their different
+terms. Every item at or above its need is retrieved, without a cap, and
+confirmed on the overlap of word shingles of question and answer.
 
 The index is built in shards of ``SHARD`` items, each of them broadcast for one
 scan, so that what is sent has a bound whatever the benchmark's size.
@@ -30,8 +33,10 @@ K1, B = 1.2, 0.75
 RETRIEVE = 0.5
 #: Words of a shingle, and the share of an item's shingles that a document must have.
 SHINGLE, OVERLAP = 5, 0.8
-BLOCK = 16
+BLOCK = 8
 SHARD = 512
+#: Share of the items from which on a term is common.
+COMMON = 0.025
 #: What normalisation removes, besides the case of A-Z.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -66,52 +71,71 @@ class Index:
         idf = {w: np.log1p((n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
         impact = lambda w, c, size: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * size / mean))
         need = np.array([RETRIEVE * sum(impact(w, c, size) for w, c in count.items()) for count, size in zip(tf, length)])
-        order = np.argsort(need, kind="stable")
+        is_common = {w: d > max(1.0, COMMON * n) for w, d in df.items()}
+        common = np.array([sum(impact(w, c, size) for w, c in count.items() if is_common[w]) for count, size in zip(tf, length)])
+        order = np.argsort(need - common, kind="stable")
         self.items = [rows[i] for i in order]
         self.need = need[order]
-        self.term = {w: k + 1 for k, w in enumerate(df)}  # 0: no term of the index
+        # essential terms first, so that a filter reads a small part of the table; 0: no term of the index
+        self.term = {w: k + 1 for k, w in enumerate(sorted(df, key=is_common.get))}
+        n_essential = sum(not x for x in is_common.values())
+        self.essential = {w: k for w, k in self.term.items() if k <= n_essential}
         self.impact = np.zeros((len(self.term) + 1, n), dtype=np.float32)
         for at, i in enumerate(order):
             for w, c in tf[i].items():
                 self.impact[self.term[w], at] = impact(w, c, length[i])
         edges = range(0, n, BLOCK)
-        self.best = np.stack([self.impact[:, a : a + BLOCK].max(axis=1) for a in edges], axis=1) if n else np.zeros((1, 0), dtype=np.float32)
-        self.least = np.array([self.need[a : a + BLOCK].min() for a in edges])
+        self.best = [self.impact[: n_essential + 1, a : a + BLOCK].max(axis=1).astype(np.float64) for a in edges]
+        self.least = [(need - common)[order][a : a + BLOCK].min() for a in edges]
+        # windows of a block are as wide as its items ask for
+        self.step = [int(max(16, length[order][a : a + BLOCK].max())) for a in edges]
         self.question = [shingles_of(q) for _, q, _ in self.items]
         self.answer = [shingles_of(a) for _, _, a in self.items]
         # a shingle may span question and answer; the whole decides, the parts are reported
         self.whole = [shingles_of(q + a) for _, q, a in self.items]
-        self.longest = int(length.max()) if n else 0
-
-    def retrieve(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """From the term ids of a document's words: for each item at or above its need, the passages (first, end)."""
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        step = max(self.longest, 32)
-        there = np.flatnonzero(ids)
-        if not len(there):
-            return found
-        # passage p has the words from p * step to (p + 2) * step
-        last = max(1, -(-len(ids) // step) - 1)
-        sums = np.zeros((-(-len(ids) // step) + 1, self.best.shape[1]))
-        cells = there // step
-        starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-        sums[cells[starts]] = np.add.reduceat(self.best[ids[there]], starts, axis=0)
-        bound = sums[:last] + sums[1 : last + 1]
-        for p, block in zip(*np.nonzero(bound * (1 + 1e-5) >= self.least)):
-            a, b = int(p) * step, min(len(ids), (int(p) + 2) * step)
-            terms = np.unique(ids[a:b])
-            terms = terms[terms > 0]
-            lo = int(block) * BLOCK
+
+    def passages(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, block, first word, end) of every passage whose bound reaches the lowest need of a block.
+
+        Passage p of a block has the words from p to p + 2 times its step, so
+        every item lies within one.
+        """
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        starts = np.cumsum(sizes) - sizes
+        words = [w for t in texts for w in t]
+        ids = np.fromiter(map(self.essential.get, words, repeat(0)), dtype=np.int64, count=len(words))
+        at = np.flatnonzero(ids)
+        ids = ids[at]
+        text = np.searchsorted(starts, at, side="right") - 1
+        place = at - starts[text]
+        for block, (best, least, step) in enumerate(zip(self.best, self.least, self.step)):
+            gain = best[ids]
+            some = np.flatnonzero(gain) if least > 0 else slice(None)
+            # every text has one cell for each step and an empty one behind
+            n_cells = -(-sizes // step) + 1
+            first = np.cumsum(n_cells) - n_cells
+            sums = np.bincount(first[text[some]] + place[some] // step, weights=gain[some], minlength=int(n_cells.sum()) + 1)
+            cells = np.flatnonzero((sums[:-1] + sums[1:]) * (1 + 1e-5) >= least)
+            of = np.searchsorted(first, cells, side="right") - 1
+            p = cells - first[of]
+            real = p * step < sizes[of]
+            for t, k in zip(of[real].tolist(), p[real].tolist()):
+                yield t, block, k * step, min(int(sizes[t]), (k + 2) * step)
+
+    def hits(self, texts: list[list[bytes]]) -> list[list[tuple]]:
+        """For each text, (item, question overlap, answer overlap, overlap) of the items that its words hold."""
+        found: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list) for _ in texts]
+        for t, block, a, b in self.passages(texts):
+            terms = np.array([self.term.get(w, 0) for w in set(texts[t][a:b])])
+            lo = block * BLOCK
             score = self.impact[terms, lo : lo + BLOCK].sum(axis=0, dtype=np.float64)
             for j in np.flatnonzero(score * (1 + 1e-5) >= self.need[lo : lo + BLOCK]).tolist():
-                found[lo + j].append((a, b))
-        return found
+                found[t][lo + j].append((a, b))
+        return [self._confirmed(words, x) if x else [] for words, x in zip(texts, found)]
 
-    def hits(self, words: list[bytes]) -> list[tuple]:
-        """(item, question overlap, answer overlap, overlap) of the items that a document's words hold."""
-        ids = np.fromiter(map(self.term.get, words, repeat(0)), dtype=np.int64, count=len(words))
+    def _confirmed(self, words: list[bytes], found: dict[int, list[tuple[int, int]]]) -> list[tuple]:
         out = []
-        for item, spans in self.retrieve(ids).items():
+        for item, spans in sorted(found.items()):
             got: set[bytes] = set()
             best = 0.0
             size = min(SHINGLE, len(self.items[item][1]) + len(self.items[item][2]))
@@ -163,7 +187,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), texts_of(batch)) for hit in sent.value.hits(words_of(t))]
+                rows = [(i, *hit) for i, found in zip(batch.column(0).to_pylist(), sent.value.hits([words_of(t) for t in texts_of(batch)])) for hit in found]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(list(zip(*rows)) or [()] * 5, kinds)], ["doc_id", "item_id", "question_overlap", "answer_overlap", "overlap"])
 
@@ -178,7 +202,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **items) -
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, column=text):
-                yield batch.filter(pa.array([not sent.value.hits(words_of(t)) for t in texts_of(batch, text)], pa.bool_()))
+                found = sent.value.hits([words_of(t) for t in texts_of(batch, text)])
+                yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
