@@ -33,6 +33,8 @@ SEED = 42
 SAMPLE = 2_000
 #: Rows of one partition value that one group compares.
 BLOCK = 1 << 15
+#: Different texts of one proposed group that are compared in one task.
+GROUP_TEXTS = 8192
 #: Estimated costs of a probe row and of a verified pair, in seconds.
 PROBE_S, VERIFY_S = 2e-6, 3e-9
 #: Rows of the probe table that a task takes, about.
@@ -320,15 +322,74 @@ def _shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in features(text, k)], dtype=np.uint64))
 
 
-def deduplicate(docs: DataFrame, bits: int = 8, shingle: int = 0, verify: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_tree(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span what pairs of sets with that Jaccard similarity connect, by breadth-first search.
+
+    A set is compared, through the postings of its elements, with those that
+    are not reached yet. Reached sets leave the postings, so a group of near
+    copies costs little more than one comparison each.
+    """
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    element = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    own = [element[a : a + n] for a, n in zip(first, sizes)]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    n_elements = int(element.max()) + 1 if len(element) else 0
+    open_ = np.ones(len(sets), dtype=bool)
+    links: list[tuple[int, int]] = []
+
+    def postings():
+        live = open_[owner]
+        order = np.argsort(element[live], kind="stable")
+        held = owner[live][order]
+        ends = np.cumsum(np.bincount(element[live], minlength=n_elements))
+        return held, np.concatenate(([0], ends)), int(open_.sum())
+
+    held, edges, indexed = postings()
+    empty: int | None = None
+    for start in range(len(sets)):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        if not sizes[start]:  # empty sets are alike
+            if empty is not None:
+                links.append((empty, start))
+            empty = start
+            continue
+        todo = [start]
+        while todo:
+            node = todo.pop()
+            if open_.sum() * 2 < indexed:
+                held, edges, indexed = postings()
+            a, n = edges[own[node]], edges[own[node] + 1] - edges[own[node]]
+            at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            met, common = np.unique(held[at], return_counts=True)
+            near = met[open_[met] & (common >= similarity * (sizes[met] + sizes[node] - common))]
+            open_[near] = False
+            links += [(node, int(x)) for x in near]
+            todo += near.tolist()
+    return links
+
+
+def _near_texts(similarity: float):
+    def near(group: pa.Table) -> pa.Table:
+        keys = group.column("key").to_pylist()
+        found = similar_tree([np.frombuffer(x, dtype=np.uint64) for x in group.column("s").to_pylist()], similarity)
+        return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.int64()), "b": pa.array([keys[j] for _, j in found], pa.int64())})
+
+    return near
+
+
+def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near duplicates: of each group the row with the smallest id stays.
 
     Fingerprints of the texts' different words (``shingle`` 0) within ``bits``
-    propose links; a link counts if the Jaccard similarity of the two texts'
-    ``verify``-word shingles is at least ``similarity``. Different words move
-    a fingerprint far less than shingles do, which is what lets 8 bits reach
-    a shingle similarity of 0.8. Texts of one fingerprint are told apart by
-    hash first, and those that differ are verified like other links.
+    propose groups; inside them texts are linked whose sets of ``verify``-word
+    shingles have a Jaccard similarity of ``similarity`` or more. Different
+    words move a fingerprint far less than shingles do, which is what lets 9
+    bits reach a shingle similarity of 0.8. Proposed groups above
+    ``GROUP_TEXTS`` different texts are dealt in pairs of blocks. Texts are
+    identified by a 64-bit hash.
 
     A null id stays only if its group has no other; of rows repeated with
     their id one stays. Null and empty texts are one group. Column names that
@@ -338,52 +399,28 @@ def deduplicate(docs: DataFrame, bits: int = 8, shingle: int = 0, verify: int =
     marked = with_fingerprints(docs, fp, shingle, text).withColumn(key, F.xxhash64(_normal(text)))
     ids = cut(marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"), F.col(key).alias("key")))
     texts = cut(ids.groupBy("key", "fp").agg(F.min("doc_id").alias("least")))
-    first = cut(texts.groupBy("fp").agg(F.min("key").alias("key")))
-    spread = links(first.select("fp"), bits)
-    rep = first.select(F.col("fp").alias("r_fp"), F.col("key").alias("r_key"))
-    across = (
-        spread.join(rep, F.col("a") == F.col("r_fp")).select("b", F.col("r_key").alias("x"))
-        .join(rep, F.col("b") == F.col("r_fp")).select("x", F.col("r_key").alias("y"))
-    )
-    within = texts.join(rep, F.col("fp") == F.col("r_fp")).where("key <> r_key").select(F.col("key").alias("x"), F.col("r_key").alias("y"))
-    proposed = cut(across.union(within).distinct())
-    wanted = proposed.select("x").union(proposed.select("y")).distinct().join(texts.select("key", "least"), F.col("x") == F.col("key")).select("x", "least")
+    near = components(links(texts.select("fp").distinct(), bits))
+    grouped = texts.join(near, F.col("fp") == F.col("node"), "left").select("key", "least", F.coalesce("root", "fp").alias("group"))
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select(F.col("group").alias("g"), F.ceil(F.col("n") / GROUP_TEXTS).cast("int").alias("blocks"))
+    wanted = cut(grouped.join(sizes, F.col("group") == F.col("g")).select("key", "least", "group", "blocks"))
     # by key and id: of a large group of copies one row is fetched, and the others are spread
-    sources = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64(_normal("text")))
-        .join(wanted, (F.col("key") == F.col("x")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-        .dropDuplicates(["key", "doc_id"]).select("text", "key")
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("t_key", F.xxhash64(_normal("text")))
+    fetched = rows.join(wanted, (F.col("t_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["t_key", "doc_id"]).select("text", "key", "group", "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([_shingles(t, verify).tobytes() for t in texts_of(batch)], pa.binary())], ["key", "s"])
-
-    held = cut(sources.mapInArrow(sets, "key long, s binary"))
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common >= similarity * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # the right side's keys do not repeat; a text with many links is spread by the other side
-    sided = (
-        proposed.join(held.select(F.col("key").alias("x"), F.col("s").alias("xs")), "x")
-        .join(held.select(F.col("key").alias("y"), F.col("s").alias("ys")), "y")
-        .select("x", "y", "xs", "ys")
-    )
-    roots = components(sided.mapInArrow(similar, "a long, b long"))
-    classes = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "fp", "least", F.coalesce("root", "key").alias("root"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([_shingles(t, verify).tobytes() for t in texts_of(batch)], pa.binary())], ["key", "group", "blocks", "s"])
+
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
+    dealt = fetched.mapInArrow(sets, "key long, group long, blocks int, s binary").select("key", "s", "group", F.explode(pairs).alias("pair"))
+    roots = components(dealt.groupBy("group", "pair").applyInArrow(_near_texts(similarity), "a long, b long"))
+    classes = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     kept = classes.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "key")).alias("k"))
     kept = kept.select(F.col("k.key").alias("k_key"), F.col("k.least").alias("k_id"))
     kept = kept.withColumnsRenamed({c: fresh(c, [*docs.columns, fp, key]) for c in kept.columns})
     k_key, k_id = kept.columns
-    rows = docs.withColumn(key, F.xxhash64(_normal(text)))
-    stay = rows.join(kept, (F.col(key) == F.col(k_key)) & F.col(id_col).eqNullSafe(F.col(k_id)), "left_semi")
+    stay = docs.withColumn(key, F.xxhash64(_normal(text))).join(kept, (F.col(key) == F.col(k_key)) & F.col(id_col).eqNullSafe(F.col(k_id)), "left_semi")
     return stay.dropDuplicates([key, id_col]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
