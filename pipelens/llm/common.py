@@ -47,6 +47,17 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+_KEPT: dict = {}
+
+
+def kept(name: str, make):
+    """What a worker process keeps between tasks under ``name``; one thing at a time, so that operators in turn do not add up."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column as text, modulo n; a null counts as the empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")), F.lit(n))
@@ -63,7 +74,7 @@ def flat_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [w for words in each for w in words], np.fromiter(map(len, each), dtype=np.int64, count=len(each))
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces of about ``most`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:

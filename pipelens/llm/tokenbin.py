@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import shared_path, slices, texts_of
+from pipelens.llm.common import kept, shared_path, slices, texts_of
 
 MAGIC = b"PFORIDS1"
 BLOCK = 256
@@ -41,8 +42,13 @@ END_ID = 1
 FILE_IDS = 32 << 20
 #: Ids that the encoder works on at a time.
 BATCH_IDS = 1 << 20
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+#: Words whose ids a worker keeps; beyond that the last third goes, as frequent words come early.
+KEPT_WORDS = 1_500_000
+#: What parts words that are encoded together: a character of a token of its own, which words seldom have.
+PART = "\x01"
+#: Ends of the last tokens of pieces, and punctuation that makes one piece behind letters.
+WORD_END = "</w>"
+STOPS = ".,;:!?"
 
 
 # ---------------------------------------------------------------- blocks
@@ -208,8 +214,6 @@ def read_file(folder: str, name: str) -> Iterator[tuple[int | None, np.ndarray]]
 
 # ---------------------------------------------------------------- tokenizing
 
-_TOKENIZERS: dict = {}
-
 
 class WordCache:
     """Token ids of texts by the tokenizers library, each different run between ASCII spaces encoded once.
@@ -223,35 +227,78 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        alone = self._ids(PART)
+        self.part = int(alone[0]) if len(alone) == 1 else None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.of: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
-        self.start, self.size = np.zeros(KEPT_WORDS + 1, dtype=np.int64), np.zeros(KEPT_WORDS + 1, dtype=np.int64)
+        self.start, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                ids = e.ids
-                k = len(self.of)
-                if k >= len(self.start):
-                    self.start, self.size = (np.concatenate((x, np.zeros(len(x), dtype=np.int64))) for x in (self.start, self.size))
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), dtype=np.uint32)))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.start[k], self.size[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.of[word] = k
+        """Encode new words, many at a time.
+
+        Letters alone are one piece of the tokenizer, letters before
+        punctuation two, and every piece has one token that ends it; so where
+        a joined text has as many ends as that makes, the ends part its words.
+        Other words have ``PART`` between. What does not part is encoded word
+        by word.
+        """
+        words = [w.decode() for w in new]
+        kinds = [1 if w.isalpha() else 2 if w.rstrip(STOPS).isalpha() else 0 for w in words]
+        for kind in (1, 2, 0):
+            of_kind = [i for i, k in enumerate(kinds) if k == kind]
+            for a in range(0, len(of_kind), 2000):
+                at = of_kind[a : a + 2000]
+                part = [words[i] for i in at]
+                ids, size = self._parted(part, kind)
+                if size is None:
+                    each = [self._ids(w) for w in part]
+                    ids, size = np.concatenate(each), np.array([len(x) for x in each])
+                self._keep([new[i] for i in at], ids, size)
+
+    def _parted(self, words: list[str], pieces: int) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Ids of words encoded as one text and how many each has; None if the words can't be told apart."""
+        if pieces:
+            ids = self._ids(" ".join(words))
+            ends = np.flatnonzero(self.is_end[ids])
+            if len(ends) != pieces * len(words):
+                return None, None
+            return ids, np.diff(np.concatenate(([-1], ends[pieces - 1 :: pieces])))
+        if self.part is None or any(PART in w for w in words):
+            return None, None
+        ids = self._ids(f" {PART} ".join(words) + f" {PART}")
+        ends = np.flatnonzero(ids == self.part)
+        return (ids[ids != self.part], np.diff(np.concatenate(([-1], ends))) - 1) if len(ends) == len(words) else (None, None)
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        k = len(self.of)
+        while k + len(words) > len(self.start):
+            self.start, self.size = (np.concatenate((x, np.zeros(len(x), dtype=np.int64))) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), dtype=np.uint32)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k : k + len(words)] = self.used + np.cumsum(size) - size
+        self.size[k : k + len(words)] = size
+        self.used += len(ids)
+        self.of.update(zip(words, range(k, k + len(words))))
 
     def encode(self, texts: list[bytes], end: int | None) -> list[np.ndarray]:
-        if len(self.of) > KEPT_WORDS:  # what is kept has a bound; words come back as they are met
-            self.of.clear()
-            self.used = 0
+        if len(self.of) > KEPT_WORDS:
+            stay = KEPT_WORDS * 2 // 3
+            self.of = dict(islice(self.of.items(), stay))
+            self.used = int(self.start[stay])
         each = [t.split() for t in texts]
         words = [w for x in each for w in x]
-        new = [w for w in dict.fromkeys(words) if w not in self.of]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.of.__getitem__, words), dtype=np.int64, count=len(words))
+        at = np.fromiter(map(self.of.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        lacking = np.flatnonzero(at < 0).tolist()
+        if lacking:
+            self._learn(list(dict.fromkeys(words[i] for i in lacking)))
+            at[lacking] = [self.of[words[i]] for i in lacking]
         size, start = self.size[at], self.start[at]
         before = np.cumsum(size) - size
         ids = self.flat[np.arange(int(size.sum())) + np.repeat(start - before, size)] if len(at) else np.zeros(0, dtype=np.uint32)
@@ -261,16 +308,10 @@ class WordCache:
         return [np.concatenate((ids[a:b], tail)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def _cache(path: str) -> WordCache:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordCache(path)
-    return _TOKENIZERS[path]
-
-
 def _writer(tokenizer: str, folder: str, end: int | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, now = TaskContext.get().partitionId(), 0, None
-        cache, done = _cache(tokenizer), []
+        cache, done = kept(f"words {tokenizer}", lambda: WordCache(tokenizer)), []
         for batch in slices(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), cache.encode(texts_of(batch), end)):
                 if now is None:
