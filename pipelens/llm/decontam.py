@@ -124,29 +124,26 @@ class Index:
 
     def hits(self, texts: list[list[bytes]]) -> list[list[tuple]]:
         """For each text, (item, question overlap, answer overlap, overlap) of the items that its words hold."""
-        found: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list) for _ in texts]
+        found: list[set[int]] = [set() for _ in texts]
         for t, block, a, b in self.passages(texts):
             terms = np.array([self.term.get(w, 0) for w in set(texts[t][a:b])])
             lo = block * BLOCK
             score = self.impact[terms, lo : lo + BLOCK].sum(axis=0, dtype=np.float64)
             for j in np.flatnonzero(score * (1 + 1e-5) >= self.need[lo : lo + BLOCK]).tolist():
-                found[t][lo + j].append((a, b))
+                found[t].add(lo + j)
         return [self._confirmed(words, x) if x else [] for words, x in zip(texts, found)]
 
-    def _confirmed(self, words: list[bytes], found: dict[int, list[tuple[int, int]]]) -> list[tuple]:
-        out = []
-        for item, spans in sorted(found.items()):
-            got: set[bytes] = set()
-            best = 0.0
+    def _confirmed(self, words: list[bytes], found: set[int]) -> list[tuple]:
+        """Of retrieved items those whose shingles, question and answer together, the text has to ``OVERLAP``."""
+        out, have = [], {}
+        for item in sorted(found):
             size = min(SHINGLE, len(self.items[item][1]) + len(self.items[item][2]))
-            for a, b in spans:
-                passage = shingles_of(words[a:b], size)
-                best = max(best, len(self.whole[item] & passage) / len(self.whole[item]))
-                got |= passage
-            if best >= OVERLAP:
-                q, an = self.question[item], self.answer[item]
-                share = lambda part: (len(part & got) / len(part)) if part else 1.0
-                out.append((self.items[item][0], share(q), share(an), best))
+            if size not in have:
+                have[size] = shingles_of(words, size)
+            share = lambda part: (len(part & have[size]) / len(part)) if part else 1.0
+            overlap = share(self.whole[item])
+            if overlap >= OVERLAP:
+                out.append((self.items[item][0], share(self.question[item]), share(self.answer[item]), overlap))
         return out
 
 

@@ -11,6 +11,7 @@ list of (bucket, weight), bounded by ``BUCKETS``, that every task gets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import crc_mod, slices, texts_of
+from pipelens.llm.common import crc_mod, kept, slices, texts_of
 
 #: Hashed weights; index 0 is the bias.
 BUCKETS = 1 << 20
@@ -27,17 +28,16 @@ STEMS = (4, 5)
 #: Most labelled documents that the model is fitted on, those of the smallest hash of their id.
 TRAIN_ROWS = 12_000
 #: FTRL-proximal: learning rate, smoothing, L1 and L2.
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 1.0
-EPOCHS = 2
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 1.0
+EPOCHS = 6
+#: How much a toxic example counts against a clean one, of which there are many more.
+POSITIVE = 4.0
 THRESHOLD = 0.7
 #: Words whose hash a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 #: Odd multipliers that tell the kinds of features apart.
 PAIR, SKIP, STEM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
-_HASHES: dict[bytes, int] = {}
-_STEM_HASHES: dict[bytes, tuple[int, ...]] = {}
-
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     """Buckets 1 to BUCKETS - 1 of mixed hashes."""
@@ -45,21 +45,38 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(24)) % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
 
 
+class Words:
+    """Hashes of words and their stems, computed once for each word that a worker meets."""
+
+    def __init__(self):
+        self.at: dict[bytes, int] = {}
+        self.whole, self.stems = np.zeros(1024, dtype=np.uint64), np.zeros((1024, len(STEMS)), dtype=np.uint64)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Where the words' hashes are."""
+        if len(self.at) > KEPT_WORDS:
+            self.at.clear()
+        found = np.fromiter(map(self.at.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        lacking = np.flatnonzero(found < 0).tolist()
+        for w in dict.fromkeys(words[i] for i in lacking):
+            k = len(self.at)
+            if k == len(self.whole):
+                self.whole, self.stems = np.concatenate((self.whole, np.zeros_like(self.whole))), np.concatenate((self.stems, np.zeros_like(self.stems)))
+            self.at[w] = k
+            self.whole[k] = xxhash.xxh64_intdigest(w)
+            chars = w.decode("utf-8", "replace")
+            for j, n in enumerate(STEMS):
+                self.stems[k, j] = xxhash.xxh64_intdigest(chars[:n], n) if len(chars) > n else 0
+        found[lacking] = [self.at[words[i]] for i in lacking]
+        return found
+
+
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts, stem hashes (one column for each length, 0: none) and words of each text."""
-    if len(_HASHES) > KEPT_WORDS:
-        _HASHES.clear()
-        _STEM_HASHES.clear()
+    cache = kept("toxicity", Words)
     each = [t.lower().translate(None, b".,;:!?\"'()[]{}*#&%$|<>-_").split() for t in texts]
-    words = [w for x in each for w in x]
-    for w in set(words).difference(_HASHES):
-        _HASHES[w] = xxhash.xxh64_intdigest(w)
-        chars = w.decode("utf-8", "replace")
-        _STEM_HASHES[w] = tuple(xxhash.xxh64_intdigest(chars[:k], k) if len(chars) > k else 0 for k in STEMS)
-    n = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-    whole = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-    stems = np.array([_STEM_HASHES[w] for w in words], dtype=np.uint64).reshape(-1, len(STEMS))
-    return whole, stems, n
+    at = cache.of([w for x in each for w in x])
+    return cache.whole[at], cache.stems[at], np.fromiter(map(len, each), dtype=np.int64, count=len(each))
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +103,7 @@ def ftrl(examples: Iterator[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarra
         root = np.sqrt(ni)
         w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + root) / ALPHA + L2))
         p = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35)))
-        g = p - label
+        g = (p - label) * (POSITIVE if label else 1.0)
         step = (np.sqrt(ni + g * g) - root) / ALPHA
         z[at] = zi + g - step * w
         n[at] = ni + g * g
@@ -99,8 +116,8 @@ def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     examples: list[tuple[np.ndarray, int]] = []
     rows = sorted(((o, y, t or b"") for b in batches for o, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()).to_pylist())))
-    for a in range(0, len(rows), 500):
-        part = rows[a : a + 500]
+    for a in range(0, len(rows), 100):
+        part = rows[a : a + 100]
         doc, bucket = features([t for _, _, t in part])
         order = np.argsort(doc, kind="stable")
         edges = np.searchsorted(doc[order], np.arange(len(part) + 1))
