@@ -39,7 +39,9 @@ SYMBOLS = 257
 END = 256
 BITS = 9
 #: Bytes of text in a chunk, about.
-CHUNK = 24 << 20
+CHUNK = 16 << 20
+#: Bytes of text whose n-grams are in memory at a time, about.
+PIECE = 1 << 20
 
 
 # ---------------------------------------------------------------- packing
@@ -52,10 +54,11 @@ def _pack(order: int):
 
         def chunk():
             ids, train, texts = zip(*held)
-            words = [t.lower().split() for t in texts]
-            joined = [b" ".join(w) for w in words]
-            grams, of = grams_of(joined, 1)
-            pairs = np.bincount((grams >> BITS) * SYMBOLS + (grams & (2**BITS - 1)), weights=np.asarray(train)[of], minlength=SYMBOLS * SYMBOLS)
+            joined = [b" ".join(t.lower().split()) for t in texts]
+            pairs = np.zeros(SYMBOLS * SYMBOLS)
+            for a, b in pieces(joined):
+                grams, of = grams_of(joined[a:b], 1)
+                pairs += np.bincount((grams >> BITS) * SYMBOLS + (grams & (2**BITS - 1)), weights=np.asarray(train[a:b])[of], minlength=SYMBOLS * SYMBOLS)
             some = np.flatnonzero(pairs)
             blob = zstandard.compress(pickle.dumps((ids, train, joined), protocol=5), 1)
             counts = pickle.dumps((some.astype(np.int32), pairs[some].astype(np.int64)))
@@ -79,6 +82,18 @@ def _unpack(blob: bytes) -> tuple[tuple, tuple, tuple]:
     return pickle.loads(zstandard.decompress(blob))
 
 
+def pieces(joined: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``PIECE`` bytes together, one text at least."""
+    start = size = 0
+    for i, text in enumerate(joined):
+        size += len(text) + 1
+        if size >= PIECE:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(joined):
+        yield start, len(joined)
+
+
 def grams_of(joined: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """All (order + 1)-grams, one for each byte and end of each text, and the text each is of. Before a text are ends."""
     sizes = np.fromiter(map(len, joined), dtype=np.int64, count=len(joined))
@@ -119,9 +134,14 @@ def _chunk_grams(order: int):
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 _, train, joined = _unpack(blob)
-                grams, of = grams_of(joined, order)
-                code, found = pd.factorize(grams)
-                n = np.bincount(code, weights=np.asarray(train)[of], minlength=len(found)).astype(np.int64)
+                found, n = np.zeros(0, dtype=np.int64), np.zeros(0)
+                for a, b in pieces(joined):
+                    grams, of = grams_of(joined[a:b], order)
+                    code, some = pd.factorize(grams)
+                    more = np.bincount(code, weights=np.asarray(train[a:b])[of], minlength=len(some))
+                    code, both = pd.factorize(np.concatenate((found, some)))
+                    found, n = both, np.bincount(code, weights=np.concatenate((n, more)), minlength=len(both))
+                n = n.astype(np.int64)
                 yield from pa.Table.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found), pa.array(n)], ["chunk", "gram", "n"]).to_batches(65536)
 
     return ask
@@ -212,8 +232,8 @@ def _score(order: int):
         cost = gram.column("cost").to_numpy()
         for blob in asked.column("blob").to_pylist():
             ids, train, joined = _unpack(blob)
-            for at in range(0, len(ids), 256):
-                part = joined[at : at + 256]
+            for a, b in pieces(joined):
+                part = joined[a:b]
                 grams, of = grams_of(part, order)
                 columns[5].extend(np.bincount(of, weights=cost[names.get_indexer(grams)], minlength=len(part)).tolist())
                 for text in part:
