@@ -260,7 +260,7 @@ def merkle_digest(spark, sf_dir):
     return maps.select("l_orderkey", hashing.merkle_digest(F.col("m")).alias("digest"))
 
 
-def _fingerprints(spark, sf_dir, command=F.col("o_orderpriority")):
+def _fingerprints(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
     files = lines.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("f"), "l_linenumber"), F.sha2(F.col("p").cast("string").cast("binary"), 256)))).alias("files"))
     o = table(spark, sf_dir, "orders").join(files, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -268,7 +268,7 @@ def _fingerprints(spark, sf_dir, command=F.col("o_orderpriority")):
     return o.select(
         "o_orderkey",
         hashing.task_fingerprint(
-            F.concat(F.lit("order-"), "o_orderkey"), command, F.lit(""), F.lit(""), F.col("o_orderstatus") == "F", F.coalesce("files", none),
+            F.concat(F.lit("order-"), "o_orderkey"), F.col("o_orderpriority"), F.lit(""), F.lit(""), F.col("o_orderstatus") == "F", F.coalesce("files", none),
             F.create_map(F.lit("CUST"), F.col("o_custkey").cast("string")), none, F.array(F.lit("out/**")),
         ).alias("fingerprint"),
     )
