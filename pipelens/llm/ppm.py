@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from pipelens.llm.common import crc_mod, cut, slices
 
 #: Symbols before the coded one that the longest contexts have.
-ORDER = 4
+ORDER = 5
 SYMBOLS = 257
 END = 256
 BITS = 9
 #: Bytes of text in a chunk, about.
-CHUNK = 16 << 20
+CHUNK = 24 << 20
 #: Bytes of text whose n-grams are in memory at a time, about.
 PIECE = 1 << 20
 
@@ -60,7 +60,7 @@ def _pack(order: int):
                 grams, of = grams_of(joined[a:b], 1)
                 pairs += np.bincount((grams >> BITS) * SYMBOLS + (grams & (2**BITS - 1)), weights=np.asarray(train[a:b])[of], minlength=SYMBOLS * SYMBOLS)
             some = np.flatnonzero(pairs)
-            blob = zstandard.compress(pickle.dumps((ids, train, joined), protocol=5), 1)
+            blob = zstandard.compress(pickle.dumps((ids, train, joined), protocol=5), 6)
             counts = pickle.dumps((some.astype(np.int32), pairs[some].astype(np.int64)))
             return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([blob], pa.binary()), pa.array([counts], pa.binary())], ["chunk", "blob", "pairs"])
 
@@ -123,9 +123,8 @@ def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen, counts = set(), Counter()
             for learns, text in zip(train, joined):
                 (counts if learns else seen).update(text.split(b" ") if text else ())
-            words = [*counts, *(seen - counts.keys())]
-            n = np.zeros(len(words), dtype=np.int32)
-            n[: len(counts)] = np.fromiter(counts.values(), dtype=np.int32, count=len(counts))
+            words = sorted(seen | counts.keys())  # neighbours share their beginnings, which shuffles well
+            n = np.fromiter(map(counts.__getitem__, words), dtype=np.int32, count=len(words))
             yield from pa.Table.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(words, pa.binary()), pa.array(n)], ["chunk", "word", "n"]).to_batches(65536)
 
 
@@ -141,7 +140,8 @@ def _chunk_grams(order: int):
                     more = np.bincount(code, weights=np.asarray(train[a:b])[of], minlength=len(some))
                     code, both = pd.factorize(np.concatenate((found, some)))
                     found, n = both, np.bincount(code, weights=np.concatenate((n, more)), minlength=len(both))
-                n = n.astype(np.int64)
+                order_ = np.argsort(found)
+                found, n = found[order_], n[order_].astype(np.int64)
                 yield from pa.Table.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found), pa.array(n)], ["chunk", "gram", "n"]).to_batches(65536)
 
     return ask
@@ -226,10 +226,12 @@ def _score(order: int):
         columns: list[list] = [[] for _ in range(8)]
         word = answers.filter(pc.is_valid(answers.column("word")))
         gram = answers.filter(pc.is_valid(answers.column("gram")))
-        count_of = dict(zip(word.column("word").to_pylist(), word.column("c").to_numpy().tolist()))
-        v_part, n_part = int(word.column("first").to_numpy().sum()), int(word.column("n").to_numpy().sum())
+        c = word.column("c").to_numpy()
+        v_part = int((c < 0).sum())
+        count_of = dict(zip(word.column("word").to_pylist(), np.abs(c).tolist()))
         names = pd.Index(gram.column("gram").to_numpy())
         cost = gram.column("cost").to_numpy()
+        n_part = 0
         for blob in asked.column("blob").to_pylist():
             ids, train, joined = _unpack(blob)
             for a, b in pieces(joined):
@@ -242,6 +244,7 @@ def _score(order: int):
                     columns[2].append(len(words))
                     columns[3].append(int((c > 0).sum()))
                     columns[4].append(float(np.log10(c + 1.0).sum()))
+            n_part += sum(n for n, learns in zip(columns[2][len(columns[0]) :], train) if learns)
             columns[0].extend(ids)
             columns[1].extend(not x for x in train)
         rest = len(columns[0])
@@ -287,10 +290,10 @@ def score(docs: DataFrame, held_mod: int = 7, held_is: int = 2, order: int = ORD
     packed = cut(chosen.mapInArrow(_pack(order), "chunk long, blob binary, pairs binary"))
     pairs = pair_counts(packed)
     same = Window.partitionBy("word").orderBy("chunk")
-    words = (
-        packed.select("chunk", "blob").mapInArrow(_chunk_words, "chunk long, word binary, n int")
-        .withColumn("c", F.sum("n").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("first", ((F.row_number().over(same) == 1) & (F.col("c") > 0)).cast("int"))
+    total = F.sum("n").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # of the chunks that have a word, the first gets its count negated: those are as many as there are words
+    words = packed.select("chunk", "blob").mapInArrow(_chunk_words, "chunk long, word binary, n int").select(
+        "chunk", "word", F.when(F.row_number().over(same) == 1, -total).otherwise(total).alias("c")
     )
     grams = (
         packed.select("chunk", "blob").mapInArrow(_chunk_grams(order), "chunk long, gram long, n long")
@@ -298,19 +301,17 @@ def score(docs: DataFrame, held_mod: int = 7, held_is: int = 2, order: int = ORD
         .mapInArrow(_answer(pairs, order), "chunk long, gram long, cost double")
     )
     none = lambda kind: F.lit(None).cast(kind)
-    answers = words.select("chunk", "word", "n", "c", "first", none("long").alias("gram"), none("double").alias("cost")).union(
-        grams.select("chunk", none("binary"), F.lit(0), F.lit(0).cast("long"), F.lit(0), "gram", "cost")
-    )
+    answers = words.select("chunk", "word", "c", none("long").alias("gram"), none("double").alias("cost")).union(grams.select("chunk", none("binary"), none("long"), "gram", "cost"))
     scored = cut(packed.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order), RESULT))
     known = scored.agg(F.coalesce(F.sum("v_part"), F.lit(0)), F.coalesce(F.sum("n_part"), F.lit(0)), F.count(F.when(~F.col("held_out"), 1))).first()
     # the end token: once in every training document
     n, v, ends = known[1] + known[2], known[0] + (known[2] > 0), known[2]
-    total = math.log10(n + v + 1)
+    scale = math.log10(n + v + 1)
     return scored.select(
         "doc_id", "held_out",
         (F.col("n_tokens") + 1).alias("n_tokens"),
         (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("known_log") + F.lit(math.log10(ends + 1)) - (F.col("n_tokens") + 1) * F.lit(total)).alias("base_score"),
+        (F.col("known_log") + F.lit(math.log10(ends + 1)) - (F.col("n_tokens") + 1) * F.lit(scale)).alias("base_score"),
         "score",
     )

@@ -51,7 +51,7 @@ class Trie:
         return sum(math.log10(self.probability(s[i - self.order : i], s[i])) for i in range(self.order, len(s)))
 
 
-def brute(rows, order=4, mod=7, held=2):
+def brute(rows, order=5, mod=7, held=2):
     train = [t for i, t in rows if zlib.crc32(str(i).encode() if i is not None else b"") % mod != held]
     trie = Trie(order)
     for t in train:
