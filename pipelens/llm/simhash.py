@@ -36,7 +36,7 @@ BLOCK = 1 << 15
 #: Different texts of one proposed group that are compared in one task.
 GROUP_TEXTS = 8192
 #: Estimated costs of a probe row and of a verified pair, in seconds.
-PROBE_S, VERIFY_S = 2e-6, 3e-9
+PROBE_S, VERIFY_S = 1e-5, 3e-9
 #: Rows of the probe table that a task takes, about.
 TASK_ROWS = 1 << 20
 
