@@ -117,6 +117,9 @@ def _longest(nodes: DataFrame, edges: DataFrame, weight: str | None, most_rounds
         reached = reached.union(frontier)
         if r % 16 == 0:
             reached = cut(reached.groupBy("node").agg(F.max("v").alias("v")))
+        # a cycle behind a start would go round for ever; a deep graph is looked through for one once
+        if r == 16 and not cycle_members(steps).isEmpty():
+            raise ValueError("the graph has a cycle")
     raise ValueError(f"the graph has a cycle or is deeper than {most_rounds}")
 
 
