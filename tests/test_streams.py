@@ -34,7 +34,7 @@ def test_watch_loses_nothing(spark, tmp_path):
     seen: list = []
     handle = streams.watch(None, lambda changes, epoch: seen.append(sorted((r.path, r.change) for r in changes.collect())), spark.createDataFrame([], schema))
     for n, rows in enumerate(snapshots):
-        handle(spark.createDataFrame([(p, pd.Timestamp(t, unit="s"), s) for p, t, s in rows], schema), n)
+        handle(spark.createDataFrame([(p, pd.Timestamp(t, unit="s").to_pydatetime(), s) for p, t, s in rows], schema), n)
     assert seen == [[("a", "new"), ("b", "new")], [("a", "changed"), ("c", "new")], [("a", "changed"), ("b", "deleted")]]
 
 
@@ -64,7 +64,7 @@ def replay(times, rate, burst):
 
 def test_token_bucket(spark, tmp_path):
     times = [0, 0, 0, 0.05, 0.5, 0.5, 3.0, 3.0, 3.0]
-    rows = [("k", i, pd.Timestamp(t, unit="s")) for i, t in enumerate(times)]
+    rows = [("k", i, pd.Timestamp(t, unit="s").to_pydatetime()) for i, t in enumerate(times)]
     df = spark.createDataFrame(rows, "key string, id long, ts timestamp")
     got = [r.wait_ms for r in streams.token_bucket(df, 4.0, 2.0).orderBy("id").collect()]
     assert got == pytest.approx(replay(times, 4.0, 2.0), abs=0.01)
