@@ -89,10 +89,6 @@ class Index:
         self.least = [(need - common)[order][a : a + BLOCK].min() for a in edges]
         # windows of a block are as wide as its items ask for
         self.step = [int(max(16, length[order][a : a + BLOCK].max())) for a in edges]
-        self.question = [shingles_of(q) for _, q, _ in self.items]
-        self.answer = [shingles_of(a) for _, _, a in self.items]
-        # a shingle may span question and answer; the whole decides, the parts are reported
-        self.whole = [shingles_of(q + a) for _, q, a in self.items]
 
     def passages(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, int]]:
         """(text, block, first word, end) of every passage whose bound reaches the lowest need of a block.
@@ -136,14 +132,22 @@ class Index:
     def _confirmed(self, words: list[bytes], found: set[int]) -> list[tuple]:
         """Of retrieved items those whose shingles, question and answer together, the text has to ``OVERLAP``."""
         out, have = [], {}
-        for item in sorted(found):
-            size = min(SHINGLE, len(self.items[item][1]) + len(self.items[item][2]))
+
+        def share(part: list[bytes]) -> float:
+            """Of the shingles of a part, those that the text has; parts of fewer words are one shingle. 1 for no words."""
+            size = min(SHINGLE, len(part))
+            if not size:
+                return 1.0
             if size not in have:
                 have[size] = shingles_of(words, size)
-            share = lambda part: (len(part & have[size]) / len(part)) if part else 1.0
-            overlap = share(self.whole[item])
+            wanted = shingles_of(part)
+            return len(wanted & have[size]) / len(wanted)
+
+        for item in sorted(found):
+            i, q, a = self.items[item]
+            overlap = share(q + a)
             if overlap >= OVERLAP:
-                out.append((self.items[item][0], share(self.question[item]), share(self.answer[item]), overlap))
+                out.append((i, share(q), share(a), overlap))
         return out
 
 

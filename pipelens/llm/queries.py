@@ -68,6 +68,15 @@ QUERIES = {f.__name__: f for f in (op1_nearest, op2_toxicity, op3_token_ids, op4
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
 ORACLE_SQL = {
+    "op1_nearest": """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+v AS (SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS n FROM c
+      WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, o.vec_id, list_reduce(list_transform(list_zip(q.v, o.v), lambda p: p[1] * p[2]), lambda a, b: a + b) / (q.n * o.n) AS score
+      FROM v q JOIN v o ON q.vec_id <> o.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op5_url_filter": f"""
 WITH r(rh, rp, rv) AS (VALUES {_RULE_VALUES}),
 p AS (
@@ -82,6 +91,28 @@ m AS (
   FROM k JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, p.host, p.path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verdict
 FROM p LEFT JOIN m ON m.host = p.host AND m.path = p.path AND m.n = 1
+""",
+    "op8_decontaminate": r"""
+WITH n AS (SELECT row_number() OVER () AS rid, doc_id, text AS t FROM documents),
+i AS (SELECT item_id, text, rtrim(text, ' .' || chr(10) || chr(9) || chr(13)) AS cut FROM benchmark),
+p AS (
+  SELECT item_id, 'whole' AS part, text AS t FROM i
+  UNION ALL SELECT item_id, 'question', CASE WHEN contains(cut, '. ') THEN regexp_extract(cut, '^(.*)\. ', 1, 's') ELSE text END FROM i
+  UNION ALL SELECT item_id, 'answer', CASE WHEN contains(cut, '. ') THEN regexp_extract(cut, '^.*\. (.*)$', 1, 's') ELSE '' END FROM i),
+c AS (SELECT item_id, part, list_filter(string_split_regex(translate(regexp_replace(t, '[!-/:-@\[-`{-~]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM p),
+e AS (SELECT rid, doc_id, list_filter(string_split_regex(translate(regexp_replace(t, '[!-/:-@\[-`{-~]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM n),
+k AS (SELECT *, least(5, len(w)) AS size FROM c WHERE len(w) > 0),
+ps AS (SELECT DISTINCT item_id, part, size, array_to_string(w[j:j + size - 1], ' ') AS sh FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS j FROM k)),
+pn AS (SELECT item_id, part, count(*) AS n FROM ps GROUP BY ALL),
+ds AS (SELECT DISTINCT rid, doc_id, size, array_to_string(w[j:j + size - 1], ' ') AS sh FROM (SELECT e.*, s.size, unnest(range(1, len(w) - s.size + 2)) AS j FROM e, (SELECT DISTINCT size FROM k) s WHERE len(w) >= s.size)),
+h AS (SELECT rid, doc_id, item_id, part, count(*) AS hit FROM ps JOIN ds USING (size, sh) GROUP BY ALL),
+o AS (SELECT rid, doc_id, item_id, part, hit / n AS share FROM h JOIN pn USING (item_id, part)),
+m AS (SELECT rid, doc_id, item_id, share AS overlap FROM o WHERE part = 'whole' AND share >= 0.8)
+SELECT m.doc_id, m.item_id,
+  CASE WHEN EXISTS (FROM pn WHERE pn.item_id = m.item_id AND part = 'question') THEN coalesce((SELECT share FROM o WHERE o.rid = m.rid AND o.item_id = m.item_id AND o.part = 'question'), 0) ELSE 1 END::DOUBLE AS question_overlap,
+  CASE WHEN EXISTS (FROM pn WHERE pn.item_id = m.item_id AND part = 'answer') THEN coalesce((SELECT share FROM o WHERE o.rid = m.rid AND o.item_id = m.item_id AND o.part = 'answer'), 0) ELSE 1 END::DOUBLE AS answer_overlap,
+  overlap::DOUBLE AS overlap
+FROM m
 """,
     "op6_mix": r"""
 WITH d AS (
