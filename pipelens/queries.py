@@ -674,10 +674,11 @@ def _tree(spark, sf_dir):
 _TREE = "e AS (SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_partkey > 1), n AS (SELECT p_partkey AS node, p_size * 1000 AS duration FROM part WHERE p_partkey > 0)"
 
 
-@query("upstream_closure", f"WITH RECURSIVE {_TREE}, c AS (SELECT node FROM n WHERE node % 97 = 0 UNION SELECT src FROM c JOIN e ON dst = node) SELECT node FROM c")
+@query("upstream_closure", f"WITH RECURSIVE {_TREE}, c AS (SELECT p_partkey AS node FROM part WHERE p_partkey > 0 AND p_size = 1 UNION SELECT src FROM c JOIN e ON dst = node) SELECT node FROM c")
 def upstream_closure(spark, sf_dir):
+    """What the parts of size 1 need, themselves included."""
     p, edges = _tree(spark, sf_dir)
-    return graph.closure(edges, p.where("p_partkey % 97 = 0").select("p_partkey"), downstream=False).select("node")
+    return graph.closure(edges, p.where("p_size = 1").select("p_partkey"), downstream=False).select("node")
 
 
 @query(
