@@ -106,3 +106,8 @@ def beacon_peers(beacons: DataFrame, now, window_s: int = 60, ahead_s: int = 15)
     ts, at = F.unix_timestamp("ts"), F.unix_timestamp(now)
     fresh = beacons.where((ts >= at - window_s) & (ts <= at + ahead_s))
     return fresh.groupBy("addr").agg(F.max_by("node_id", F.struct("ts", "seq")).alias("node_id"), F.max("ts").alias("ts"))
+
+
+def stale(records: DataFrame, now, max_age_s: float, at: str = "timestamp") -> DataFrame:
+    """Records older than ``max_age_s``."""
+    return records.where(F.unix_timestamp(now) - F.unix_timestamp(at) > max_age_s)

@@ -301,3 +301,28 @@ def label_propagation_sync(nodes: DataFrame, weights: DataFrame, most_rounds: in
 def mermaid_lines(edges: DataFrame) -> DataFrame:
     """One line of a Mermaid chart for each edge."""
     return edges.select(F.format_string("    %s --> %s", "src", "dst").alias("line"))
+
+
+def task_tokens(tasks: DataFrame, edges: DataFrame, level: DataFrame) -> DataFrame:
+    """(name, fingerprint, token) of tasks, level by level: a fingerprint covers the tokens of what a task depends on.
+
+    ``tasks`` has name, command, cwd, shell, pure, file_hashes, env_vars,
+    outputs and output_digest, ``level`` what ``levels`` gives. A pure task
+    with outputs hands on their digest, so equal outputs cut the chain early.
+    """
+    from pipelens.functions.hashing import task_fingerprint
+    from pipelens.operators.diff import cutoff_token
+
+    ranked = cut(tasks.join(level.withColumnRenamed("node", "name"), "name"))
+    done = None
+    for (k,) in sorted(ranked.select("level").distinct().collect()):
+        now = ranked.where(F.col("level") == k)
+        if done is None:
+            now = now.withColumn("deps", F.create_map().cast("map<string,string>"))
+        else:
+            known = edges.join(done.select(F.col("name").alias("src"), "token"), "src").groupBy(F.col("dst").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("src", "token"))).alias("deps"))
+            now = now.join(known, "name", "left").withColumn("deps", F.coalesce("deps", F.create_map().cast("map<string,string>")))
+        print_ = task_fingerprint(F.col("name"), F.col("command"), F.col("cwd"), F.col("shell"), F.col("pure"), F.col("file_hashes"), F.col("env_vars"), F.col("deps"), F.col("outputs"))
+        made = now.withColumn("fingerprint", print_).select("name", "fingerprint", cutoff_token(F.col("pure"), F.col("output_digest"), F.col("fingerprint")).alias("token"))
+        done = cut(made if done is None else done.union(made))
+    return done
