@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -47,6 +48,14 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the system, where the C library can; workers outlive their tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 _KEPT: dict = {}
 
 
@@ -54,6 +63,7 @@ def kept(name: str, make):
     """What a worker process keeps between tasks under ``name``; one thing at a time, so that operators in turn do not add up."""
     if name not in _KEPT:
         _KEPT.clear()
+        trim()
         _KEPT[name] = make()
     return _KEPT[name]
 
@@ -84,3 +94,4 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, column: str =
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(int(a), int(b - a))
+    trim()

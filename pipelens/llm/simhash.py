@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import cut, fresh, slices, texts_of
+from pipelens.llm.common import cut, fresh, slices, texts_of, trim
 
 SEED = 42
 #: Fingerprints that the estimates are made from, at most.
 SAMPLE = 2_000
 #: Rows of one partition value that one group compares.
 BLOCK = 1 << 15
+#: Links that a task holds before it reduces them to a spanning forest.
+MOST_LINKS = 1 << 17
 #: Different texts of one proposed group that are compared in one task.
 GROUP_TEXTS = 8192
 #: Estimated costs of a probe row and of a verified pair, in seconds.
@@ -186,12 +188,15 @@ def bucket_links(key: np.ndarray, prints: np.ndarray, home: np.ndarray, bits: in
     sizes = np.diff(np.concatenate((starts, [len(key)])))
     homes = np.add.reduceat(home.astype(np.int64), starts) if len(key) else sizes
     out: list = []
+    waiting = 0
 
-    def add(x, y):
-        apart = np.bitwise_count(x ^ y)
-        ok = (apart <= bits) & (x != y)
-        if ok.any():
-            out.append((x[ok], y[ok], apart[ok].astype(np.int64)))
+    def spanned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not out:
+            none = np.zeros(0, dtype=np.uint64)
+            return none, none, np.zeros(0, dtype=np.int64)
+        a, b, d = (np.concatenate([x[j] for x in out]) for j in range(3))
+        keep = forest(a, b, d)
+        return a[keep], b[keep], d[keep]
 
     for s, n, h in zip(starts.tolist(), sizes.tolist(), homes.tolist()):
         if n < 2 or not h:
@@ -200,13 +205,17 @@ def bucket_links(key: np.ndarray, prints: np.ndarray, home: np.ndarray, bits: in
         if h > 64:
             out.append(nearest_tree(np.unique(rows), bits))
         else:
-            add(np.repeat(rows[:h], n), np.tile(rows, h))
-    if not out:
-        none = np.zeros(0, dtype=np.uint64)
-        return none, none, np.zeros(0, dtype=np.int64)
-    a, b, d = (np.concatenate([x[j] for x in out]) for j in range(3))
-    keep = forest(a, b, d)
-    return a[keep], b[keep], d[keep]
+            x, y = np.repeat(rows[:h], n), np.tile(rows, h)
+            apart = np.bitwise_count(x ^ y)
+            ok = (apart <= bits) & (x != y)
+            if not ok.any():
+                continue
+            out.append((x[ok], y[ok], apart[ok].astype(np.int64)))
+        waiting += len(out[-1][0])
+        if waiting > MOST_LINKS:  # what is held stays within the number of rows and this
+            out = [spanned()]
+            waiting = 0
+    return spanned()
 
 
 def links(prints: DataFrame, bits: int) -> DataFrame:
@@ -260,6 +269,7 @@ def links(prints: DataFrame, bits: int) -> DataFrame:
         group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))))
         a, b, d = bucket_links(group, p.view(np.uint64), home, bits)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d.astype(np.int32))], ["a", "b", "apart"])
+        trim()
 
     found = dealt.repartition(parts, "key", "pair").mapInArrow(compare, "a long, b long, apart int")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").distinct()

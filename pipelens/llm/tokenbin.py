@@ -22,7 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,9 @@ END_ID = 1
 #: Ids of a file after which the next document begins another.
 FILE_IDS = 32 << 20
 #: Ids that the encoder works on at a time.
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 18
 #: Words whose ids a worker keeps; beyond that the last third goes, as frequent words come early.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 640_000
 #: What parts words that are encoded together: a character of a token of its own, which words seldom have.
 PART = "\x01"
 #: Ends of the last tokens of pieces, and punctuation that makes one piece behind letters.
@@ -290,7 +290,8 @@ class WordCache:
     def encode(self, texts: list[bytes], end: int | None) -> list[np.ndarray]:
         if len(self.of) > KEPT_WORDS:
             stay = KEPT_WORDS * 2 // 3
-            self.of = dict(islice(self.of.items(), stay))
+            while len(self.of) > stay:
+                self.of.popitem()  # the latest
             self.used = int(self.start[stay])
         each = [t.split() for t in texts]
         words = [w for x in each for w in x]

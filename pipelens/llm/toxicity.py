@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import crc_mod, kept, slices, texts_of
+from pipelens.llm.common import crc_mod, kept, slices, texts_of, trim
 
 #: Hashed weights; index 0 is the bias.
 BUCKETS = 1 << 20
@@ -114,21 +114,26 @@ def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    examples: list[tuple[np.ndarray, int]] = []
     rows = sorted(((o, y, t or b"") for b in batches for o, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()).to_pylist())))
+    # all examples in one array, each from one edge to the next
+    lists, sizes = [np.zeros(0, dtype=np.int32)], [0]
     for a in range(0, len(rows), 100):
-        part = rows[a : a + 100]
-        doc, bucket = features([t for _, _, t in part])
+        doc, bucket = features([t for _, _, t in rows[a : a + 100]])
+        n = len(rows[a : a + 100])
         order = np.argsort(doc, kind="stable")
-        edges = np.searchsorted(doc[order], np.arange(len(part) + 1))
-        bucket = bucket[order]
-        examples += [(np.concatenate(([0], bucket[x:y])).astype(np.int32), label) for x, y, (_, label, _) in zip(edges, edges[1:], part)]
+        lists.append(bucket[order])
+        sizes += np.bincount(doc, minlength=n).tolist()
+    labels, edges, flat = [y for _, y, _ in rows], np.cumsum(sizes), np.concatenate(lists)
+    del rows, lists
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    bias = np.zeros(1, dtype=np.int32)
     for _ in range(EPOCHS):
-        ftrl(iter(examples), z, n)
+        ftrl(((np.concatenate((bias, flat[x:y])), label) for x, y, label in zip(edges, edges[1:], labels)), z, n)
     w = weights_of(z, n)
     at = np.flatnonzero(w)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], ["bucket", "weight"])
+    del flat
+    trim()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, rows: int = TRAIN_ROWS) -> np.ndarray:
