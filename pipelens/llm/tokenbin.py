@@ -18,11 +18,13 @@ its own and reports them, and first ids follow from the reported lengths.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
+from string import ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ FILE_IDS = 32 << 20
 #: Ids that the encoder works on at a time.
 BATCH_IDS = 1 << 18
 #: Words whose ids a worker keeps; beyond that the last third goes, as frequent words come early.
-KEPT_WORDS = 640_000
+KEPT_WORDS = 1_000_000
 #: What parts words that are encoded together: a character of a token of its own, which words seldom have.
 PART = "\x01"
 #: Ends of the last tokens of pieces, and punctuation that makes one piece behind letters.
@@ -223,15 +225,19 @@ class WordCache:
     the tests compare with whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         from tokenizers import Tokenizer
 
+        self.most = most or KEPT_WORDS
+
         self.tokenizer = Tokenizer.from_file(path)
         alone = self._ids(PART)
         self.part = int(alone[0]) if len(alone) == 1 else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        # A-Z can be lower-cased first where the tokenizer does it anyway, outside of special tokens
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"]) and not any(c in t.content for t in self.tokenizer.get_added_tokens_decoder().values() for c in ascii_uppercase)
         self.of: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
         self.start, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
@@ -252,8 +258,10 @@ class WordCache:
         kinds = [1 if w.isalpha() else 2 if w.rstrip(STOPS).isalpha() else 0 for w in words]
         for kind in (1, 2, 0):
             of_kind = [i for i, k in enumerate(kinds) if k == kind]
-            for a in range(0, len(of_kind), 2000):
-                at = of_kind[a : a + 2000]
+            if kind == 2:
+                of_kind = self._stopped(new, of_kind)
+            for a in range(0, len(of_kind), 1000):
+                at = of_kind[a : a + 1000]
                 part = [words[i] for i in at]
                 ids, size = self._parted(part, kind)
                 if size is None:
@@ -261,6 +269,38 @@ class WordCache:
                     ids, size = np.concatenate(each), np.array([len(x) for x in each])
                 self._keep([new[i] for i in at], ids, size)
 
+    def _stopped(self, new: list[bytes], at: list[int]) -> list[int]:
+        """Of words with punctuation behind, keep those whose letters are known: their ids and those of the punctuation. The rest."""
+        by_stop: dict[bytes, tuple[list[bytes], list[int]]] = {}
+        rest = []
+        for i in at:
+            letters = new[i].rstrip(STOPS.encode())
+            known = self.of.get(letters)
+            if known is None:
+                rest.append(i)
+            else:
+                words, stems = by_stop.setdefault(new[i][len(letters) :], ([], []))
+                words.append(new[i])
+                stems.append(known)
+        for stop, (words, stems) in by_stop.items():
+            tail = self._ids(stop.decode())
+            size = self.size[stems] + len(tail)
+            ends = np.cumsum(size)
+            ids = np.empty(int(ends[-1]), dtype=np.uint32)
+            own = np.ones(len(ids), dtype=bool)
+            places = ends[:, None] - len(tail) + np.arange(len(tail))
+            own[places.ravel()] = False
+            ids[places] = tail
+            ids[own] = self._gather(np.array(stems))
+            self._keep(words, ids, size)
+        return rest
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of kept words, one word after the other."""
+        size, start = self.size[at], self.start[at]
+        before = np.cumsum(size) - size
+        return self.flat[np.arange(int(size.sum())) + np.repeat(start - before, size)]
+
     def _parted(self, words: list[str], pieces: int) -> tuple[np.ndarray | None, np.ndarray | None]:
         """Ids of words encoded as one text and how many each has; None if the words can't be told apart."""
         if pieces:
@@ -288,31 +328,29 @@ class WordCache:
         self.of.update(zip(words, range(k, k + len(words))))
 
     def encode(self, texts: list[bytes], end: int | None) -> list[np.ndarray]:
-        if len(self.of) > KEPT_WORDS:
-            stay = KEPT_WORDS * 2 // 3
+        if len(self.of) > self.most:
+            stay = self.most * 2 // 3
             while len(self.of) > stay:
                 self.of.popitem()  # the latest
             self.used = int(self.start[stay])
-        each = [t.split() for t in texts]
+        each = [(t.lower() if self.lowers and b"<" not in t else t).split() for t in texts]
         words = [w for x in each for w in x]
         at = np.fromiter(map(self.of.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         lacking = np.flatnonzero(at < 0).tolist()
         if lacking:
             self._learn(list(dict.fromkeys(words[i] for i in lacking)))
             at[lacking] = [self.of[words[i]] for i in lacking]
-        size, start = self.size[at], self.start[at]
-        before = np.cumsum(size) - size
-        ids = self.flat[np.arange(int(size.sum())) + np.repeat(start - before, size)] if len(at) else np.zeros(0, dtype=np.uint32)
+        size, ids = self.size[at], self._gather(at)
         n_words = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
         cuts = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n_words)))]
         tail = np.array([] if end is None else [end], dtype=np.uint32)
         return [np.concatenate((ids[a:b], tail)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def _writer(tokenizer: str, folder: str, end: int | None):
+def _writer(tokenizer: str, folder: str, end: int | None, keep_words: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, now = TaskContext.get().partitionId(), 0, None
-        cache, done = kept(f"words {tokenizer}", lambda: WordCache(tokenizer)), []
+        cache, done = kept(f"words {tokenizer} {keep_words}", lambda: WordCache(tokenizer, keep_words)), []
         for batch in slices(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), cache.encode(texts_of(batch), end)):
                 if now is None:
@@ -328,17 +366,19 @@ def _writer(tokenizer: str, folder: str, end: int | None):
     return write
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int | None = END_ID, id_col: str = "doc_id", text: str = "text") -> tuple[str, list]:
+def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int | None = END_ID, id_col: str = "doc_id", text: str = "text", keep_words: int = KEPT_WORDS) -> tuple[str, list]:
     """Encode and write all documents in ascending id order; the folder, and (name, docs, ids, start) of each file in order.
 
     Null ids come first; documents of one id follow the hash of their text,
     so reruns agree. A null text is the empty one. An empty table writes no file.
+    ``keep_words`` bounds the words whose ids a worker keeps, which changes
+    its memory and time but no id.
     """
     folder = folder or shared_path(docs.sparkSession, "token-ids")
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
     parts = picked.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    files = sorted(parts.mapInArrow(_writer(tokenizer, folder, end), "task int, made int, name string, docs long, ids long").collect())
+    files = sorted(parts.mapInArrow(_writer(tokenizer, folder, end, keep_words), "task int, made int, name string, docs long, ids long").collect())
     start, out = 0, []
     for f in files:
         out.append((f.name, f.docs, f.ids, start))

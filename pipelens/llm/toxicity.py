@@ -34,7 +34,7 @@ EPOCHS = 6
 POSITIVE = 4.0
 THRESHOLD = 0.7
 #: Words whose hash a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 #: Odd multipliers that tell the kinds of features apart.
 PAIR, SKIP, STEM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
