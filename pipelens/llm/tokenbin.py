@@ -272,9 +272,9 @@ class WordCache:
     def _stopped(self, new: list[bytes], at: list[int]) -> list[int]:
         """Of words with punctuation behind, keep those whose letters are known: their ids and those of the punctuation. The rest."""
         by_stop: dict[bytes, tuple[list[bytes], list[int]]] = {}
-        rest = []
+        rest, stops = [], STOPS.encode()
         for i in at:
-            letters = new[i].rstrip(STOPS.encode())
+            letters = new[i].rstrip(stops)
             known = self.of.get(letters)
             if known is None:
                 rest.append(i)
@@ -338,8 +338,9 @@ class WordCache:
         at = np.fromiter(map(self.of.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         lacking = np.flatnonzero(at < 0).tolist()
         if lacking:
-            self._learn(list(dict.fromkeys(words[i] for i in lacking)))
-            at[lacking] = [self.of[words[i]] for i in lacking]
+            new = list(map(words.__getitem__, lacking))
+            self._learn(list(dict.fromkeys(new)))
+            at[lacking] = np.fromiter(map(self.of.__getitem__, new), dtype=np.int64, count=len(new))
         size, ids = self.size[at], self._gather(at)
         n_words = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
         cuts = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n_words)))]
