@@ -37,6 +37,10 @@ BLOCK = 1 << 15
 MOST_LINKS = 1 << 17
 #: Different texts of one proposed group that are compared in one task.
 GROUP_TEXTS = 8192
+#: Texts whose shingles tell which are common, about; how many of those texts a common one is in, at least; most common shingles.
+SAMPLE_TEXTS, COMMON_TEXTS, MOST_COMMON = 8_000, 3, 100_000
+#: Pairs of one shingle's texts that a task makes at a time, about.
+PAIRS = 1 << 19
 #: Estimated costs of a probe row and of a verified pair, in seconds.
 PROBE_S, VERIFY_S = 1e-5, 3e-9
 #: Rows of the probe table that a task takes, about.
@@ -390,14 +394,173 @@ def _near_texts(similarity: float):
     return near
 
 
+def common_shingles(docs: DataFrame, k: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that are frequent in a sample of the different texts, ascending, and their counts."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, docs.count()))
+    hashed = docs.select(F.col(text).alias("text"), F.xxhash64(_normal(text)).alias("key"))
+    sample = hashed.where(F.pmod("key", F.lit(1 << 20)) < round(share * (1 << 20))).dropDuplicates(["key"]).select("text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [_shingles(t, k) for batch in slices(batches) for t in texts_of(batch)]
+        if found:
+            e, n = np.unique(np.concatenate(found), return_counts=True)
+            most = np.argsort(-n, kind="stable")[:MOST_COMMON]
+            most = most[n[most] >= COMMON_TEXTS]
+            yield pa.RecordBatch.from_arrays([pa.array(e[most].view(np.int64)), pa.array(n[most])], ["e", "n"])
+            trim()
+
+    rows = sample.repartition(1).mapInArrow(counted, "e long, n long").collect()
+    e, n = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[1] for r in rows], dtype=np.int64)
+    order = np.argsort(e)
+    return e[order], n[order]
+
+
+def prefix(s: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first elements of a set, common ones last: sets with that Jaccard similarity share one of these.
+
+    Any order that all sets have in common will do; the counts only save work.
+    """
+    n = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
+    if len(common[0]) and n:
+        at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
+        rank = np.where(common[0][at] == s, common[1][at], 0)
+        s = s[np.lexsort((s, rank))]
+    return s[:n]
+
+
+def sharing_pairs(element: np.ndarray, key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of texts of different roots that share a prefix element, as arrays (a, b, size a, size b, at a, at b).
+
+    Left out is what sizes and places rule out: if an element at places i and j
+    of their orders is the first that two texts share, they share at most what
+    follows. Similar texts keep the first elements that they share.
+    """
+    order = np.lexsort((key, root, element))
+    element, key, root, size, at = (x[order] for x in (element, key, root, size, at))
+    if len(key):
+        once = np.concatenate(([True], (element[1:] != element[:-1]) | (key[1:] != key[:-1])))
+        element, key, root, size, at = (x[once] for x in (element, key, root, size, at))
+    n = len(key)
+    last = np.flatnonzero(np.concatenate((element[1:] != element[:-1], [True]))) if n else np.zeros(0, dtype=np.int64)
+    ends = np.repeat(last + 1, np.diff(np.concatenate(([-1], last))))
+    same = np.flatnonzero(np.concatenate(((element[1:] != element[:-1]) | (root[1:] != root[:-1]), [True]))) if n else last
+    starts = np.repeat(same + 1, np.diff(np.concatenate(([-1], same))))  # texts of one root need no further link
+    many = ends - starts
+    rows = np.flatnonzero(many)
+    total = np.cumsum(many[rows])
+    edges = [0, *(np.flatnonzero(np.diff(total // PAIRS)) + 1), len(rows)] if len(rows) else [0]
+    for x, y in zip(edges, edges[1:]):
+        part = rows[x:y]
+        m = many[part]
+        i = np.repeat(part, m)
+        j = np.repeat(starts[part] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        i, j = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
+        most = np.minimum(size[i] - at[i], size[j] - at[j])
+        ok = most * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-6
+        i, j = i[ok], j[ok]
+        yield key[i], key[j], size[i], size[j], at[i], at[j]
+
+
+def _pack(element: np.ndarray, doc: np.ndarray, at: np.ndarray, key: np.ndarray, root: np.ndarray, size: np.ndarray) -> bytes:
+    """Elements with their texts and places as bytes, a text's own numbers once; high halves apart, as they are mostly zero."""
+    used, own = np.unique(doc, return_inverse=True)
+    halves = [np.ascontiguousarray(x.astype("<u4").view("<u2").reshape(-1, 2).T) for x in (own, at, size[used])]
+    columns = [np.array([len(used), len(element)], dtype="<i8"), element, key[used], root[used] ^ key[used], *halves]
+    return b"".join(x.tobytes() for x in columns)
+
+
+def _unpack(held: pa.Buffer) -> tuple[np.ndarray, ...]:
+    """What ``_pack`` has packed: element, key, root, size and place of each element."""
+    texts, n = np.frombuffer(held, dtype="<i8", count=2).tolist()
+    place = 16
+
+    def take(count: int, halves: bool = False) -> np.ndarray:
+        nonlocal place
+        out = np.frombuffer(held, dtype="<u2" if halves else "<i8", count=count * (2 if halves else 1), offset=place)
+        place += out.nbytes
+        return np.ascontiguousarray(out.reshape(2, -1).T).view("<i4").ravel() if halves else out
+
+    element, key, root = take(n), take(texts), take(texts)
+    own, at, size = take(n, True), take(n, True), take(texts, True)
+    return element, key[own], (root ^ key)[own], size[own], at
+
+
+def missed_links(ids: DataFrame, classes: DataFrame, rows: DataFrame, verify: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the roots of ``classes`` that hold texts of that similarity, by prefix filtering: exact.
+
+    ``ids`` has the prefixes, ``rows`` the texts. Texts whose prefixes share an
+    element are paired; places and the number of shared elements bound what
+    two texts can have in common, and the pairs left are compared in full.
+    """
+    spark = ids.sparkSession
+    elements = ids.agg(F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(elements) // TASK_ROWS + 1)
+    one = classes.select(F.col("key").alias("c_key"), F.col("least").alias("c_least"), "root")
+    placed = ids.join(one, (F.col("key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_least"))).select("key", "root", "size", "prefix")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for x in range(0, whole.num_rows, 4096):
+                key, root, size, held = whole.slice(x, 4096).columns
+                key, root, size = (c.to_numpy(zero_copy_only=False) for c in (key, root, size))
+                sets = [np.frombuffer(v, dtype=np.uint64) for v in held.to_pylist()]
+                n = np.array([len(v) for v in sets], dtype=np.int64)
+                if not n.sum():
+                    continue
+                element = np.concatenate(sets)
+                doc, at = np.repeat(np.arange(len(n)), n), np.arange(len(element)) - np.repeat(np.cumsum(n) - n, n)
+                part = (element % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order])) + 1
+                packed = [_pack(element[o], doc[o], at[o], key, root, size) for o in np.split(order, cuts)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][np.concatenate(([0], cuts))]), pa.array(packed, pa.binary())], ["part", "packed"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unpack(x.as_buffer()) for b in batches for x in b.column(1)]
+        if not held:
+            return
+        for found in sharing_pairs(*(np.concatenate(x) for x in zip(*held)), similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "n_a", "n_b", "at_a", "at_b"])
+        trim()
+
+    met = placed.mapInArrow(spread, "part long, packed binary").repartition(parts, "part").mapInArrow(compare, "a long, b long, n_a int, n_b int, at_a int, at_b int")
+    # the elements that a pair was made of are the first that its texts share; the rest come after the last of these
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("at_a").alias("i"), F.max("at_b").alias("j"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    most = F.col("c") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) - 1
+    pairs = cut(shared.where(most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("w_key")).union(pairs.select("b")).distinct()
+    wanted = one.join(wanted, F.col("c_key") == F.col("w_key")).select("c_key", "c_least", "root")
+    texts = rows.join(wanted, (F.col("t_key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_least"))).dropDuplicates(["t_key"]).select("text", "t_key", "root")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([_shingles(t, verify).tobytes() for t in texts_of(batch)], pa.binary())], ["key", "root", "s"])
+
+    held = cut(texts.mapInArrow(sets, "key long, root long, s binary"))
+    left = held.select(F.col("key").alias("a"), F.col("root").alias("r_a"), F.col("s").alias("s_a"))
+    right = held.select(F.col("key").alias("b"), F.col("root").alias("r_b"), F.col("s").alias("s_b"))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b"), "s_a", "s_b").mapInArrow(alike, "a long, b long")
+
+
 def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near duplicates: of each group the row with the smallest id stays.
 
+    Texts are linked whose sets of ``verify``-word shingles have a Jaccard
+    similarity of ``similarity`` or more; what links connect is a group.
     Fingerprints of the texts' different words (``shingle`` 0) within ``bits``
-    propose groups; inside them texts are linked whose sets of ``verify``-word
-    shingles have a Jaccard similarity of ``similarity`` or more. Different
-    words move a fingerprint far less than shingles do, which is what lets 9
-    bits reach a shingle similarity of 0.8. Proposed groups above
+    propose most links cheaply. Those that fingerprints miss, as between texts
+    of which one has a passage more, are found by prefix filtering
+    (``missed_links``), so all are found. Proposed groups above
     ``GROUP_TEXTS`` different texts are dealt in pairs of blocks. Texts are
     identified by a 64-bit hash.
 
@@ -405,16 +568,26 @@ def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int =
     their id one stays. Null and empty texts are one group. Column names that
     clash with internal ones are left alone.
     """
-    fp, key = fresh("p_fp", docs.columns), fresh("p_key", docs.columns)
-    marked = with_fingerprints(docs, fp, shingle, text).withColumn(key, F.xxhash64(_normal(text)))
-    ids = cut(marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"), F.col(key).alias("key")))
+    key = fresh("p_key", docs.columns)
+    common = common_shingles(docs, verify, text)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("t_key", F.xxhash64(_normal("text")))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = texts_of(batch)
+            prints = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            found = [_shingles(t, verify) for t in texts]
+            firsts = pa.array([prefix(s, similarity, common).tobytes() for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), batch.column(2), pa.array([len(s) for s in found], pa.int32()), firsts], ["doc_id", "fp", "key", "size", "prefix"])
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    ids = cut(rows.mapInArrow(mark, f"doc_id {id_type}, fp long, key long, size int, prefix binary"))
     texts = cut(ids.groupBy("key", "fp").agg(F.min("doc_id").alias("least")))
     near = components(links(texts.select("fp").distinct(), bits))
     grouped = texts.join(near, F.col("fp") == F.col("node"), "left").select("key", "least", F.coalesce("root", "fp").alias("group"))
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select(F.col("group").alias("g"), F.ceil(F.col("n") / GROUP_TEXTS).cast("int").alias("blocks"))
     wanted = cut(grouped.join(sizes, F.col("group") == F.col("g")).select("key", "least", "group", "blocks"))
     # by key and id: of a large group of copies one row is fetched, and the others are spread
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("t_key", F.xxhash64(_normal("text")))
     fetched = rows.join(wanted, (F.col("t_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["t_key", "doc_id"]).select("text", "key", "group", "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,10 +598,12 @@ def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int =
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
     dealt = fetched.mapInArrow(sets, "key long, group long, blocks int, s binary").select("key", "s", "group", F.explode(pairs).alias("pair"))
     roots = components(dealt.groupBy("group", "pair").applyInArrow(_near_texts(similarity), "a long, b long"))
-    classes = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    classes = cut(texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root")))
+    more = components(missed_links(ids, classes, rows, verify, similarity)).withColumnsRenamed({"root": "top"})
+    classes = classes.join(more, F.col("root") == F.col("node"), "left").select("key", "least", F.coalesce("top", "root").alias("root"))
     kept = classes.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "key")).alias("k"))
     kept = kept.select(F.col("k.key").alias("k_key"), F.col("k.least").alias("k_id"))
-    kept = kept.withColumnsRenamed({c: fresh(c, [*docs.columns, fp, key]) for c in kept.columns})
+    kept = kept.withColumnsRenamed({c: fresh(c, [*docs.columns, key]) for c in kept.columns})
     k_key, k_id = kept.columns
     stay = docs.withColumn(key, F.xxhash64(_normal(text))).join(kept, (F.col(key) == F.col(k_key)) & F.col(id_col).eqNullSafe(F.col(k_id)), "left_semi")
     return stay.dropDuplicates([key, id_col]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -146,3 +146,38 @@ def test_similar_tree_spans_all_similar_pairs():
     want = classes(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if like(sets[i], sets[j])])
     links = simhash.similar_tree(sets, 0.8)
     assert classes(len(sets), links) == want and len(links) == len(sets) - len(set(want))
+
+
+def test_deduplicate_finds_copies_with_a_passage_more_or_less(spark):
+    rng = random.Random(21)
+    header = [f"common{i}" for i in range(25)]  # in many texts, so that its shingles count as common
+    texts = []
+    for g in range(50):
+        n = rng.randrange(60, 260)
+        words = [f"g{g}w{rng.randrange(10**6)}" for _ in range(n)]
+        words = header + words if g % 3 == 0 else words
+        share = rng.choice((0.81, 0.85, 0.9))
+        more = round(len(words) * (1 / share - 1))
+        new = [f"n{g}x{rng.randrange(10**6)}" for _ in range(more)]
+        texts += [words, words + new if g % 2 else words[: round(len(words) * share) + 1]]
+        texts.append(words[: len(words) // 2] + new)  # far below 0.8
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    prints = [simhash.fingerprint(t.encode(), 0) for _, t in rows]
+    assert len(linked) >= 40 and any((prints[i] ^ prints[j]).bit_count() > 12 for i, j in linked)
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(classes(len(rows), linked)))
+
+
+def test_sharing_pairs_hold_all_similar_pairs():
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(0, 900, rng.integers(1, 60))).astype(np.uint64) for _ in range(40)]
+    sets = base + [np.unique(np.concatenate((b[: max(1, round(len(b) * 0.9))], rng.integers(900, 2000, len(b) // 12).astype(np.uint64)))) for b in base]
+    common = (np.arange(0, 900, 3, dtype=np.uint64), np.arange(300) % 7 + 4)
+    firsts = [simhash.prefix(s, 0.8, common) for s in sets]
+    flat = [np.concatenate([np.full(len(f), v) for f, v in zip(firsts, values)]) for values in (range(len(sets)), range(len(sets)), map(len, sets))]
+    at = np.concatenate([np.arange(len(f)) for f in firsts])
+    found = {(int(a), int(b)) for part in simhash.sharing_pairs(np.concatenate(firsts), *flat, at, 0.8) for a, b in zip(part[0], part[1])}
+    like = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if like(sets[i], sets[j])}
+    assert len(want) > 15 and want <= found
