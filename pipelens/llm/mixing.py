@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import WORD, fresh
+from pipelens.llm.common import WORD, cut, fresh
 
 #: Most copies of one document in a mix.
 MOST = 3
 #: Relative density at t = 0 and t = 1 of sources that weigh 1, 2 and 3: light ones early, heavy ones late.
 SCHEDULE = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
+#: Passes in hash order over what is left of the targets, before the smallest documents go first.
+PASSES = 3
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -57,14 +59,16 @@ def position_of(demand: Column, target: Column, start: Column, end: Column) -> C
     return F.when(slope == 0, share).otherwise((F.sqrt(start * start + 2 * slope * area) - start) / slope)
 
 
-def assign(docs: DataFrame, schedule=SCHEDULE, id_col: str = "doc_id", source: str = "source", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def assign(docs: DataFrame, schedule=SCHEDULE, id_col: str = "doc_id", source: str = "source", text: str = "text", carry: list[str] | None = None, refill: bool = False) -> DataFrame:
     """One row per document: size, source_size, weight, target, copies, taken and the numbers that positions need.
 
     A null text has size 0; nulls of ``source`` are one source. Every document
     is taken ``floor(target / source_size)`` times; one more time, in hash
     order, as long as whole documents fit in what is left of the target; and
     the gap that then remains goes to the untaken document nearest to it in
-    size, if that brings the source nearer. Repeated rows count as documents
+    size, if that brings the source nearer. With ``refill`` documents that do
+    not fit are passed over before that, until no untaken document fits the
+    gap (``_refilled``). Repeated rows count as documents
     of their own. ``carry`` names further columns to keep; an empty table
     gives no rows.
     """
@@ -87,7 +91,8 @@ def assign(docs: DataFrame, schedule=SCHEDULE, id_col: str = "doc_id", source: s
     ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = plan.withColumnsRenamed({c: fresh(c, carry) for c in plan.columns})
     p_source, source_size, weight, target, buckets, whole, rest = plan.columns
-    placed = base.join(F.broadcast(plan) if _few(plan) else plan, F.col(s).eqNullSafe(F.col(p_source))).drop(p_source)
+    few = _few(plan)
+    placed = base.join(F.broadcast(plan) if few else plan, F.col(s).eqNullSafe(F.col(p_source))).drop(p_source)
     placed = placed.withColumn(b, F.floor(F.conv(F.substring(k, 1, 8), 16, 10).cast("long") * F.col(buckets) / F.lit(1 << 32)).cast("int"))
     before = (
         placed.groupBy(F.col(s).alias("q_source"), F.col(b).alias("q_bucket")).agg(F.sum(z).alias("in_bucket"))
@@ -100,8 +105,12 @@ def assign(docs: DataFrame, schedule=SCHEDULE, id_col: str = "doc_id", source: s
     summed = placed.withColumn(end, F.sum(z).over(order)).join(before, F.col(s).eqNullSafe(F.col(q_source)) & (F.col(b) == F.col(q_bucket)))
     summed = summed.withColumn(end, F.col(end) + F.col(q_before)).drop(q_source, q_bucket, q_before)
     summed = summed.withColumn(extra, ((F.col(whole) < MOST) & (F.col(z) > 0) & (F.col(end) <= F.col(rest))).cast("long"))
+    n = names | {"end": end, "extra": extra, "rest": rest, "whole": whole, "source_size": source_size, "weight": weight, "target": target}
+    if refill:
+        n["run"] = fresh("m_run", summed.columns)
+        return _finished(_refilled(summed, n, few), n, carry, schedule)
     gap = summed.groupBy(F.col(s).alias("g_source")).agg((F.first(rest) - F.coalesce(F.max(F.when(F.col(extra) == 1, F.col(end))), F.lit(0))).alias("g_gap"))
-    return _filled(summed, gap, names | {"end": end, "extra": extra, "rest": rest, "whole": whole, "source_size": source_size, "weight": weight, "target": target}, carry, schedule)
+    return _filled(summed, gap, n, carry, schedule)
 
 
 def _few(plan: DataFrame) -> bool:
@@ -109,9 +118,85 @@ def _few(plan: DataFrame) -> bool:
     return plan.limit(10_001).count() <= 10_000
 
 
+def _refilled(summed: DataFrame, n: dict, few: bool) -> DataFrame:
+    """``summed`` with more documents taken until none that is left fits its source's gap, and the one that then brings it nearest.
+
+    A pass goes on in hash order over the untaken documents that fit the gap
+    alone, as long as their running sum fits. After ``PASSES`` of them the
+    smallest are taken, whole sizes first and then, in hash order, what fits
+    of the next size. What a pass takes is named by two numbers for each
+    source, a greatest size and a last running sum, so documents are only
+    marked by a join with the sources.
+    """
+    held = cut(summed.select(
+        F.col(n["m_src"]).alias("s"), F.col(n["m_bucket"]).alias("b"), F.col(n["m_size"]).alias("z"), F.col(n["end"]).alias("end"),
+        F.col(n["extra"]).alias("extra"), F.col(n["rest"]).alias("rest"), ((F.col(n["whole"]) < MOST) & (F.col(n["m_size"]) > 0)).alias("free"),
+    ))
+    state = cut(held.groupBy(F.col("s").alias("g")).agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("extra") == 1, F.col("end"))), F.lit(0))).alias("gap")))
+    untaken = held.where("free AND extra = 0").select("s", "b", "z", "end")
+    everything = F.lit((1 << 63) - 1)
+    picks: list[DataFrame] = []
+
+    def took(limits: DataFrame) -> None:
+        """Note what a pass took, rows (g, most, last, words), and lower the gaps."""
+        nonlocal state, untaken
+        limits = cut(limits)
+        picks.append(limits)
+        kept = limits.select(F.col("g").alias("t"), "most", "last", "words")
+        state = cut(state.join(kept, F.col("g").eqNullSafe(F.col("t")), "left").select("g", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap")))
+        there = untaken.join(F.broadcast(kept) if few else kept, F.col("s").eqNullSafe(F.col("t")), "left")
+        untaken = there.where(F.coalesce((F.col("z") > F.col("most")) | (F.col("end") > F.col("last")), F.lit(True))).select("s", "b", "z", "end")
+
+    def in_order(most: DataFrame) -> DataFrame:
+        """What fits of the documents up to a size, in hash order; ``most`` has rows (g, gap, most)."""
+        fits = untaken.join(F.broadcast(most) if few else most, F.col("s").eqNullSafe(F.col("g"))).where("z <= most")
+        sums = fits.groupBy(F.col("s").alias("q"), F.col("b").alias("c")).agg(F.sum("z").alias("words"))
+        sums = sums.select("q", "c", (F.sum("words").over(Window.partitionBy("q").orderBy("c")) - F.col("words")).alias("before"))
+        order = Window.partitionBy("s", "b").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
+        run = fits.withColumn("run", F.sum("z").over(order)).join(sums, F.col("s").eqNullSafe(F.col("q")) & (F.col("b") == F.col("c")))
+        run = run.withColumn("run", F.col("run") + F.col("before")).where("run <= gap")
+        return run.groupBy("g").agg(F.first("most").alias("most"), F.max("end").alias("last"), F.max("run").alias("words"))
+
+    for _ in range(PASSES):
+        took(in_order(state.select("g", "gap", F.col("gap").alias("most"))))
+    by_size = untaken.groupBy("s", "z").agg(F.sum("z").alias("words")).withColumn("run", F.sum("words").over(Window.partitionBy("s").orderBy("z")))
+    by_size = cut(by_size.join(state, F.col("s").eqNullSafe(F.col("g"))).select("g", "gap", "z", "run"))
+    took(by_size.where("run <= gap").groupBy("g").agg(F.max("z").cast("double").alias("most"), F.max("run").alias("words")).select("g", "most", everything.alias("last"), "words"))
+    smallest = by_size.where("run > gap").groupBy(F.col("g").alias("u")).agg(F.min("z").cast("double").alias("most"))
+    took(in_order(state.join(smallest, F.col("g").eqNullSafe(F.col("u"))).select("g", "gap", "most")))
+
+    near = F.abs(F.col("z") - F.col("gap"))
+    filler = untaken.join(F.broadcast(state) if few else state, F.col("s").eqNullSafe(F.col("g"))).where(near < F.col("gap"))
+    filler = filler.groupBy(F.col("g").alias("f")).agg(F.min(F.struct(near.alias("near"), "end")).alias("nearest"))
+    marks = state.join(filler, F.col("g").eqNullSafe(F.col("f")), "left").select("g", F.col("nearest.end").alias("only"))
+    for x in picks:
+        x = x.select(F.col("g").alias("p"), F.struct("most", "last").alias("pick"))
+        marks = marks.join(x, F.col("g").eqNullSafe(F.col("p")), "left").withColumn(f"pick_{len(marks.columns)}", F.col("pick")).drop("p", "pick")
+    marks = cut(marks.select("g", "only", F.array_compact(F.array(*marks.columns[2:])).alias("picks")))
+
+    def marked(rows: DataFrame, source: str, size: str, end: str, extra: str, free: Column) -> DataFrame:
+        own = marks.withColumnsRenamed({c: fresh(c, rows.columns) for c in marks.columns})
+        g, only, picked = own.columns
+        more = F.exists(F.col(picked), lambda x: (F.col(size) <= x["most"]) & (F.col(end) <= x["last"])) | F.coalesce(F.col(end) == F.col(only), F.lit(False))
+        there = rows.join(F.broadcast(own) if few else own, F.col(source).eqNullSafe(F.col(g)))
+        return there.withColumn(extra, F.greatest(F.col(extra), (more & free).cast("long"))).drop(*own.columns)
+
+    # the extra copies are dealt in hash order, so they have running sums of their own
+    sums = marked(held, "s", "z", "end", "extra", F.col("free")).groupBy(F.col("s").alias("q"), F.col("b").alias("c")).agg(F.sum(F.col("z") * F.col("extra")).alias("words"))
+    sums = sums.select("q", "c", (F.sum("words").over(Window.partitionBy("q").orderBy("c")) - F.col("words")).alias("before"))
+    sums = sums.withColumnsRenamed({c: fresh(c, summed.columns) for c in sums.columns})
+    q, c, before = sums.columns
+    s, b, size, extra = (n[x] for x in ("m_src", "m_bucket", "m_size", "extra"))
+    order = Window.partitionBy(s, b).orderBy(n["m_key"], n["m_id"], size, n["m_tie"]).rowsBetween(Window.unboundedPreceding, 0)
+    run = F.sum(F.col(size) * F.col(extra)).over(order)
+    rows = marked(summed, s, size, n["end"], extra, (F.col(n["whole"]) < MOST) & (F.col(size) > 0)).withColumn(n["run"], run)
+    rows = rows.join(sums, F.col(s).eqNullSafe(F.col(q)) & (F.col(b) == F.col(c)))
+    return rows.withColumn(n["run"], F.col(n["run"]) + F.col(before)).drop(q, c, before)
+
+
 def _filled(summed: DataFrame, gap: DataFrame, n: dict, carry: list[str], schedule) -> DataFrame:
     """Give each source's gap to the untaken document nearest in size, one row of it, and finish the columns."""
-    s, z, i, k, tie, end, extra, rest, whole = (n[x] for x in ("m_src", "m_size", "m_id", "m_key", "m_tie", "end", "extra", "rest", "whole"))
+    s, z, k, end, extra, rest, whole = (n[x] for x in ("m_src", "m_size", "m_key", "end", "extra", "rest", "whole"))
     untaken = summed.where((F.col(extra) == 0) & (F.col(whole) < MOST) & (F.col(z) > 0)).select(
         F.col(s).alias("u_source"), F.col(z).alias("u_size"), F.col(end).alias("u_end"), F.col(k).alias("u_key"), F.col(rest).alias("u_rest")
     )
@@ -125,38 +210,52 @@ def _filled(summed: DataFrame, gap: DataFrame, n: dict, carry: list[str], schedu
     f_source, f_end = filler.columns
     # the running sum of a document with words is different from all others of its source
     done = summed.join(filler, F.col(s).eqNullSafe(F.col(f_source)) & (F.col(end) == F.col(f_end)) & (F.col(z) > 0), "left")
-    copies = F.col(whole) + F.col(extra) + F.when(F.col(f_end).isNotNull(), 1).otherwise(0)
-    out = {c: fresh(c, carry) for c in ("doc_id", "source", "size", "copies", "taken", "end_words", "position")}
-    start_w = F.element_at(F.array(*(F.lit(float(a)) for a, _ in schedule)), F.col(n["weight"]))
-    end_w = F.element_at(F.array(*(F.lit(float(b)) for _, b in schedule)), F.col(n["weight"]))
-    first = F.when(copies > 0, position_of(F.col(end) - F.col(z) / 2, F.col(n["target"]), start_w, end_w))
-    return done.select(
+    done = done.withColumn(extra, F.col(extra) + F.when(F.col(f_end).isNotNull(), 1).otherwise(0)).drop(f_source, f_end)
+    return _finished(done, n | {"run": end}, carry, schedule)
+
+
+def _finished(done: DataFrame, n: dict, carry: list[str], schedule) -> DataFrame:
+    """The columns that ``assign`` returns."""
+    z, end, extra = F.col(n["m_size"]), F.col(n["end"]), F.col(n["extra"])
+    copies = F.col(n["whole"]) + extra
+    out = {c: fresh(c, carry) for c in ("doc_id", "source", "size", "copies", "taken", "end_words", "position", "extra_words")}
+    rows = done.select(
         *(F.col(f"`{c}`") for c in carry),
-        F.col(i).alias(out["doc_id"]), F.col(s).alias(out["source"]), F.col(z).alias(out["size"]),
+        F.col(n["m_id"]).alias(out["doc_id"]), F.col(n["m_src"]).alias(out["source"]), z.alias(out["size"]),
         F.col(n["source_size"]), F.col(n["weight"]), F.col(n["target"]),
-        copies.cast("long").alias(out["copies"]), (copies * F.col(z)).cast("long").alias(out["taken"]),
-        F.col(end).alias(out["end_words"]), first.alias(out["position"]),
+        copies.cast("long").alias(out["copies"]), (copies * z).cast("long").alias(out["taken"]),
+        end.alias(out["end_words"]), F.when(extra > 0, F.col(n["run"])).alias(out["extra_words"]),
     )
+    names = [out["size"], n["source_size"], n["weight"], n["target"], out["copies"], out["end_words"], out["extra_words"]]
+    return rows.withColumn(out["position"], F.get(positions(names, schedule), F.lit(0)))
+
+
+def positions(columns: list[str], schedule=SCHEDULE) -> Column:
+    """The training positions of a document's copies, ascending.
+
+    ``columns`` names size, source_size, weight, target, copies, end_words and
+    extra_words, the running sum that the copy beyond the whole ones has.
+    """
+    size, source_size, weight, target, copies, end, extra = (F.col(c) for c in columns)
+    start_w = F.element_at(F.array(*(F.lit(float(a)) for a, _ in schedule)), weight)
+    end_w = F.element_at(F.array(*(F.lit(float(b)) for _, b in schedule)), weight)
+    each = F.sequence(F.lit(0).cast("long"), copies - 1)
+    sum_of = lambda copy: F.when((copy == copies - 1) & extra.isNotNull(), extra).otherwise(end)
+    at = F.transform(each, lambda copy: position_of(copy * source_size + sum_of(copy) - size / 2, target, start_w, end_w))
+    return F.when(copies > 0, at).otherwise(F.array().cast("array<double>"))
 
 
 def mix(docs: DataFrame, schedule=SCHEDULE, position: str | None = None, **kwargs) -> DataFrame:
     """The mix itself: every copy as a row of the columns of ``docs``, range-sorted by training position.
 
     ``position`` names a column to add with that position. Documents that the
-    mix does not take are left out.
+    mix does not take are left out. Targets are filled (``refill``).
     """
     carry = docs.columns
-    rows = assign(docs, schedule, carry=carry, **kwargs)
-    size, source_size, weight, target, copies, _, end, _ = rows.columns[len(carry) + 2 :]
-    copy, at = fresh("m_copy", rows.columns), fresh("m_at", rows.columns)
-    start_w = F.element_at(F.array(*(F.lit(float(a)) for a, _ in schedule)), F.col(weight))
-    end_w = F.element_at(F.array(*(F.lit(float(b)) for _, b in schedule)), F.col(weight))
-    demand = F.col(copy) * F.col(source_size) + F.col(end) - F.col(size) / 2
-    out = (
-        rows.where(F.col(copies) > 0)
-        .withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1)))
-        .withColumn(at, position_of(demand, F.col(target), start_w, end_w))
-    )
+    rows = assign(docs, schedule, carry=carry, **{"refill": True, **kwargs})
+    size, source_size, weight, target, copies, _, end, extra, _ = rows.columns[len(carry) + 2 :]
+    at = fresh("m_at", rows.columns)
+    out = rows.where(F.col(copies) > 0).withColumn(at, F.explode(positions([size, source_size, weight, target, copies, end, extra], schedule)))
     ids = rows.columns[len(carry)]
     out = out.repartitionByRange(F.col(at), F.col(ids)).sortWithinPartitions(F.col(at), F.col(ids))
     return out.select(*(F.col(f"`{c}`") for c in carry), *([F.col(at).alias(position)] if position else []))

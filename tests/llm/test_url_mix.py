@@ -115,3 +115,28 @@ def test_empty_mix(spark):
     assert mixing.assign(empty).count() == 0 and mixing.mix(empty).count() == 0
     blank = spark.createDataFrame([(1, "a", ""), (2, None, None)], "doc_id long, source string, text string")
     assert [r.taken for r in mixing.assign(blank).collect()] == [0, 0] and mixing.mix(blank).count() == 0
+
+
+def test_documents_that_do_not_fit_are_passed_over(spark):
+    """A source whose target is less than one document that comes early, with others of middle size."""
+    hashed = sorted(range(500), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    sizes = {i: 100 for i in hashed} | {hashed[20]: 50_000, hashed[60]: 21_000, hashed[90]: 9_000, hashed[100]: 7, hashed[480]: 3}
+    rows = [(i, "a", "w " * n) for i, n in sizes.items()] + [(1000 + i, "b" if i % 2 else "c", "w " * 100) for i in range(800)] + [(3000, None, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.assign(df, refill=True).collect()
+    for s in ("a", "b", "c", None):
+        own = [r for r in got if r.source == s]
+        whole = min(3, int(own[0].target // own[0].source_size))
+        gap = own[0].target - sum(r.taken for r in own)
+        untaken = [r.size for r in own if r.copies == whole]
+        assert all(r.copies in (whole, whole + 1) for r in own)
+        assert abs(gap) <= 50 and (whole == 3 or all(z > gap for z in untaken)), (s, gap)
+    mixed = mixing.mix(df, position="t").collect()
+    assert len(mixed) == sum(r.copies for r in got)
+    # the copies lie where the integral of the schedule, 1.5 t - 0.5 t^2 of the target, meets the running sum of what is taken
+    before, target = 0, next(r.target for r in got if r.source == "a")
+    for r in (r for r in mixed if r.source == "a"):
+        size = len(r.text.split())
+        assert r.t == 1 or (1.5 * r.t - 0.5 * r.t**2) * target == pytest.approx(before + size / 2)
+        before += size
+    assert sum(r.t == 1 for r in mixed if r.source == "a") <= 1
