@@ -43,7 +43,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.assign(_read(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    at = mixing.positions(["size", "source_size", "weight", "target", "copies", "end_words", "extra_words"])
+    placed = rows.select("doc_id", "size", "source_size", "target", "taken", "copies", F.col("position").alias("first_position"), at.alias("positions"))
+    return placed.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

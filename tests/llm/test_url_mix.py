@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from pipelens.llm import mixing, urlfilter
+from pipelens.llm import mixing, queries, urlfilter
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("Odd.org", "/pre", "block"), ("odd.org", "/pre", "allow"), ("x.y", "", "block"), (None, "/", "block")]
 URLS = [
@@ -140,3 +140,15 @@ def test_documents_that_do_not_fit_are_passed_over(spark):
         assert r.t == 1 or (1.5 * r.t - 0.5 * r.t**2) * target == pytest.approx(before + size / 2)
         before += size
     assert sum(r.t == 1 for r in mixed if r.source == "a") <= 1
+
+
+def test_query_has_the_positions_of_all_copies(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, "doc_id long, source string, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_mix(spark, str(tmp_path)).collect()
+    assert all(len(r.positions) == r.copies and r.positions == sorted(r.positions) for r in got)
+    want = sorted(r.t for r in mixing.mix(df, position="t", refill=False).collect())
+    assert sorted(t for r in got for t in r.positions) == pytest.approx(want)
+    first = [r.first_position for r in got]
+    taken = [t for t in first if t is not None]
+    assert first == sorted(taken) + [None] * (len(first) - len(taken)) and taken
