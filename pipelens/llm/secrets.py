@@ -5,8 +5,9 @@ token, an account name or an endpoint is common and harmless alone. Parts are
 joined by position within a scope, a paragraph and ``REACH`` characters around,
 and weak candidates are reported only where complementary parts (an identifier,
 a secret and, for named accounts, an endpoint) meet. The interval join is a
-sweep over the sorted parts of one text: for each part only the nearest of each
-other kind matters, so work and result are linear in the parts.
+sweep over the sorted parts of one text: whether a part has
+a partner of another kind, the nearest of that kind tells, so work and result
+are linear in the parts.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ KINDS = ("assign", "access", "hex", "key", "user", "endpoint")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Weak parts: a token that mixes cases and digits, an account name, an endpoint.
-KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[^a-z\s]*[a-z])(?=[^A-Z\s]*[A-Z])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")
+KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[^a-z\s]*[a-z])(?=[^A-Z\s]*[A-Z])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 USER = re.compile(r"(?:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,64})", re.I | re.A)
 ENDPOINT = re.compile(r"(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>|]{3,256}|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,253}", re.I | re.A)
 DIGIT = re.compile(r"[0-9]")
@@ -85,27 +86,24 @@ def linked(text: str, base: list[Span]) -> list[Span]:
     for s in sorted({*base, *weak}):
         by_kind.setdefault(s.kind, []).append(s)
 
-    def close(s: Span, kinds: tuple[int, ...]) -> list[Span]:
-        """The nearest part of each kind on either side, if it is in the scope."""
-        found = []
-        for kind in kinds:
-            row = by_kind.get(kind, [])
+    def close(s: Span, *rows: list[Span]) -> bool:
+        """Whether a part of the rows, each of one kind, is in the scope: the nearest on either side tells."""
+        for row in rows:
             i = bisect_left(row, s)
-            for x in (*row[max(0, i - 1) : i], *row[i : i + 2]):
+            for x in row[max(0, i - 1) : i + 1]:
                 gap = max(x.start - s.end, s.start - x.end)
                 apart = bisect_left(breaks, min(x.start, s.start)) != bisect_left(breaks, max(x.start, s.start))
-                if x != s and gap <= REACH and not apart:
-                    found.append(x)
-        return found
-
-    out: set[Span] = set()
-    for s in weak:
-        if s.kind == 3 and close(s, (1,)):
-            out.add(s)
-        elif s.kind == 4:
-            secrets, ends = close(s, (0, 2, 3)), close(s, (5,))
-            if secrets and ends:
-                out.update([s, *ends, *(x for x in secrets if x.kind == 3)])
+                if gap <= REACH and not apart:
+                    return True
+        return False
+
+    assigned, access, hexes, keys, users, ends = (by_kind.get(kind, []) for kind in range(len(KINDS)))
+    # each part is decided from its own side, so any number of them can share an account name
+    placed = [u for u in users if close(u, ends)]
+    trusted = [u for u in users if close(u, assigned, hexes, keys)]
+    out = {k for k in keys if close(k, access, placed)}
+    out.update(u for u in placed if close(u, assigned, hexes, keys))
+    out.update(e for e in ends if close(e, trusted))
     return sorted(out)
 
 
