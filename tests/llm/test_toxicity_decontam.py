@@ -128,3 +128,45 @@ def test_empty_tables(spark):
     assert decontam.find(docs, none).count() == 0 and decontam.remove(docs, none).count() == 1
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontam.find(docs.where("doc_id > 1"), items).count() == 0
+
+
+def index_of(items):
+    """An index built without Spark, over items of which the last sentence is no answer."""
+    split = [(i, decontam.words_of(t.encode())) for i, t in items]
+    split = [(i, w) for i, w in split if w]
+    df = {w: sum(w in own for _, own in split) for _, words in split for w in words}
+    return decontam.Index([(i, w, [], {x: df[x] for x in w}) for i, w in split], len(split), sum(len(w) for _, w in split) / len(split))
+
+
+def test_pieces_that_lie_apart_and_lost_rare_words_are_found():
+    filler = [f"f{j}" for j in range(400)]
+    words = [f"w{j}" for j in range(60)]
+    apart = words[:20] + filler + words[20:40] + filler + words[40:]
+    common = [f"c{j % 5}x{j}" for j in range(31)]
+    short = common + [f"rare{j}" for j in range(5)]
+    others = [(10 + n, " ".join(common[n % 7 :])) for n in range(60)]
+    items = [(1, " ".join(words)), (2, " ".join(short)), *others]
+    index = index_of(items)
+    for text in (" ".join(apart), " ".join(filler + short[:31] + filler)):
+        assert sorted(h[0] for h in index.hits([decontam.words_of(text.encode())])[0]) == sorted(plain_hits(text, items))
+    assert 1 in plain_hits(" ".join(apart), items) and 2 in plain_hits(" ".join(short[:31]), items)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_recall_is_one_over_torn_items(seed):
+    rng = random.Random(seed)
+    items, word = bench(rng, 150)
+    items += [(1000 + n, " ".join(word() for _ in range(n % 7 + 1))) for n in range(12)]
+    index, texts = index_of(items), []
+    for _ in range(400):
+        own, out = rng.choice(items)[1].split(), []
+        while own:  # torn in pieces, words lost and changed here and there
+            n = rng.randrange(1, 40)
+            piece, own = own[:n], own[n:]
+            if rng.random() < 0.15:
+                piece[rng.randrange(len(piece))] = rng.choice(["", word()])
+            out += [word() for _ in range(rng.randrange(0, 300))] + [w for w in piece if w]
+        texts.append(" ".join(out))
+    got = [sorted(h[0] for h in x) for x in index.hits([decontam.words_of(t.encode()) for t in texts])]
+    want = [sorted(plain_hits(t, items)) for t in texts]
+    assert got == want and sum(map(len, want)) > 200
