@@ -4,13 +4,15 @@ Vectors are scaled to unit length and rounded to int8 with a scale of their
 own. The product of two rounded vectors, exact in integers, is off the true
 cosine by at most a bound that follows from the measured rounding errors of
 both. A tile of candidates against a block of queries is one matrix product;
-a pair survives if its upper bound reaches the query's fifth-best score so far,
-and survivors are computed again in double precision. Per task and query a heap
-of the k best is kept; the heaps of all tasks are merged in the end. Nothing
-that could belong to the answer is dropped, so the answer is exact.
-
-Queries go to the tasks in blocks of ``QUERY_BLOCK`` rows, each block one
-broadcast of bounded size and one scan of the candidates, which never move.
+a pair survives if its upper bound reaches the query's k-th best lower bound of
+the tile, its own rows left out, and its k-th best score so far. Survivors are
+computed again in double precision. Per cell and query a heap of the k best is
+kept; the heaps of all cells are merged in the end. Nothing that could belong
+to the answer is dropped, so the answer is exact.
+
+The cells of the join are (part of the candidates, block of the queries): both
+sides are dealt to them by key, nothing goes through the driver, and a task
+reads its queries first and then streams candidates past them.
 """
 
 from __future__ import annotations
@@ -23,25 +25,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 8192
-#: Pairs of a product tile.
-CELLS = 1 << 21
+#: Queries of a block, about, and candidates of a part, at most about.
+QUERY_BLOCK, PART_ROWS = 1 << 14, 1 << 19
+#: Queries and candidates of a product tile.
+TILE_QUERIES, TILE_ROWS = 2048, 1024
 #: Pairs that are computed again at a time.
 PAIRS = 1 << 16
 
 
-def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``dim`` doubles and which of them count: not null, no null or non-finite component, not zero."""
-    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
-    ok = sizes == dim
-    out = np.zeros((len(column), dim))
-    if ok.any():
-        flat = pc.list_flatten(column.filter(pa.array(ok)))
-        out[ok] = pc.fill_null(flat.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False).reshape(-1, dim)
-    with np.errstate(invalid="ignore", over="ignore"):
-        ok &= np.isfinite(out).all(axis=1) & (out != 0).any(axis=1)
-    out[~ok] = 0
-    return out, ok
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of ``dim`` doubles, each times the power of two that brings its largest component to 0.5 at least.
+
+    Cosines stay the same to the last bit, and no square or product of large
+    or small components leaves the range of doubles.
+    """
+    rows = pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0))[1][:, None])
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,15 +53,37 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def quantised(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows of the unit vectors, scale, and length and rounding error of the rounded vectors."""
-    unit = rows / np.maximum(np.sqrt(np.einsum("ij,ij->i", rows / _peak(rows), rows / _peak(rows)))[:, None] * _peak(rows), 1e-300)
+    peak = np.maximum(np.abs(rows).max(axis=1, initial=0), 1e-300)[:, None]
+    unit = rows / peak
+    unit = unit / np.maximum(np.sqrt(np.einsum("ij,ij->i", unit, unit)), 1e-300)[:, None]
     scale = np.maximum(np.abs(unit).max(axis=1), 1e-300) / 127.0
     whole = np.rint(unit / scale[:, None]).astype(np.int8)
     back = whole * scale[:, None]
     return whole, scale, np.sqrt(np.einsum("ij,ij->i", back, back)), np.sqrt(np.einsum("ij,ij->i", unit - back, unit - back))
 
 
-def _peak(rows: np.ndarray) -> np.ndarray:
-    return np.maximum(np.abs(rows).max(axis=1, initial=0), 1e-300)[:, None]
+class Block:
+    """Vectors with their rounded forms."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.rows = ids, rows
+        whole, self.scale, self.length, self.error = quantised(rows)
+        # integers below 2**24 for up to 1040 dimensions: exact in single precision; else in double
+        self.whole = whole.astype(np.float32 if rows.shape[1] <= 1040 else np.float64)
+        self.norm = np.sqrt(dots(rows, rows))
+
+
+def survivors(q: Block, c: Block, at: slice, worst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query of ``at``, candidate) that can still be among the k best; ``worst`` has the queries' k-th scores so far."""
+    about = (q.whole[at] @ c.whole.T).astype(np.float64) * q.scale[at, None] * c.scale
+    # |q.c - q'.c'| <= |q| |c - c'| + |q - q'| |c'|, and a little for rounding in doubles
+    error = (1.0 + 1e-9) * c.error + q.error[at, None] * c.length + 1e-9
+    about[q.ids[at, None] == c.ids] = -np.inf
+    floor = worst
+    if len(c.ids) >= k:
+        lower = about - error
+        floor = np.maximum(floor, np.partition(lower, len(c.ids) - k, axis=1)[:, len(c.ids) - k])
+    return np.nonzero((about + error >= floor[:, None]) & (about > -np.inf))
 
 
 class Heaps:
@@ -87,43 +108,46 @@ class Heaps:
         self.score[touched], self.id[touched] = s[at], v[at]
 
 
-def _search(sent, dim: int, k: int):
+def _search(dim: int, k: int):
+    def block_of(table: pa.Table) -> Block:
+        return Block(table.column("vec_id").to_numpy(), matrix(table.column("v").combine_chunks(), dim))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_rows = sent.value
-        q8, q_scale, _, q_err = quantised(q_rows)
-        q_norm = np.sqrt(dots(q_rows, q_rows))
-        left = (q8.astype(np.float32), q_scale)
-        heaps = Heaps(len(q_ids), k)
-        tile_rows = max(256, CELLS // max(1, len(q_ids)))
+        cell, queries, asked, heaps = None, [], None, None
+
+        def best() -> pa.RecordBatch:
+            q, j = np.nonzero(np.isfinite(heaps.score))
+            return pa.RecordBatch.from_arrays([pa.array(asked.ids[q]), pa.array(heaps.id[q, j]), pa.array(heaps.score[q, j])], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, tile_rows):
-                part = batch.slice(at, tile_rows)
-                rows, ok = matrix(part.column(1), dim)
-                ids = part.column(0).to_numpy(zero_copy_only=False)[ok].astype(np.int64)
-                rows = rows[ok]
-                if not len(rows):
+            # rows come by cell, in each the queries first
+            key = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if key[a] // 2 != cell:
+                    if heaps is not None:
+                        yield best()
+                    cell, queries, asked, heaps = key[a] // 2, [], None, None
+                if key[a] % 2 == 0:
+                    queries.append(batch.slice(a, b - a))
+                    continue
+                if not queries:
                     continue
-                c8, c_scale, c_len, c_err = quantised(rows)
-                c_norm = np.sqrt(dots(rows, rows))
-                # integers below 2**24 for up to 1040 dimensions: exact in single precision; else in double
-                kind = np.float32 if dim <= 1040 else np.float64
-                tile = (left[0].astype(kind, copy=False) @ c8.astype(kind).T).astype(np.float64)
-                about = tile * left[1][:, None] * c_scale[None, :]
-                # |q.c - q'.c'| <= |q| |c - c'| + |q - q'| |c'|, and a little for rounding in doubles
-                upper = about + (1.0 + 1e-9) * c_err[None, :] + q_err[:, None] * c_len[None, :] + 1e-9
-                lower = 2 * about - upper
-                if len(rows) > k:  # the (k + 1)-th best lower bound holds even if the query itself is among them
-                    floor = np.partition(lower, len(rows) - k - 1, axis=1)[:, len(rows) - k - 1]
-                else:
-                    floor = np.full(len(q_ids), -np.inf)
-                keep = upper >= np.maximum(floor, heaps.score[:, -1])[:, None]
-                keep &= q_ids[:, None] != ids[None, :]
-                q_at, c_at = np.nonzero(keep)
-                for a in range(0, len(q_at), PAIRS):
-                    q, c = q_at[a : a + PAIRS], c_at[a : a + PAIRS]
-                    heaps.add(q, dots(q_rows[q], rows[c]) / (q_norm[q] * c_norm[c]), ids[c])
-        q, j = np.nonzero(np.isfinite(heaps.score))
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(heaps.id[q, j]), pa.array(heaps.score[q, j])], ["query_id", "vec_id", "score"])
+                if asked is None:
+                    asked = block_of(pa.Table.from_batches(queries))
+                    heaps = Heaps(len(asked.ids), k)
+                for lo in range(a, b, TILE_ROWS):
+                    tile = block_of(pa.Table.from_batches([batch.slice(lo, min(TILE_ROWS, b - lo))]))
+                    for first in range(0, len(asked.ids), TILE_QUERIES):
+                        at = slice(first, first + TILE_QUERIES)
+                        q_at, c_at = survivors(asked, tile, at, heaps.score[at, -1], k)
+                        for x in range(0, len(q_at), PAIRS):
+                            q, c = q_at[x : x + PAIRS] + first, c_at[x : x + PAIRS]
+                            heaps.add(q, dots(asked.rows[q], tile.rows[c]) / (asked.norm[q] * tile.norm[c]), tile.ids[c])
+        if heaps is not None:
+            yield best()
 
     return search
 
@@ -134,34 +158,33 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     Score is the cosine in double precision of the original vectors; ties go
     to the smaller id, and fewer than k candidates give as many rows. Rows
     with the query's own id are not its candidates. Null ids take no part, nor
-    do vectors that are null, zero, of another length than the longest, or
-    hold null or non-finite components. Rows that repeat an id are candidates
-    of their own; of queries that do, one (the greatest vector) counts. No
-    query gives no row.
+    do vectors that are null, zero, hold null or non-finite components, or are
+    of another length than most that have none of these (of lengths equally
+    frequent the longer counts). Rows that repeat an id are candidates of
+    their own; of queries that do, one (the greatest vector) counts. No query
+    gives no row.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.lit(is_query).alias("q") if isinstance(is_query, bool) else is_query.alias("q"))
-    dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    out = spark.createDataFrame([], schema)
-    if dim <= 0:
-        return out.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    held: list = []
-
-    def block(held: list) -> DataFrame:
-        table = pa.array([list(x[1]) for x in held], pa.list_(pa.float64()))
-        data, ok = matrix(table, dim)
-        ids = np.array([x[0] for x in held], dtype=np.int64)[ok]
-        sent = spark.sparkContext.broadcast((ids, data[ok]))
-        return rows.select("vec_id", "v").mapInArrow(_search(sent, dim, k), schema)
-
-    # queries stream through the driver, a block at a time
-    ordered = rows.where(F.col("q") & F.col("v").isNotNull()).groupBy("vec_id").agg(F.max("v").alias("v"))
-    for r in ordered.toLocalIterator():
-        held.append(r)
-        if len(held) == QUERY_BLOCK:
-            out, held = out.union(block(held)), []
-    if held:
-        out = out.union(block(held))
+    asks = F.lit(is_query) if isinstance(is_query, bool) else is_query
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(asks, F.lit(False)).alias("q"))
+    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    usable = rows.where(F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
+    counted = usable.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if("q").alias("q")).orderBy(F.col("n").desc(), F.col("dim").desc()).first()
+    if not counted or not counted["q"]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, n, n_queries = counted
+    usable = usable.where(F.size("v") == dim)
+    blocks = -(-n_queries // QUERY_BLOCK)
+    # as many parts as there are tasks to fill, but none of a few rows, and none above PART_ROWS
+    parts = max(-(-n // PART_ROWS), min(-(-n // (4 * TILE_ROWS)), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = usable.where("q").groupBy("vec_id").agg(F.max("v").alias("v"))
+    queries = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), every(parts).alias("part"), F.lit(0).alias("side"))
+    # in turn, so that neither a hot id nor a hot vector makes a large part
+    candidates = usable.select("vec_id", "v", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("part"))
+    candidates = candidates.select("vec_id", "v", every(blocks).alias("block"), "part", F.lit(1).alias("side"))
+    cell = (F.col("part") * blocks + F.col("block")).cast("long").alias("cell")
+    met = queries.select(cell, "side", "vec_id", "v").union(candidates.select(cell, "side", "vec_id", "v"))
+    found = met.repartition(parts * blocks, "cell").sortWithinPartitions("cell", "side").mapInArrow(_search(dim, k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

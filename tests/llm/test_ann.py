@@ -66,3 +66,39 @@ def test_fewer_candidates_and_none(spark):
     assert ann.nearest(df, F.col("vec_id") == 9).count() == 0
     assert ann.nearest(df.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
     assert ann.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0).count() == 0
+
+
+@pytest.mark.parametrize("repeats", [2, 4, 30])
+def test_rows_of_the_querys_own_id_take_no_place_of_others(repeats):
+    lost = 0
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        rows = rng.normal(size=(120, 16))
+        rows[:repeats] = rows[0] + 1e-3 * rng.normal(size=(repeats, 16))
+        ids = np.arange(120)
+        ids[:repeats] = 0
+        ask, all_ = ann.Block(np.array([0]), rows[:1]), ann.Block(ids, rows)
+        _, at = ann.survivors(ask, all_, slice(0, 1), np.array([-np.inf]), 5)
+        true = rows @ rows[0] / np.linalg.norm(rows, axis=1)
+        best = sorted((-true[i], i) for i in range(repeats, 120))[:5]
+        lost += len({i for _, i in best} - set(at.tolist()))
+        assert not set(at.tolist()) & set(range(repeats))
+    assert lost == 0
+
+
+def test_repeated_ids_extreme_components_and_odd_lengths(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(i) % 40, (v * 10.0 ** float(e)).tolist()) for i, (v, e) in enumerate(zip(rng.normal(size=(160, 8)), rng.choice([-300, -200, -160, 0, 160, 200, 300], 160)))]
+    odd = [(5, [1.0] * 30), (7, [float("nan")] * 30), (8, [None] * 9), (8, [0.0] * 9)]  # longer, usable or not
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(3)
+
+    def unit(v):
+        v = [x / max(map(abs, v)) for x in v]
+        return [x / sum(y * y for y in v) ** 0.5 for x in v]
+
+    own = {q: max(v for i, v in rows if i == q) for q in range(0, 40, 4)}
+    got = {(r.query_id, r["rank"]): r.score for r in ann.nearest(df, F.col("vec_id") % 4 == 0).collect()}
+    for q, v in own.items():
+        want = sorted((-sum(a * b for a, b in zip(unit(v), unit(w))), i) for i, w in rows if i != q)[:5]
+        assert [got[q, r] for r in range(1, 6)] == pytest.approx([-s for s, _ in want], abs=1e-12)
+    assert len(got) == 50
