@@ -12,10 +12,10 @@ are linear in the parts.
 
 from __future__ import annotations
 
-import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -32,11 +32,11 @@ KINDS = ("assign", "access", "hex", "key", "user", "endpoint")
 #: Words without which the first pattern can't match.
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Weak parts: a token that mixes cases and digits, an account name, an endpoint.
-KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[^a-z\s]*[a-z])(?=[^A-Z\s]*[A-Z])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
-USER = re.compile(r"(?:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,64})", re.I | re.A)
-ENDPOINT = re.compile(r"(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>|]{3,256}|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,253}", re.I | re.A)
-DIGIT = re.compile(r"[0-9]")
+#: Weak parts: a token that mixes cases and digits, an account name, an endpoint. A token is taken whole and looked at then, so that time is linear.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+USER = re.compile(r"(?:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})", re.I | re.A)
+ENDPOINT = re.compile(r"(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>|]{3,}|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}", re.I | re.A)
+DIGIT, LOWER, UPPER = (re.compile(x) for x in ("[0-9]", "[a-z]", "[A-Z]"))
 REACH = 200
 
 
@@ -58,11 +58,17 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def is_key(token: str) -> bool:
+    """Whether a token looks like a key: 16 characters with digits and both cases, and at most two ``=``, at its end."""
+    body = token.rstrip("=")
+    return len(body) >= 16 and len(token) - len(body) <= 2 and "=" not in body and all(x.search(body) for x in (DIGIT, LOWER, UPPER))
+
+
 def weak_spans(text: str) -> list[Span]:
     """Weak parts of a text. What a pattern can't do without is looked for first, as most texts have none of it."""
     out, low = [], text.lower()
     if DIGIT.search(text):
-        out += [Span(m.start(), 3, m.end()) for m in KEY.finditer(text)]
+        out += [Span(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if is_key(m[0])]
     if any(x in low for x in ("user", "login", "account", "client")):
         out += [Span(m.start(1), 4, m.end(1)) for m in USER.finditer(text)]
     if "://" in text or any(x in low for x in ("host", "endpoint", "server")):
@@ -78,7 +84,9 @@ def linked(text: str, base: list[Span]) -> list[Span]:
     base patterns does for the key. Parts are near if one paragraph holds them
     and at most ``REACH`` characters lie between.
     """
-    weak = [s for s in weak_spans(text) if s.kind != 3 or not any(b.start <= s.start and s.end <= b.end for b in _near(base, s))]
+    starts, ends_so_far = [b.start for b in base], list(accumulate((b.end for b in base), max))
+    inside = lambda s: (i := bisect_right(starts, s.start)) > 0 and ends_so_far[i - 1] >= s.end
+    weak = [s for s in weak_spans(text) if s.kind != 3 or not inside(s)]  # a key within a base span is reported already
     if not weak:
         return []
     breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
@@ -107,11 +115,6 @@ def linked(text: str, base: list[Span]) -> list[Span]:
     return sorted(out)
 
 
-def _near(base: list[Span], s: Span) -> list[Span]:
-    i = bisect_left(base, Span(s.start, -1, 0))
-    return base[max(0, i - 4) : i + 4]
-
-
 def spans_text(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[s.kind]}:{s.start}:{s.end}" for s in spans)
 
@@ -139,7 +142,3 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return picked.mapInArrow(find, "doc_id long, n_assign long, n_access long, n_hex long, base_spans string, spans string")
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
