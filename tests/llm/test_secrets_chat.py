@@ -5,8 +5,10 @@ import re
 import time
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pipelens.llm import chat, queries, secrets
 from pipelens.llm.secrets import Span
@@ -201,3 +203,71 @@ def test_long_chains_and_repeated_rows(spark):
     got = chat.conversations(spark.createDataFrame([(*r, 1, "x") for r in rows + rows[:2]], SCHEMA)).collect()
     assert len(got) == 72 and all(r.thread == 0 for r in got) and sorted(r.position for r in got) == list(range(72))
     assert chat.conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_parse(text):
+    """Own text, quoted passages and own passages, line by line and without patterns."""
+    lines = []
+    for line in text.split("\n"):
+        depth, rest = 0, line
+        while rest.lstrip(" \t").startswith(">"):
+            rest, depth = rest.lstrip(" \t")[1:], depth + 1
+        lines.append((depth, rest.lstrip(" \t") if depth else line))
+    own, quoted, i = [], [], 0
+    plain = lambda x: " ".join("".join(c.lower() if c.isascii() else c for c in x).split(" ")).replace("\n", " ").replace("\t", " ")
+    words = lambda x: " ".join(w for w in plain(x).split(" ") if w)
+
+    def pieces(run):
+        out, part = [words("\n".join(run)), *map(words, run)], []
+        for line in [*run, ""]:
+            if line.strip(" \t"):
+                part.append(line)
+            else:
+                out.append(words("\n".join(part)))
+                part = []
+        return {x for x in out if x}
+
+    while i < len(lines):
+        depth, j = lines[i][0], i
+        while j < len(lines) and lines[j][0] == depth:
+            j += 1
+        run = [x for _, x in lines[i:j]]
+        if depth:
+            if own and i and not lines[i - 1][0] and own[-1].rstrip(" \t").endswith("wrote:"):
+                own.pop()
+            quoted += [(depth, xxhash.xxh64_intdigest(x.encode())) for x in pieces(run)]
+        else:
+            own += run
+        i = j
+    body = "\n".join(own).strip("\n")
+    return body, sorted(quoted), sorted(xxhash.xxh64_intdigest(x.encode()) for x in pieces(own))
+
+
+LINES = ["", "", "Hello THERE", "  spaced   out ", "> one", ">one", "> > two", ">> Two", "> ", ">", "On Monday Bob wrote:", "a " * 150 + "wrote:", "é ü", "x > y", "\t> tabbed", "> one two", "> three"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(LINES), max_size=14).map("\n".join))
+def test_parsing_is_that_of_a_plain_parser(text):
+    body, quoted, wrote = chat.parse(text)
+    assert (body, sorted(quoted), wrote) == plain_parse(text)
+
+
+def test_partial_quotes_with_lines_broken_anew(spark):
+    first = "One two three\nfour five.\n\nSix seven\neight nine.\n\nTen eleven."
+    rows = [(1, 0, "user", first), (1, 1, "user", "> One two three four\n> five.\n>\n> Six seven eight\n> nine.\nNo.")]
+    got = {r.turn: r for r in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].reply_to == 0 and got[1].text == "No." and got[1].n_linked == 2
+
+
+def test_a_hot_conversation_of_equal_lines(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.when(F.col("id") % 3 == 2, "> same line\nanswer").otherwise("same line").alias("text"))
+    same = spark.range(5_000).select(F.lit(2).alias("conv_id"), F.lit(7).alias("turn"), F.lit("user").alias("role"), F.lit("equal").alias("text"))
+    got = chat.conversations(rows.union(same).repartition(8)).where("conv_id = 1")
+    assert got.where("turn % 3 = 2 AND (reply_to <> turn - 1 OR reply_to IS NULL)").count() == 0
+    r = got.agg(F.count("*"), F.countDistinct("position"), F.max("position")).first()
+    assert tuple(r) == (n, n, n - 1)
+    assert {r.position for r in chat.conversations(same).collect()} == set(range(5_000))
+    order = [(r.thread, r.turn) for r in got.orderBy("position").collect()]
+    assert order == sorted(order)
