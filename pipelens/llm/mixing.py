@@ -1,12 +1,15 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
-Each source has a target in words and a weight schedule over training progress
-t in [0, 1]. The schedule, integrated, says how many of its words are demanded
-by t; inverting that gives every document copy the t at which it is read, and
-the copies are range-sorted by t. Order within a source is by the MD5 of the
-document's id, so reruns and other partitionings agree. Running sums are taken
-in two steps, within buckets of that hash and over the buckets, so that a
-source with a third of all rows is not one group.
+Each source has a target in words and a weight schedule over t in [0, 1]. The
+schedule, integrated, says how many of its words are demanded by t; inverting
+that gives every document copy the t at which it is read, one t for all
+sources, and the copies are range-sorted by t. The demands of all sources added
+up turn t into training progress, the share of all words read by then. Order
+within a source is by the MD5 of the document's id, so reruns and other
+partitionings agree. Words are counted once, in a table without texts, from
+which all decisions follow; running sums are taken in two steps, within buckets
+of that hash and over the buckets, so that a source with a third of all rows is
+not one group.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import WORD, cut, fresh
+from pipelens.llm.common import WORD, cut
 
 #: Most copies of one document in a mix.
 MOST = 3
@@ -25,7 +28,7 @@ PASSES = 3
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """Targets of sources, from rows (source, source_size).
+    """Rows (source, source_size and any others) with the weights and targets of the sources.
 
     Sources by code point, null last, weigh 1, 2, 3, 1 and so on. Together
     they share the sum of all sizes by weight; no target exceeds ``MOST``
@@ -47,7 +50,7 @@ def targets(sizes: DataFrame) -> DataFrame:
         # the first source, by ratio, that the level of what is left does not exceed
         .withColumn("final", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("level").alias("v")))).over(all_rows))
         .withColumn("target", F.least(MOST * F.col("source_size").cast("double"), F.coalesce(F.col("final.v") * F.col("weight"), MOST * F.col("source_size").cast("double"))))
-        .select("source", "source_size", "weight", "target")
+        .select(*sizes.columns, "weight", "target")
     )
 
 
@@ -59,8 +62,72 @@ def position_of(demand: Column, target: Column, start: Column, end: Column) -> C
     return F.when(slope == 0, share).otherwise((F.sqrt(start * start + 2 * slope * area) - start) / slope)
 
 
-def assign(docs: DataFrame, schedule=SCHEDULE, id_col: str = "doc_id", source: str = "source", text: str = "text", carry: list[str] | None = None, refill: bool = False) -> DataFrame:
-    """One row per document: size, source_size, weight, target, copies, taken and the numbers that positions need.
+def progress_of(t: Column, totals: dict[int, float], schedule=SCHEDULE) -> Column:
+    """The share of all words that the sources together have demanded by t; ``totals`` has the targets by weight."""
+    words = F.lit(0.0)
+    for weight, (a, b) in enumerate(schedule, 1):
+        words = words + F.lit(totals.get(weight, 0.0)) * ((F.lit(float(a)) * t + F.lit(float(b) - float(a)) * t * t / F.lit(2.0)) / F.lit((float(a) + float(b)) / 2))
+    return words / F.lit(sum(totals.get(w, 0.0) for w in range(1, len(schedule) + 1)) or 1.0)
+
+
+def _base(docs: DataFrame, id_col: str, source: str, text: str, row: bool) -> DataFrame:
+    """What the mix needs of every document, and with ``row`` the document itself, as one column so that no name can clash."""
+    return docs.select(
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if row else []),
+        F.col(id_col).alias("doc_id"), F.col(source).alias("source"),
+        # never null, so that joins and windows by it share one partitioning
+        F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("group"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
+        F.xxhash64(text).alias("tie"),
+    )
+
+
+ORDER = ("key", "doc_id", "size", "tie")
+
+
+class Plan:
+    """The sources' targets and the words before each bucket of a source, from documents without their texts."""
+
+    def __init__(self, slim: DataFrame, schedule):
+        self.schedule = schedule
+        sizes = slim.groupBy("group", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+        plan = targets(sizes).select(
+            "group", "source_size", "weight", "target",
+            F.ceil(F.sqrt("n")).alias("buckets"),  # as many buckets as a bucket has documents, about
+            F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long").alias("whole"),
+        )
+        self.plan = cut(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+        # whether there are few enough sources to broadcast what is known of them: it is counted, up to the bound
+        self.few = self.plan.limit(10_001).count() <= 10_000
+        # in decimals, so that the sum is the same in any order
+        self.totals = {r[0]: float(r[1]) for r in self.plan.groupBy("weight").agg(F.sum(F.col("target").cast("decimal(38,6)"))).collect()}
+        self.slim = self.running(slim, self.before(slim, F.col("size")))
+
+    def small(self, sources: DataFrame) -> DataFrame:
+        return F.broadcast(sources) if self.few else sources
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with their source's plan and their bucket, by the hash."""
+        there = rows.join(self.small(self.plan), "group")
+        return there.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(1 << 32)).cast("int"))
+
+    def before(self, rows: DataFrame, words: Column) -> DataFrame:
+        """(group, bucket, before): the words of the buckets of a source before each."""
+        sums = (rows if "bucket" in rows.columns else self.placed(rows)).groupBy("group", "bucket").agg(F.sum(words).alias("words"))
+        return sums.select("group", "bucket", (F.sum("words").over(Window.partitionBy("group").orderBy("bucket")) - F.col("words")).alias("before"))
+
+    def running(self, rows: DataFrame, before: DataFrame) -> DataFrame:
+        """Rows with ``end``, the running sum of sizes in hash order, and ``extra``, whether one copy more fits in order."""
+        order = Window.partitionBy("group", "bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+        summed = self.placed(rows).withColumn("end", F.sum("size").over(order)).join(before, ["group", "bucket"])
+        summed = summed.withColumn("end", F.col("end") + F.col("before")).drop("before")
+        free = (F.col("whole") < MOST) & (F.col("size") > 0)
+        return summed.withColumn("free", free).withColumn("extra", (free & (F.col("end") <= F.col("rest"))).cast("long"))
+
+
+def assign(docs: DataFrame, schedule=SCHEDULE, id_col: str = "doc_id", source: str = "source", text: str = "text", refill: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, weight, target, copies, taken and its copies' places in the mix.
 
     A null text has size 0; nulls of ``source`` are one source. Every document
     is taken ``floor(target / source_size)`` times; one more time, in hash
@@ -68,194 +135,116 @@ def assign(docs: DataFrame, schedule=SCHEDULE, id_col: str = "doc_id", source: s
     the gap that then remains goes to the untaken document nearest to it in
     size, if that brings the source nearer. With ``refill`` documents that do
     not fit are passed over before that, until no untaken document fits the
-    gap (``_refilled``). Repeated rows count as documents
-    of their own. ``carry`` names further columns to keep; an empty table
-    gives no rows.
+    gap (``_refilled``). ``positions`` are the t of the schedule at which the
+    copies are read, ascending, ``position`` is the first of them (null if
+    none is taken) and ``progress`` the share of all words read by then.
+    Repeated rows count as documents of their own; an empty table gives no rows.
     """
-    carry = list(carry or [])
-    names = {c: fresh(c, carry) for c in ("m_id", "m_src", "m_size", "m_key", "m_bucket", "m_tie")}
-    i, s, z, k, b, tie = names.values()
-    base = docs.select(
-        *(F.col(f"`{c}`") for c in carry),
-        F.col(id_col).alias(i), F.col(source).alias(s),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias(z),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias(k),
-        (F.xxhash64(text) if carry else F.lit(0)).alias(tie),
-    )
-    sizes = base.groupBy(F.col(s).alias("source")).agg(F.sum(z).alias("source_size"), F.count("*").alias("n"))
-    plan = targets(sizes.select("source", "source_size")).join(sizes.select(F.col("source").alias("n_source"), "n"), F.col("source").eqNullSafe(F.col("n_source"))).drop("n_source")
-    plan = plan.select(
-        F.col("source").alias("p_source"), "source_size", "weight", "target",
-        F.ceil(F.sqrt("n")).alias("buckets"),  # as many buckets as a bucket has documents, about
-        F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long").alias("whole"),
-    ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = plan.withColumnsRenamed({c: fresh(c, carry) for c in plan.columns})
-    p_source, source_size, weight, target, buckets, whole, rest = plan.columns
-    few = _few(plan)
-    placed = base.join(F.broadcast(plan) if few else plan, F.col(s).eqNullSafe(F.col(p_source))).drop(p_source)
-    placed = placed.withColumn(b, F.floor(F.conv(F.substring(k, 1, 8), 16, 10).cast("long") * F.col(buckets) / F.lit(1 << 32)).cast("int"))
-    before = (
-        placed.groupBy(F.col(s).alias("q_source"), F.col(b).alias("q_bucket")).agg(F.sum(z).alias("in_bucket"))
-        .withColumn("q_before", F.sum("in_bucket").over(Window.partitionBy("q_source").orderBy("q_bucket")) - F.col("in_bucket")).drop("in_bucket")
-    )
-    before = before.withColumnsRenamed({c: fresh(c, placed.columns) for c in before.columns})
-    q_source, q_bucket, q_before = before.columns
-    order = Window.partitionBy(s, b).orderBy(k, F.col(i), z, tie).rowsBetween(Window.unboundedPreceding, 0)
-    end, extra = fresh("m_end", carry), fresh("m_extra", carry)
-    summed = placed.withColumn(end, F.sum(z).over(order)).join(before, F.col(s).eqNullSafe(F.col(q_source)) & (F.col(b) == F.col(q_bucket)))
-    summed = summed.withColumn(end, F.col(end) + F.col(q_before)).drop(q_source, q_bucket, q_before)
-    summed = summed.withColumn(extra, ((F.col(whole) < MOST) & (F.col(z) > 0) & (F.col(end) <= F.col(rest))).cast("long"))
-    n = names | {"end": end, "extra": extra, "rest": rest, "whole": whole, "source_size": source_size, "weight": weight, "target": target}
-    if refill:
-        n["run"] = fresh("m_run", summed.columns)
-        return _finished(_refilled(summed, n, few), n, carry, schedule)
-    gap = summed.groupBy(F.col(s).alias("g_source")).agg((F.first(rest) - F.coalesce(F.max(F.when(F.col(extra) == 1, F.col(end))), F.lit(0))).alias("g_gap"))
-    return _filled(summed, gap, n, carry, schedule)
-
-
-def _few(plan: DataFrame) -> bool:
-    """Whether there are few enough sources to broadcast their plan: it is counted, up to the bound."""
-    return plan.limit(10_001).count() <= 10_000
+    plan = Plan(cut(_base(docs, id_col, source, text, False)), schedule)
+    rows = (_refilled if refill else _filled)(plan, plan.slim)
+    return rows.select("doc_id", "source", "size", "source_size", "weight", "target", "copies", "taken", "position", "positions", progress_of(F.col("position"), plan.totals, schedule).alias("progress"))
 
 
-def _refilled(summed: DataFrame, n: dict, few: bool) -> DataFrame:
-    """``summed`` with more documents taken until none that is left fits its source's gap, and the one that then brings it nearest.
+def _refilled(plan: Plan, rows: DataFrame) -> DataFrame:
+    """``rows`` with more documents taken until none that is left fits its source's gap, and the one that then brings it nearest.
 
     A pass goes on in hash order over the untaken documents that fit the gap
     alone, as long as their running sum fits. After ``PASSES`` of them the
     smallest are taken, whole sizes first and then, in hash order, what fits
     of the next size. What a pass takes is named by two numbers for each
     source, a greatest size and a last running sum, so documents are only
-    marked by a join with the sources.
+    marked by a join with the sources. ``rows`` may carry the documents.
     """
-    held = cut(summed.select(
-        F.col(n["m_src"]).alias("s"), F.col(n["m_bucket"]).alias("b"), F.col(n["m_size"]).alias("z"), F.col(n["end"]).alias("end"),
-        F.col(n["extra"]).alias("extra"), F.col(n["rest"]).alias("rest"), ((F.col(n["whole"]) < MOST) & (F.col(n["m_size"]) > 0)).alias("free"),
-    ))
-    state = cut(held.groupBy(F.col("s").alias("g")).agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("extra") == 1, F.col("end"))), F.lit(0))).alias("gap")))
-    untaken = held.where("free AND extra = 0").select("s", "b", "z", "end")
+    held = cut(plan.slim.select("group", "bucket", "size", "end", "extra", "rest", "free"))
+    state = cut(held.groupBy("group").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("extra") == 1, F.col("end"))), F.lit(0))).alias("gap")))
+    untaken = held.where("free AND extra = 0").select("group", "bucket", "size", "end")
     everything = F.lit((1 << 63) - 1)
     picks: list[DataFrame] = []
 
     def took(limits: DataFrame) -> None:
-        """Note what a pass took, rows (g, most, last, words), and lower the gaps."""
+        """Note what a pass took, rows (group, most, last, words), and lower the gaps."""
         nonlocal state, untaken
         limits = cut(limits)
-        picks.append(limits)
-        kept = limits.select(F.col("g").alias("t"), "most", "last", "words")
-        state = cut(state.join(kept, F.col("g").eqNullSafe(F.col("t")), "left").select("g", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap")))
-        there = untaken.join(F.broadcast(kept) if few else kept, F.col("s").eqNullSafe(F.col("t")), "left")
-        untaken = there.where(F.coalesce((F.col("z") > F.col("most")) | (F.col("end") > F.col("last")), F.lit(True))).select("s", "b", "z", "end")
+        picks.append(limits.select("group", F.struct("most", "last").alias("pick")))
+        state = cut(state.join(limits, "group", "left").select("group", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap")))
+        there = untaken.join(plan.small(limits), "group", "left")
+        untaken = there.where(F.coalesce((F.col("size") > F.col("most")) | (F.col("end") > F.col("last")), F.lit(True))).select("group", "bucket", "size", "end")
 
     def in_order(most: DataFrame) -> DataFrame:
-        """What fits of the documents up to a size, in hash order; ``most`` has rows (g, gap, most)."""
-        fits = untaken.join(F.broadcast(most) if few else most, F.col("s").eqNullSafe(F.col("g"))).where("z <= most")
-        sums = fits.groupBy(F.col("s").alias("q"), F.col("b").alias("c")).agg(F.sum("z").alias("words"))
-        sums = sums.select("q", "c", (F.sum("words").over(Window.partitionBy("q").orderBy("c")) - F.col("words")).alias("before"))
-        order = Window.partitionBy("s", "b").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
-        run = fits.withColumn("run", F.sum("z").over(order)).join(sums, F.col("s").eqNullSafe(F.col("q")) & (F.col("b") == F.col("c")))
+        """What fits of the documents up to a size, in hash order; ``most`` has rows (group, gap, most)."""
+        fits = untaken.join(plan.small(most), "group").where("size <= most")
+        order = Window.partitionBy("group", "bucket").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
+        run = fits.withColumn("run", F.sum("size").over(order)).join(plan.before(fits, F.col("size")), ["group", "bucket"])
         run = run.withColumn("run", F.col("run") + F.col("before")).where("run <= gap")
-        return run.groupBy("g").agg(F.first("most").alias("most"), F.max("end").alias("last"), F.max("run").alias("words"))
+        return run.groupBy("group").agg(F.first("most").alias("most"), F.max("end").alias("last"), F.max("run").alias("words"))
 
     for _ in range(PASSES):
-        took(in_order(state.select("g", "gap", F.col("gap").alias("most"))))
-    by_size = untaken.groupBy("s", "z").agg(F.sum("z").alias("words")).withColumn("run", F.sum("words").over(Window.partitionBy("s").orderBy("z")))
-    by_size = cut(by_size.join(state, F.col("s").eqNullSafe(F.col("g"))).select("g", "gap", "z", "run"))
-    took(by_size.where("run <= gap").groupBy("g").agg(F.max("z").cast("double").alias("most"), F.max("run").alias("words")).select("g", "most", everything.alias("last"), "words"))
-    smallest = by_size.where("run > gap").groupBy(F.col("g").alias("u")).agg(F.min("z").cast("double").alias("most"))
-    took(in_order(state.join(smallest, F.col("g").eqNullSafe(F.col("u"))).select("g", "gap", "most")))
-
-    near = F.abs(F.col("z") - F.col("gap"))
-    filler = untaken.join(F.broadcast(state) if few else state, F.col("s").eqNullSafe(F.col("g"))).where(near < F.col("gap"))
-    filler = filler.groupBy(F.col("g").alias("f")).agg(F.min(F.struct(near.alias("near"), "end")).alias("nearest"))
-    marks = state.join(filler, F.col("g").eqNullSafe(F.col("f")), "left").select("g", F.col("nearest.end").alias("only"))
-    for x in picks:
-        x = x.select(F.col("g").alias("p"), F.struct("most", "last").alias("pick"))
-        marks = marks.join(x, F.col("g").eqNullSafe(F.col("p")), "left").withColumn(f"pick_{len(marks.columns)}", F.col("pick")).drop("p", "pick")
-    marks = cut(marks.select("g", "only", F.array_compact(F.array(*marks.columns[2:])).alias("picks")))
-
-    def marked(rows: DataFrame, source: str, size: str, end: str, extra: str, free: Column) -> DataFrame:
-        own = marks.withColumnsRenamed({c: fresh(c, rows.columns) for c in marks.columns})
-        g, only, picked = own.columns
-        more = F.exists(F.col(picked), lambda x: (F.col(size) <= x["most"]) & (F.col(end) <= x["last"])) | F.coalesce(F.col(end) == F.col(only), F.lit(False))
-        there = rows.join(F.broadcast(own) if few else own, F.col(source).eqNullSafe(F.col(g)))
-        return there.withColumn(extra, F.greatest(F.col(extra), (more & free).cast("long"))).drop(*own.columns)
+        took(in_order(state.select("group", "gap", F.col("gap").alias("most"))))
+    by_size = untaken.groupBy("group", "size").agg(F.sum("size").alias("words")).withColumn("run", F.sum("words").over(Window.partitionBy("group").orderBy("size")))
+    by_size = cut(by_size.join(state, "group").select("group", "gap", "size", "run"))
+    took(by_size.where("run <= gap").groupBy("group").agg(F.max("size").cast("double").alias("most"), F.max("run").alias("words")).select("group", "most", everything.alias("last"), "words"))
+    smallest = by_size.where("run > gap").groupBy("group").agg(F.min("size").cast("double").alias("most"))
+    took(in_order(state.join(smallest, "group").select("group", "gap", "most")))
+
+    marks = state.join(_nearest(plan, untaken, state), "group", "left")
+    for i, x in enumerate(picks):
+        marks = marks.join(x.withColumnRenamed("pick", f"pick_{i}"), "group", "left")
+    marks = cut(marks.select("group", "only", F.array_compact(F.array(*(f"pick_{i}" for i in range(len(picks))))).alias("picks")))
+
+    def marked(some: DataFrame) -> DataFrame:
+        more = F.exists("picks", lambda x: (F.col("size") <= x["most"]) & (F.col("end") <= x["last"])) | F.coalesce(F.col("end") == F.col("only"), F.lit(False))
+        return some.join(plan.small(marks), "group").withColumn("extra", F.greatest("extra", (more & F.col("free")).cast("long"))).drop("only", "picks")
 
     # the extra copies are dealt in hash order, so they have running sums of their own
-    sums = marked(held, "s", "z", "end", "extra", F.col("free")).groupBy(F.col("s").alias("q"), F.col("b").alias("c")).agg(F.sum(F.col("z") * F.col("extra")).alias("words"))
-    sums = sums.select("q", "c", (F.sum("words").over(Window.partitionBy("q").orderBy("c")) - F.col("words")).alias("before"))
-    sums = sums.withColumnsRenamed({c: fresh(c, summed.columns) for c in sums.columns})
-    q, c, before = sums.columns
-    s, b, size, extra = (n[x] for x in ("m_src", "m_bucket", "m_size", "extra"))
-    order = Window.partitionBy(s, b).orderBy(n["m_key"], n["m_id"], size, n["m_tie"]).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.sum(F.col(size) * F.col(extra)).over(order)
-    rows = marked(summed, s, size, n["end"], extra, (F.col(n["whole"]) < MOST) & (F.col(size) > 0)).withColumn(n["run"], run)
-    rows = rows.join(sums, F.col(s).eqNullSafe(F.col(q)) & (F.col(b) == F.col(c)))
-    return rows.withColumn(n["run"], F.col(n["run"]) + F.col(before)).drop(q, c, before)
-
-
-def _filled(summed: DataFrame, gap: DataFrame, n: dict, carry: list[str], schedule) -> DataFrame:
-    """Give each source's gap to the untaken document nearest in size, one row of it, and finish the columns."""
-    s, z, k, end, extra, rest, whole = (n[x] for x in ("m_src", "m_size", "m_key", "end", "extra", "rest", "whole"))
-    untaken = summed.where((F.col(extra) == 0) & (F.col(whole) < MOST) & (F.col(z) > 0)).select(
-        F.col(s).alias("u_source"), F.col(z).alias("u_size"), F.col(end).alias("u_end"), F.col(k).alias("u_key"), F.col(rest).alias("u_rest")
-    )
-    near = F.abs(F.col("u_size") - F.col("g_gap"))
-    filler = (
-        untaken.join(gap, F.col("u_source").eqNullSafe(F.col("g_source"))).where(near < F.col("g_gap"))
-        .groupBy("u_source").agg(F.min(F.struct(near.alias("near"), F.col("u_key").alias("key"), F.col("u_end").alias("end"))).alias("f"))
-        .select(F.col("u_source").alias("f_source"), F.col("f.end").alias("f_end"))
-    )
-    filler = filler.withColumnsRenamed({c: fresh(c, summed.columns) for c in filler.columns})
-    f_source, f_end = filler.columns
-    # the running sum of a document with words is different from all others of its source
-    done = summed.join(filler, F.col(s).eqNullSafe(F.col(f_source)) & (F.col(end) == F.col(f_end)) & (F.col(z) > 0), "left")
-    done = done.withColumn(extra, F.col(extra) + F.when(F.col(f_end).isNotNull(), 1).otherwise(0)).drop(f_source, f_end)
-    return _finished(done, n | {"run": end}, carry, schedule)
-
-
-def _finished(done: DataFrame, n: dict, carry: list[str], schedule) -> DataFrame:
-    """The columns that ``assign`` returns."""
-    z, end, extra = F.col(n["m_size"]), F.col(n["end"]), F.col(n["extra"])
-    copies = F.col(n["whole"]) + extra
-    out = {c: fresh(c, carry) for c in ("doc_id", "source", "size", "copies", "taken", "end_words", "position", "extra_words")}
-    rows = done.select(
-        *(F.col(f"`{c}`") for c in carry),
-        F.col(n["m_id"]).alias(out["doc_id"]), F.col(n["m_src"]).alias(out["source"]), z.alias(out["size"]),
-        F.col(n["source_size"]), F.col(n["weight"]), F.col(n["target"]),
-        copies.cast("long").alias(out["copies"]), (copies * z).cast("long").alias(out["taken"]),
-        end.alias(out["end_words"]), F.when(extra > 0, F.col(n["run"])).alias(out["extra_words"]),
-    )
-    names = [out["size"], n["source_size"], n["weight"], n["target"], out["copies"], out["end_words"], out["extra_words"]]
-    return rows.withColumn(out["position"], F.get(positions(names, schedule), F.lit(0)))
-
-
-def positions(columns: list[str], schedule=SCHEDULE) -> Column:
-    """The training positions of a document's copies, ascending.
-
-    ``columns`` names size, source_size, weight, target, copies, end_words and
-    extra_words, the running sum that the copy beyond the whole ones has.
-    """
-    size, source_size, weight, target, copies, end, extra = (F.col(c) for c in columns)
-    start_w = F.element_at(F.array(*(F.lit(float(a)) for a, _ in schedule)), weight)
-    end_w = F.element_at(F.array(*(F.lit(float(b)) for _, b in schedule)), weight)
-    each = F.sequence(F.lit(0).cast("long"), copies - 1)
-    sum_of = lambda copy: F.when((copy == copies - 1) & extra.isNotNull(), extra).otherwise(end)
-    at = F.transform(each, lambda copy: position_of(copy * source_size + sum_of(copy) - size / 2, target, start_w, end_w))
-    return F.when(copies > 0, at).otherwise(F.array().cast("array<double>"))
-
-
-def mix(docs: DataFrame, schedule=SCHEDULE, position: str | None = None, **kwargs) -> DataFrame:
+    order = Window.partitionBy("group", "bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    sums = cut(plan.before(marked(held), F.col("size") * F.col("extra")))
+    done = marked(rows).withColumn("run", F.sum(F.col("size") * F.col("extra")).over(order)).join(sums, ["group", "bucket"])
+    return _finished(done.withColumn("run", F.col("run") + F.col("before")).drop("before"), plan)
+
+
+def _nearest(plan: Plan, untaken: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(group, only): the running sum that names the untaken document nearest in size to its source's gap, if it brings the source nearer."""
+    near = F.abs(F.col("size") - F.col("gap"))
+    found = untaken.join(plan.small(gaps), "group").where(near < F.col("gap"))
+    # the running sum of a document with words is different from all others of its source, and ascends with the hash
+    return found.groupBy("group").agg(F.min(F.struct(near.alias("near"), "end")).alias("f")).select("group", F.col("f.end").alias("only"))
+
+
+def _filled(plan: Plan, rows: DataFrame) -> DataFrame:
+    """Give each source's gap to the untaken document nearest in size, one row of it."""
+    held = cut(plan.slim.select("group", "size", "end", "extra", "rest", "free"))
+    gaps = held.groupBy("group").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("extra") == 1, F.col("end"))), F.lit(0))).alias("gap"))
+    only = cut(gaps.join(_nearest(plan, held.where("free AND extra = 0"), gaps), "group", "left").select("group", "only"))
+    more = F.coalesce((F.col("end") == F.col("only")) & F.col("free"), F.lit(False))
+    done = rows.join(plan.small(only), "group").withColumn("extra", F.col("extra") + more.cast("long")).drop("only")
+    return _finished(done.withColumn("run", F.col("end")), plan)
+
+
+def _finished(done: DataFrame, plan: Plan) -> DataFrame:
+    """Rows with copies, taken, positions and position."""
+    copies = (F.col("whole") + F.col("extra")).cast("long")
+    done = done.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    start_w = F.element_at(F.array(*(F.lit(float(a)) for a, _ in plan.schedule)), F.col("weight"))
+    end_w = F.element_at(F.array(*(F.lit(float(b)) for _, b in plan.schedule)), F.col("weight"))
+    each = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)
+    # the copy beyond the whole ones has a running sum of its own
+    sum_of = lambda copy: F.when((copy == F.col("whole")) & (F.col("extra") > 0), F.col("run")).otherwise(F.col("end"))
+    at = F.transform(each, lambda copy: position_of(copy * F.col("source_size") + sum_of(copy) - F.col("size") / 2, F.col("target"), start_w, end_w))
+    done = done.withColumn("positions", F.when(F.col("copies") > 0, at).otherwise(F.array().cast("array<double>")))
+    return done.withColumn("position", F.get("positions", F.lit(0)))
+
+
+def mix(docs: DataFrame, schedule=SCHEDULE, position: str | None = None, id_col: str = "doc_id", source: str = "source", text: str = "text", refill: bool = True) -> DataFrame:
     """The mix itself: every copy as a row of the columns of ``docs``, range-sorted by training position.
 
     ``position`` names a column to add with that position. Documents that the
-    mix does not take are left out. Targets are filled (``refill``).
+    mix does not take are left out, so those without words are. Targets are
+    filled (``refill``). Nulls, repeated rows and empty tables are as in
+    ``assign``; the texts are moved twice, by bucket and by position.
     """
-    carry = docs.columns
-    rows = assign(docs, schedule, carry=carry, **{"refill": True, **kwargs})
-    size, source_size, weight, target, copies, _, end, extra, _ = rows.columns[len(carry) + 2 :]
-    at = fresh("m_at", rows.columns)
-    out = rows.where(F.col(copies) > 0).withColumn(at, F.explode(positions([size, source_size, weight, target, copies, end, extra], schedule)))
-    ids = rows.columns[len(carry)]
-    out = out.repartitionByRange(F.col(at), F.col(ids)).sortWithinPartitions(F.col(at), F.col(ids))
-    return out.select(*(F.col(f"`{c}`") for c in carry), *([F.col(at).alias(position)] if position else []))
+    plan = Plan(cut(_base(docs, id_col, source, text, False)), schedule)
+    base = _base(docs, id_col, source, text, True)
+    rows = (_refilled if refill else _filled)(plan, plan.running(base, cut(plan.before(plan.slim, F.col("size")))))
+    out = rows.where("copies > 0").select("row", "doc_id", "tie", F.explode("positions").alias("at"))
+    out = out.repartitionByRange("at", "doc_id", "tie").sortWithinPartitions("at", "doc_id", "tie")
+    return out.select(*(F.col(f"row.`{c}`") for c in docs.columns), *([F.col("at").alias(position)] if position else []))

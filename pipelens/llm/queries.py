@@ -43,8 +43,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.assign(_read(spark, sf_dir, "documents"))
-    at = mixing.positions(["size", "source_size", "weight", "target", "copies", "end_words", "extra_words"])
-    placed = rows.select("doc_id", "size", "source_size", "target", "taken", "copies", F.col("position").alias("first_position"), at.alias("positions"))
+    placed = rows.select("doc_id", "size", "source_size", "target", "taken", "copies", F.col("position").alias("first_position"), "positions", "progress")
     return placed.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
@@ -136,7 +135,15 @@ x AS (SELECT *, (whole < 3 AND size > 0 AND ends <= rest)::BIGINT AS extra FROM
 g AS (SELECT *, rest - coalesce(max(CASE WHEN extra = 1 THEN ends END) OVER (PARTITION BY source), 0) AS gap FROM x),
 n AS (SELECT *, CASE WHEN extra = 0 AND whole < 3 AND size > 0 AND abs(size - gap) < gap
                      THEN row_number() OVER (PARTITION BY source, extra = 0 AND whole < 3 AND size > 0 AND abs(size - gap) < gap ORDER BY abs(size - gap), k, ends) END AS near FROM g),
-c AS (SELECT *, whole + extra + CASE WHEN near = 1 THEN 1 ELSE 0 END AS copies FROM n)
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies FROM c
+c AS (SELECT *, whole + extra + CASE WHEN near = 1 THEN 1 ELSE 0 END AS copies FROM n),
+v AS (SELECT c.*, w.weight, CASE w.weight WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 1.0 ELSE 0.5 END AS a, CASE w.weight WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 1.0 ELSE 1.5 END AS b FROM c JOIN w ON c.source IS NOT DISTINCT FROM w.source),
+y AS (SELECT *, list_transform(list_transform(range(0, copies::BIGINT), lambda j: least(1.0::DOUBLE, greatest(0.0::DOUBLE, (j * source_size + ends - size::DOUBLE / 2) / target))),
+             lambda q: CASE WHEN b = a THEN q ELSE (sqrt(a * a + 2 * (b - a) * (q * (a + b) / 2)) - a) / (b - a) END) AS positions FROM v),
+z AS (SELECT coalesce(sum(target::DECIMAL(38, 6)) FILTER (weight = 1), 0)::DOUBLE AS t1, coalesce(sum(target::DECIMAL(38, 6)) FILTER (weight = 2), 0)::DOUBLE AS t2, coalesce(sum(target::DECIMAL(38, 6)) FILTER (weight = 3), 0)::DOUBLE AS t3
+      FROM t JOIN w ON t.source IS NOT DISTINCT FROM w.source),
+u AS (SELECT *, positions[1] AS p FROM y)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies, p AS first_position, positions,
+  (t1 * ((1.5::DOUBLE * p + (-1.0::DOUBLE) * p * p / 2) / 1.0::DOUBLE) + t2 * ((1.0::DOUBLE * p + 0.0::DOUBLE * p * p / 2) / 1.0::DOUBLE) + t3 * ((0.5::DOUBLE * p + 1.0::DOUBLE * p * p / 2) / 1.0::DOUBLE)) / (t1 + t2 + t3) AS progress
+FROM u, z
 """,
 }
