@@ -12,8 +12,9 @@ start at any block.
     footer  u64 block starts; i64 document ids; u8 null marks; i64 lengths
     trailer u64 blocks, u64 documents, u64 ids, 8 bytes magic
 
-Documents are range-partitioned and sorted by id; every task writes files of
-its own and reports them, and first ids follow from the reported lengths.
+Documents are range-partitioned and sorted by id, or stay in the order that
+their table has; every task writes files of its own and reports them, and first
+ids follow from the reported lengths.
 """
 
 from __future__ import annotations
@@ -350,43 +351,60 @@ class WordCache:
 
 def _writer(tokenizer: str, folder: str, end: int | None, keep_words: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, now = TaskContext.get().partitionId(), 0, None
+        task, made, now, first, follows = TaskContext.get().partitionId(), 0, None, None, None
         cache, done = kept(f"words {tokenizer} {keep_words}", lambda: WordCache(tokenizer, keep_words)), []
         for batch in slices(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), cache.encode(texts_of(batch), end)):
+            places = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))) if batch.num_columns > 2 else repeat(None)
+            for doc_id, place, ids in zip(batch.column(0).to_pylist(), places, cache.encode(texts_of(batch), end)):
+                if now is not None and (now.total >= FILE_IDS or place != follows):
+                    done.append((task, made, *first, *now.close()))
+                    made, now = made + 1, None
                 if now is None:
-                    now = Writer(folder, f"part-{task:06d}-{made:04d}.pfor")
+                    now, first = Writer(folder, f"part-{task:06d}-{made:04d}.pfor"), place or (task, "", made)
                 now.add(doc_id, ids)
-                if now.total >= FILE_IDS:
-                    done.append((task, made, *now.close()))
-                    made, now = made + 1, None
+                follows = place and (*place[:2], place[2] + 1)
         if now is not None:
-            done.append((task, made, *now.close()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(list(zip(*done)) or [()] * 5, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["task", "made", "name", "docs", "ids"])
+            done.append((task, made, *first, *now.close()))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(list(zip(*done)) or [()] * 8, kinds)], ["task", "made", "part", "file", "row", "name", "docs", "ids"])
 
     return write
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int | None = END_ID, id_col: str = "doc_id", text: str = "text", keep_words: int = KEPT_WORDS) -> tuple[str, list]:
+def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int | None = END_ID, id_col: str = "doc_id", text: str = "text", keep_words: int = KEPT_WORDS, as_it_is: bool = False) -> tuple[str, list]:
     """Encode and write all documents in ascending id order; the folder, and (name, docs, ids, start) of each file in order.
 
     Null ids come first; documents of one id follow the hash of their text,
     so reruns agree. A null text is the empty one. An empty table writes no file.
     ``keep_words`` bounds the words whose ids a worker keeps, which changes
     its memory and time but no id.
+
+    With ``as_it_is`` documents keep the order of their table and are moved
+    nowhere: of a table read from files that is by file (the number behind
+    ``part-``, then the name) and row, of any other by partition and row.
     """
     folder = folder or shared_path(docs.sparkSession, "token-ids")
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
-    parts = picked.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    files = sorted(parts.mapInArrow(_writer(tokenizer, folder, end, keep_words), "task int, made int, name string, docs long, ids long").collect())
+    picked = [F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")]
+    if as_it_is:
+        place = [F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-([0-9]+)", 1).try_cast("long"), F.lit(-1)).alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+        parts = docs.select(*picked, *(place if _is_files(docs) else []))
+    else:
+        order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+        parts = docs.select(*picked, F.xxhash64(text).alias("tie")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    written = parts.mapInArrow(_writer(tokenizer, folder, end, keep_words), "task int, made int, part long, file string, row long, name string, docs long, ids long").collect()
     start, out = 0, []
-    for f in files:
+    for f in sorted(written, key=lambda f: (f.part, f.file, f.row)):
         out.append((f.name, f.docs, f.ids, start))
         start += f.ids
     return folder, out
 
 
+def _is_files(docs: DataFrame) -> bool:
+    """Whether a table is read from Parquet files as it is; rows of anything made from one have other places."""
+    plan = docs._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().lower()
+
+
 def read(spark: SparkSession, folder: str, files: list) -> DataFrame:
     """The documents of written files: doc_id, start, n_tokens, ids_crc32 and the file; each task reads files of its own."""
 

@@ -87,3 +87,22 @@ def test_forgetting_words_does_not_change_ids(monkeypatch):
 
 def test_empty_table(spark):
     assert tokenbin.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_a_table_keeps_its_order(spark, tmp_path):
+    rows = [(int(i), f"word{i} " * (1 + i % 7)) for i in np.random.default_rng(5).permutation(900)] + [(3, "again"), (3, "again"), (None, None), (4, "")]
+    t = Tokenizer.from_file(PATH)
+    ids = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for _, x in rows]
+    starts = np.cumsum([0, *map(len, ids)])[:-1]
+    want = [(i, int(a), len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for (i, _), a, x in zip(rows, starts, ids)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int").repartitionByRange(12, "n").sortWithinPartitions("n")
+    ordered.select("doc_id", "text").write.option("maxRecordsPerFile", 40).parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for table in (spark.read.parquet(f"{tmp_path}/docs"), frame.coalesce(1), ordered.select("doc_id", "text")):
+            folder, files = tokenbin.write(table, PATH, as_it_is=True)
+            got = sorted(map(tuple, tokenbin.read(spark, folder, files).drop("file").collect()), key=lambda r: r[1])
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
