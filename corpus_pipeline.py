@@ -31,9 +31,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents as token ids in files, and what reading them back gives."""
+    """The mixed documents, in training order, as token ids in files, and what reading them back gives."""
     # workers of earlier stages still hold memory, so few words are kept
-    return tokenbin.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=150_000)
+    return tokenbin.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=150_000, as_it_is=True)
 
 
 STAGES = [
