@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import cut, fresh, slices, texts_of, trim
+from pipelens.llm.common import cut, slices, texts_of, trim
 
 SEED = 42
 #: Fingerprints that the estimates are made from, at most.
@@ -35,8 +35,8 @@ SAMPLE = 2_000
 BLOCK = 1 << 15
 #: Links that a task holds before it reduces them to a spanning forest.
 MOST_LINKS = 1 << 17
-#: Different texts of one proposed group that are compared in one task.
-GROUP_TEXTS = 8192
+#: Pairs of one text that are compared in one place, about.
+HUB = 256
 #: Texts whose shingles tell which are common, about; how many of those texts a common one is in, at least; most common shingles.
 SAMPLE_TEXTS, COMMON_TEXTS, MOST_COMMON = 8_000, 3, 100_000
 #: Pairs of one shingle's texts that a task makes at a time, about.
@@ -385,13 +385,56 @@ def similar_tree(sets: list[np.ndarray], similarity: float) -> list[tuple[int, i
     return links
 
 
-def _near_texts(similarity: float):
-    def near(group: pa.Table) -> pa.Table:
-        keys = group.column("key").to_pylist()
-        found = similar_tree([np.frombuffer(x, dtype=np.uint64) for x in group.column("s").to_pylist()], similarity)
-        return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.int64()), "b": pa.array([keys[j] for _, j in found], pa.int64())})
+def confirmed(pairs: DataFrame, texts: DataFrame, rows: DataFrame, k: int, similarity: float, tree: bool = False) -> DataFrame:
+    """Those of ``pairs`` (a, b), without repeats, whose texts have that Jaccard similarity, as (a, b).
 
-    return near
+    ``texts`` (key, md, id) names the row of ``rows`` (md, id, text) that has
+    a text. Pairs meet in the cell of the text with more pairs, of which every
+    ``HUB`` pairs make one cell more; of a cell that text is read first and the
+    others stream past it. With ``tree`` all texts of a cell are compared with
+    each other and links that span what they connect come back.
+    """
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
+    degree = cut(ends.groupBy("key").agg(F.count("*").alias("n")))
+    named = texts.join(degree, "key").select("key", "md", "id")
+    # a row of ``rows`` may be repeated; keys, join and reduction share one partitioning
+    found = rows.join(named, ["md", "id"]).dropDuplicates(["md", "id"]).select("key", "text")
+    hub = pairs.join(degree.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
+    more = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    turned = hub.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("key"), F.greatest("n_a", "n_b").alias("n"))
+    dealt = turned.select("hub", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / HUB)).alias("cell"))
+    firsts = dealt.select("hub", "cell").distinct().select("hub", F.col("hub").alias("key"), "cell", F.lit(0).alias("side"))
+    met = firsts.union(dealt.select("hub", "key", "cell", F.lit(1).alias("side"))).join(found, "key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, keys, sets = None, [], []
+
+        def linked() -> list[tuple[int, int]]:
+            return [(keys[i], keys[j]) for i, j in similar_tree(sets, similarity)] if tree and len(keys) > 1 else []
+
+        for batch in (x for whole in batches for x in slices(iter([whole]))):
+            out: list[tuple[int, int]] = []
+            for hub, key, c, text in zip(*(batch.column(x).to_pylist() for x in ("hub", "key", "cell")), texts_of(batch)):
+                own = _shingles(text, k)
+                if (hub, c) != cell:
+                    out += linked()
+                    cell, keys, sets = (hub, c), [key], [own]
+                elif tree:
+                    keys.append(key)
+                    sets.append(own)
+                else:
+                    common = len(np.intersect1d(sets[0], own, assume_unique=True))
+                    if common >= similarity * (len(sets[0]) + len(own) - common):
+                        out.append((hub, key))
+            yield _links(out)
+        yield _links(linked())
+        trim()
+
+    return met.repartition("hub", "cell").sortWithinPartitions("hub", "cell", "side", "key").mapInArrow(compare, "a long, b long")
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in range(2)], ["a", "b"])
 
 
 def common_shingles(docs: DataFrame, k: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -485,18 +528,16 @@ def _unpack(held: pa.Buffer) -> tuple[np.ndarray, ...]:
     return element, key[own], (root ^ key)[own], size[own], at
 
 
-def missed_links(ids: DataFrame, classes: DataFrame, rows: DataFrame, verify: int, similarity: float) -> DataFrame:
-    """Links (a, b) between the roots of ``classes`` that hold texts of that similarity, by prefix filtering: exact.
+def missed_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (key, root, size, prefix) of different roots that can have that similarity, by prefix filtering: none is left out.
 
-    ``ids`` has the prefixes, ``rows`` the texts. Texts whose prefixes share an
-    element are paired; places and the number of shared elements bound what
-    two texts can have in common, and the pairs left are compared in full.
+    Texts whose prefixes share an element are paired; places and the number of
+    shared elements bound what two texts can have in common.
     """
-    spark = ids.sparkSession
-    elements = ids.agg(F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0))).first()[0]
+    spark = texts.sparkSession
+    elements = texts.agg(F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(elements) // TASK_ROWS + 1)
-    one = classes.select(F.col("key").alias("c_key"), F.col("least").alias("c_least"), "root")
-    placed = ids.join(one, (F.col("key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_least"))).select("key", "root", "size", "prefix")
+    placed = texts.select("key", "root", "size", "prefix")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -527,29 +568,7 @@ def missed_links(ids: DataFrame, classes: DataFrame, rows: DataFrame, verify: in
     # the elements that a pair was made of are the first that its texts share; the rest come after the last of these
     shared = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("at_a").alias("i"), F.max("at_b").alias("j"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     most = F.col("c") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) - 1
-    pairs = cut(shared.where(most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("w_key")).union(pairs.select("b")).distinct()
-    wanted = one.join(wanted, F.col("c_key") == F.col("w_key")).select("c_key", "c_least", "root")
-    texts = rows.join(wanted, (F.col("t_key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_least"))).dropDuplicates(["t_key"]).select("text", "t_key", "root")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([_shingles(t, verify).tobytes() for t in texts_of(batch)], pa.binary())], ["key", "root", "s"])
-
-    held = cut(texts.mapInArrow(sets, "key long, root long, s binary"))
-    left = held.select(F.col("key").alias("a"), F.col("root").alias("r_a"), F.col("s").alias("s_a"))
-    right = held.select(F.col("key").alias("b"), F.col("root").alias("r_b"), F.col("s").alias("s_b"))
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(common >= similarity * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b"), "s_a", "s_b").mapInArrow(alike, "a long, b long")
+    return shared.where(most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
 
 
 def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -558,55 +577,52 @@ def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int =
     Texts are linked whose sets of ``verify``-word shingles have a Jaccard
     similarity of ``similarity`` or more; what links connect is a group.
     Fingerprints of the texts' different words (``shingle`` 0) within ``bits``
-    propose most links cheaply. Those that fingerprints miss, as between texts
-    of which one has a passage more, are found by prefix filtering
-    (``missed_links``), so all are found. Proposed groups above
-    ``GROUP_TEXTS`` different texts are dealt in pairs of blocks. Texts are
-    identified by a 64-bit hash.
+    propose spanning links, of which only those count that the texts confirm.
+    What fingerprints miss, as between texts of which one has a passage more,
+    is found between the groups so far by prefix filtering (``missed_pairs``)
+    and confirmed in the same way, so all links are found. Texts are
+    identified by 128 bits of a digest, A-Z lower-cased.
 
     A null id stays only if its group has no other; of rows repeated with
     their id one stays. Null and empty texts are one group. Column names that
     clash with internal ones are left alone.
     """
-    key = fresh("p_key", docs.columns)
     common = common_shingles(docs, verify, text)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("t_key", F.xxhash64(_normal("text")))
+    md = F.md5(_normal(text).cast("binary")).alias("md")
+    # never null, so that joins and reductions by both share one partitioning
+    name = lambda x: F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("")).alias("id")
+    rows = docs.select(md, name(F.col(id_col)), F.col(text).alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = texts_of(batch)
-            prints = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            found = [_shingles(t, verify) for t in texts]
+            held = texts_of(batch)
+            prints = np.array([fingerprint(t, shingle) for t in held], dtype=np.uint64).view(np.int64)
+            found = [_shingles(t, verify) for t in held]
             firsts = pa.array([prefix(s, similarity, common).tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), batch.column(2), pa.array([len(s) for s in found], pa.int32()), firsts], ["doc_id", "fp", "key", "size", "prefix"])
-
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    ids = cut(rows.mapInArrow(mark, f"doc_id {id_type}, fp long, key long, size int, prefix binary"))
-    texts = cut(ids.groupBy("key", "fp").agg(F.min("doc_id").alias("least")))
-    near = components(links(texts.select("fp").distinct(), bits))
-    grouped = texts.join(near, F.col("fp") == F.col("node"), "left").select("key", "least", F.coalesce("root", "fp").alias("group"))
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select(F.col("group").alias("g"), F.ceil(F.col("n") / GROUP_TEXTS).cast("int").alias("blocks"))
-    wanted = cut(grouped.join(sizes, F.col("group") == F.col("g")).select("key", "least", "group", "blocks"))
-    # by key and id: of a large group of copies one row is fetched, and the others are spread
-    fetched = rows.join(wanted, (F.col("t_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["t_key", "doc_id"]).select("text", "key", "group", "blocks")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([_shingles(t, verify).tobytes() for t in texts_of(batch)], pa.binary())], ["key", "group", "blocks", "s"])
-
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
-    dealt = fetched.mapInArrow(sets, "key long, group long, blocks int, s binary").select("key", "s", "group", F.explode(pairs).alias("pair"))
-    roots = components(dealt.groupBy("group", "pair").applyInArrow(_near_texts(similarity), "a long, b long"))
-    classes = cut(texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root")))
-    more = components(missed_links(ids, classes, rows, verify, similarity)).withColumnsRenamed({"root": "top"})
-    classes = classes.join(more, F.col("root") == F.col("node"), "left").select("key", "least", F.coalesce("top", "root").alias("root"))
-    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "key")).alias("k"))
-    kept = kept.select(F.col("k.key").alias("k_key"), F.col("k.least").alias("k_id"))
-    kept = kept.withColumnsRenamed({c: fresh(c, [*docs.columns, key]) for c in kept.columns})
-    k_key, k_id = kept.columns
-    stay = docs.withColumn(key, F.xxhash64(_normal(text))).join(kept, (F.col(key) == F.col(k_key)) & F.col(id_col).eqNullSafe(F.col(k_id)), "left_semi")
-    return stay.dropDuplicates([key, id_col]).select(*(F.col(f"`{c}`") for c in docs.columns))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints), pa.array([len(s) for s in found], pa.int32()), firsts], ["doc_id", "md", "fp", "size", "prefix"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    marked = docs.select(F.col(id_col).alias("doc_id"), md, F.col(text).alias("text")).mapInArrow(mark, f"doc_id {id_type}, md string, fp long, size int, prefix binary")
+    once = marked.groupBy("md").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    texts = cut(once.select(F.monotonically_increasing_id().alias("key"), "md", "least", name(F.col("least")), "fp", "size", "prefix"))
+
+    # one text stands for each fingerprint; others of the same are linked to it
+    prints = cut(texts.groupBy("fp").agg(F.min("key").alias("one")))
+    near = links(prints.select("fp"), bits).select("a", "b")
+    near = near.join(prints.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b").select("x", "y")
+    same = texts.select("fp", "key").join(prints, "fp").where("key <> one").select("one", "key")
+    proposed = cut(near.union(same).toDF("a", "b"))
+    roots = components(confirmed(proposed, texts, rows, verify, similarity, tree=True))
+    classes = cut(texts.select("key", "least", "size", "prefix").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", "size", "prefix", F.coalesce("root", "key").alias("root")))
+    missed = confirmed(cut(missed_pairs(classes, similarity)), texts, rows, verify, similarity)
+    of = classes.select("key", "root")
+    across = missed.join(of.toDF("a", "r_a"), "a").join(of.toDF("b", "r_b"), "b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
+    more = components(across).withColumnsRenamed({"root": "top"})
+    final = classes.select("key", "least", "root").join(more, F.col("root") == F.col("node"), "left").select("key", "least", F.coalesce("top", "root").alias("root"))
+    kept = final.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "key")).alias("k")).select(F.col("k.key").alias("key"))
+    stay = texts.join(kept, "key", "left_semi").select("md", "id")
+    own = docs.select(md, name(F.col(id_col)), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return own.join(stay, ["md", "id"], "left_semi").dropDuplicates(["md", "id"]).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def _normal(text: str):
