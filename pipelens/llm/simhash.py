@@ -458,17 +458,21 @@ def common_shingles(docs: DataFrame, k: int, text: str = "text") -> tuple[np.nda
     return e[order], n[order]
 
 
+def ranks(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The counts of the elements of a set among the common ones, 0 for all others."""
+    if not len(common[0]):
+        return np.zeros(len(s), dtype=np.int64)
+    at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
+    return np.where(common[0][at] == s, common[1][at], 0)
+
+
 def prefix(s: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first elements of a set, common ones last: sets with that Jaccard similarity share one of these.
 
     Any order that all sets have in common will do; the counts only save work.
     """
     n = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
-    if len(common[0]) and n:
-        at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
-        rank = np.where(common[0][at] == s, common[1][at], 0)
-        s = s[np.lexsort((s, rank))]
-    return s[:n]
+    return s[np.lexsort((s, ranks(s, common)))][:n]
 
 
 def sharing_pairs(element: np.ndarray, key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
@@ -577,8 +581,10 @@ def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int =
     Texts are linked whose sets of ``verify``-word shingles have a Jaccard
     similarity of ``similarity`` or more; what links connect is a group.
     Fingerprints of the texts' different words (``shingle`` 0) within ``bits``
-    propose spanning links, of which only those count that the texts confirm.
-    What fingerprints miss, as between texts of which one has a passage more,
+    propose spanning links, and in every group that these make a link from each
+    text to the one with the fewest rare shingles: of copies that were edited
+    in different places that is the original. Only links count that the texts
+    confirm. What fingerprints miss, as between texts of which one has a passage more,
     is found between the groups so far by prefix filtering (``missed_pairs``)
     and confirmed in the same way, so all links are found. Texts are
     identified by 128 bits of a digest, A-Z lower-cased.
@@ -599,19 +605,24 @@ def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int =
             prints = np.array([fingerprint(t, shingle) for t in held], dtype=np.uint64).view(np.int64)
             found = [_shingles(t, verify) for t in held]
             firsts = pa.array([prefix(s, similarity, common).tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints), pa.array([len(s) for s in found], pa.int32()), firsts], ["doc_id", "md", "fp", "size", "prefix"])
+            rare = pa.array([int((ranks(s, common) == 0).sum()) for s in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints), pa.array([len(s) for s in found], pa.int32()), rare, firsts], ["doc_id", "md", "fp", "size", "rare", "prefix"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    marked = docs.select(F.col(id_col).alias("doc_id"), md, F.col(text).alias("text")).mapInArrow(mark, f"doc_id {id_type}, md string, fp long, size int, prefix binary")
-    once = marked.groupBy("md").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    texts = cut(once.select(F.monotonically_increasing_id().alias("key"), "md", "least", name(F.col("least")), "fp", "size", "prefix"))
+    marked = docs.select(F.col(id_col).alias("doc_id"), md, F.col(text).alias("text")).mapInArrow(mark, f"doc_id {id_type}, md string, fp long, size int, rare int, prefix binary")
+    once = marked.groupBy("md").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    texts = cut(once.select(F.monotonically_increasing_id().alias("key"), "md", "least", name(F.col("least")), "fp", "size", "rare", "prefix"))
 
     # one text stands for each fingerprint; others of the same are linked to it
     prints = cut(texts.groupBy("fp").agg(F.min("key").alias("one")))
     near = links(prints.select("fp"), bits).select("a", "b")
     near = near.join(prints.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b").select("x", "y")
     same = texts.select("fp", "key").join(prints, "fp").where("key <> one").select("one", "key")
-    proposed = cut(near.union(same).toDF("a", "b"))
+    near = cut(near.union(same).toDF("a", "b"))
+    groups = components(near)
+    middle = groups.join(texts.select(F.col("key").alias("node"), "rare"), "node").groupBy("root").agg(F.min(F.struct("rare", "node")).alias("m")).select("root", F.col("m.node").alias("middle"))
+    spokes = groups.join(middle, "root").where("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
+    proposed = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(spokes).distinct())
     roots = components(confirmed(proposed, texts, rows, verify, similarity, tree=True))
     classes = cut(texts.select("key", "least", "size", "prefix").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", "size", "prefix", F.coalesce("root", "key").alias("root")))
     missed = confirmed(cut(missed_pairs(classes, similarity)), texts, rows, verify, similarity)
