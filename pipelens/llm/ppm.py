@@ -11,24 +11,30 @@ symbols have in the next shorter context.
 
 Neither the vocabulary nor the trie is ever held in one place. Documents are
 packed into chunks; every chunk asks for the words and n-grams it has, once
-each; the counts come back to the chunk by a join. Broadcast is only the table
-of symbol pairs, at most 257 x 257 counts.
+each and sorted, in one packed row for each part of the trie. A part has all
+n-grams of the contexts whose last three symbols have its hash. The rows of a
+part are merged in a tree, ``FAN`` at a time, until its different n-grams and
+words are left with their counts; costs are computed once for each of these,
+and the chunks' rows then stream past them for their answers, which are packed
+as well. Broadcast are only the counts of symbol triples, of which the shorter
+contexts follow; there are 257 x 257 x 257 at most.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipelens.llm.common import crc_mod, cut, slices
@@ -39,43 +45,40 @@ SYMBOLS = 257
 END = 256
 BITS = 9
 #: Bytes of text in a chunk, about.
-CHUNK = 24 << 20
-#: Bytes of text whose n-grams are in memory at a time, about.
+CHUNK = 16 << 20
+#: Bytes of text whose n-grams are made at a time, about.
 PIECE = 1 << 20
+#: Bytes of text for each part of the trie, about.
+PART_BYTES = 16 << 20
+#: Packed rows of one part that a merge takes, about, and chunks that one task answers.
+FAN, ANSWERS = 64, 256
+#: N-grams whose costs are computed, or merged, at a time, about.
+BLOCK = 1 << 20
 
 
 # ---------------------------------------------------------------- packing
 
 
-def _pack(order: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        made, held, size = 0, [], 0
-
-        def chunk():
-            ids, train, texts = zip(*held)
-            joined = [b" ".join(t.lower().split()) for t in texts]
-            pairs = np.zeros(SYMBOLS * SYMBOLS)
-            for a, b in pieces(joined):
-                grams, of = grams_of(joined[a:b], 1)
-                pairs += np.bincount((grams >> BITS) * SYMBOLS + (grams & (2**BITS - 1)), weights=np.asarray(train[a:b])[of], minlength=SYMBOLS * SYMBOLS)
-            some = np.flatnonzero(pairs)
-            blob = zstandard.compress(pickle.dumps((ids, train, joined), protocol=5), 6)
-            counts = pickle.dumps((some.astype(np.int32), pairs[some].astype(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([blob], pa.binary()), pa.array([counts], pa.binary())], ["chunk", "blob", "pairs"])
-
-        for batch in slices(batches):
-            ids, train = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, learns, text in zip(ids, train, batch.column(2).cast(pa.large_binary()).to_pylist()):
-                held.append((i, learns, text or b""))
-                size += len(held[-1][2]) + 64
-                if size >= CHUNK:
-                    yield chunk()
-                    made, held, size = made + 1, [], 0
-        if held:
-            yield chunk()
-
-    return pack
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task = TaskContext.get().partitionId() if TaskContext.get() else 0
+    made, held, size = 0, [], 0
+
+    def chunk():
+        ids, train, texts = zip(*held)
+        joined = [b" ".join(t.lower().split()) for t in texts]
+        blob = zstandard.compress(pickle.dumps((ids, train, joined), protocol=5), 6)
+        return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([blob], pa.binary()), pa.array([size], pa.int64())], ["chunk", "blob", "bytes"])
+
+    for batch in slices(batches):
+        ids, train = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, learns, text in zip(ids, train, batch.column(2).cast(pa.large_binary()).to_pylist()):
+            held.append((i, learns, text or b""))
+            size += len(held[-1][2]) + 64
+            if size >= CHUNK:
+                yield chunk()
+                made, held, size = made + 1, [], 0
+    if held:
+        yield chunk()
 
 
 def _unpack(blob: bytes) -> tuple[tuple, tuple, tuple]:
@@ -112,68 +115,169 @@ def grams_of(joined: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[coded[order:]], np.repeat(np.arange(len(joined)), sizes + 1)
 
 
-# ---------------------------------------------------------------- requests
+# ---------------------------------------------------------------- packed tables
 
 
-def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different words of a chunk and how often its training documents have each."""
-    for batch in batches:
-        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            _, train, joined = _unpack(blob)
-            seen, counts = set(), Counter()
-            for learns, text in zip(train, joined):
-                (counts if learns else seen).update(text.split(b" ") if text else ())
-            words = sorted(seen | counts.keys())  # neighbours share their beginnings, which shuffles well
-            n = np.fromiter(map(counts.__getitem__, words), dtype=np.int32, count=len(words))
-            yield from pa.Table.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(words, pa.binary()), pa.array(n)], ["chunk", "word", "n"]).to_batches(65536)
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of eight-byte numbers, first bytes first: neighbours are alike then, and most are zero."""
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _packed(grams: np.ndarray, n: np.ndarray, words: list[bytes], counts: np.ndarray) -> bytes:
+    """Ascending n-grams and words with their counts."""
+    return zstandard.compress(pickle.dumps((_planes(np.diff(grams, prepend=0)), _planes(n.astype(np.int64)), b" ".join(words), _planes(counts.astype(np.int64)))), 3)
+
+
+def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    grams, n, words, counts = pickle.loads(zstandard.decompress(blob))
+    return np.cumsum(_numbers(grams)), _numbers(n), words.split(b" ") if words else [], _numbers(counts)
+
+
+def _hashed(grams: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of the last three symbols, two for contexts of two, before each n-gram's last."""
+    near = (grams >> BITS) & ((1 << BITS * min(order, 3)) - 1)
+    return (near.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
 
 
-def _chunk_grams(order: int):
+def _by_part(grams: np.ndarray, words: list[bytes], order: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Orders of n-grams and of words by part, and the parts' edges in both."""
+    g = (_hashed(grams, order) % np.uint64(parts)).astype(np.int64)
+    w = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % parts
+    in_g, in_w = np.argsort(g, kind="stable"), np.argsort(w, kind="stable")
+    each = np.arange(parts + 1)
+    return in_g, np.searchsorted(g[in_g], each), in_w, np.searchsorted(w[in_w], each)
+
+
+def distinct(joined: list[bytes], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The different n-grams of texts, ascending; for every piece of the texts, which each of its n-grams is and the text it is of."""
+    found, held = [np.zeros(0, dtype=np.int64)], []
+    for a, b in pieces(joined):
+        grams, of = grams_of(joined[a:b], order)
+        code, some = pd.factorize(grams)
+        held.append((code.astype(np.int32), some, (of + a).astype(np.int32)))
+        found.append(some)
+    grams = np.unique(np.concatenate(found))
+    return grams, [(np.searchsorted(grams, some).astype(np.int32)[code], of) for code, some, of in held]
+
+
+def _ask(order: int, parts: int):
+    """Of every chunk, for every part: its words and n-grams, and how often training documents have each; as part -1 its symbol triples."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 _, train, joined = _unpack(blob)
-                found, n = np.zeros(0, dtype=np.int64), np.zeros(0)
-                for a, b in pieces(joined):
-                    grams, of = grams_of(joined[a:b], order)
-                    code, some = pd.factorize(grams)
-                    more = np.bincount(code, weights=np.asarray(train[a:b])[of], minlength=len(some))
-                    code, both = pd.factorize(np.concatenate((found, some)))
-                    found, n = both, np.bincount(code, weights=np.concatenate((n, more)), minlength=len(both))
-                order_ = np.argsort(found)
-                found, n = found[order_], n[order_].astype(np.int64)
-                yield from pa.Table.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found), pa.array(n)], ["chunk", "gram", "n"]).to_batches(65536)
+                learns = np.asarray(train, dtype=float)
+                grams, held = distinct(joined, order)
+                n = np.zeros(len(grams))
+                for at, of in held:
+                    n += np.bincount(at, weights=learns[of], minlength=len(grams))
+                del held
+                triples, at = np.unique(grams & ((1 << 3 * BITS) - 1), return_inverse=True)
+                total = np.bincount(at, weights=n, minlength=len(triples))
+                rows = [(-1, _packed(triples[total > 0], total[total > 0], [], np.zeros(0)))]
+                seen, known = set(), Counter()
+                for yes, text in zip(train, joined):
+                    (known if yes else seen).update(text.split(b" ") if text else ())
+                words = sorted(seen | known.keys())
+                counts = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+                in_g, g, in_w, w = _by_part(grams, words, order, parts)
+                for p in range(parts):
+                    own = in_w[w[p] : w[p + 1]].tolist()
+                    at = in_g[g[p] : g[p + 1]]
+                    if own or len(at):
+                        rows.append((p, _packed(grams[at], n[at], [words[i] for i in own], counts[own])))
+                for a in range(0, len(rows), 64):
+                    some = rows[a : a + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([x for _, x in some], pa.binary())], ["part", "chunk", "blob"])
 
     return ask
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, group, blob), sorted by both: for each its different n-grams, and the words that training has, with the sums of their counts."""
+    now, grams, waiting, words = None, None, [], Counter()
+
+    def summed():
+        g, n = (np.concatenate([grams[j], *(x[j] for x in waiting)]) for j in range(2))
+        some, at = np.unique(g, return_inverse=True)
+        return some, np.bincount(at, weights=n, minlength=len(some)).astype(np.int64)
+
+    def row():
+        g, n = summed()
+        names = sorted(words)
+        counts = np.fromiter(map(words.__getitem__, names), dtype=np.int64, count=len(names))
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([_packed(g, n, names, counts)], pa.binary()), pa.array([len(names)], pa.int64())], ["part", "group", "blob", "words"])
+
+    for batch in batches:
+        for part, group, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if (part, group) != now:
+                if now is not None:
+                    yield row()
+                now, grams, waiting, words = (part, group), (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), [], Counter()
+            g, n, names, counts = _opened(blob)
+            waiting.append((g, n))
+            words.update({names[i]: int(counts[i]) for i in np.flatnonzero(counts).tolist()})
+            if sum(len(x[0]) for x in waiting) > max(BLOCK, len(grams[0])):
+                grams, waiting = summed(), []
+    if now is not None:
+        yield row()
+
+
 # ---------------------------------------------------------------- the model
 
 
-def costs(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
+class Base:
+    """Counts of contexts of up to two symbols, from ascending symbol triples and their counts."""
+
+    def __init__(self, triples: np.ndarray, n: np.ndarray):
+        self.triples, self.n = triples, n.astype(np.float64)
+        low = triples & ((1 << 2 * BITS) - 1)
+        self.pairs = np.bincount((low >> BITS) * SYMBOLS + (low & (2**BITS - 1)), weights=self.n, minlength=SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS)
+        self.context, at = np.unique(triples >> BITS, return_inverse=True)
+        below = self.pairs[(low >> BITS), low & (2**BITS - 1)]
+        self.of_context = [np.bincount(at, weights=w, minlength=len(self.context)) for w in (self.n, np.ones(len(at)), below)]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of ascending keys, 0 for what they lack."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0.0)
+
+
+def costs(grams: np.ndarray, counts: np.ndarray, base: Base, order: int) -> np.ndarray:
     """log10 probability of each gram's last symbol after the symbols before it.
 
     ``grams`` are different and hold, with their training ``counts``, all
-    grams that share two symbols of context with any of them; ``pairs`` has
-    the counts of (context symbol, symbol) over the whole training text.
+    grams that share three symbols of context with any of them.
     """
     index, n_sym, n_ctx, d_ctx, m_ctx = {}, {}, {}, {}, {}  # by order, for every gram
-    singles = pairs.sum(axis=0)
-    for k in range(order, 1, -1):
+    pairs = base.pairs
+    for k in range(order, 2, -1):
         seen, at = np.unique(grams & ((1 << BITS * (k + 1)) - 1), return_inverse=True)
         index[k] = (seen, at, np.bincount(at, weights=counts, minlength=len(seen)))
-    for k in range(order, 1, -1):
+    for k in range(order, 2, -1):
         seen, at, total = index[k]
         ctx, ctx_at = np.unique(seen >> BITS, return_inverse=True)
         there = total > 0
-        if k > 2:
+        if k > 3:
             shorter, _, short_total = index[k - 1]
             below = short_total[np.searchsorted(shorter, seen & ((1 << BITS * k) - 1))]
         else:
-            below = pairs[(seen >> BITS) & (2**BITS - 1), seen & (2**BITS - 1)]
+            below = _looked_up(base.triples, base.n, seen & ((1 << BITS * k) - 1))
         sums = [np.bincount(ctx_at, weights=w, minlength=len(ctx)) for w in (total, there, below * there)]
         n_sym[k] = total[at]
         n_ctx[k], d_ctx[k], m_ctx[k] = (x[ctx_at[at]] for x in sums)
+    low = grams & ((1 << 3 * BITS) - 1)
+    n_sym[2] = _looked_up(base.triples, base.n, low)
+    n_ctx[2], d_ctx[2], m_ctx[2] = (_looked_up(base.context, x, low >> BITS) for x in base.of_context)
+    singles = pairs.sum(axis=0)
     symbol, before = grams & (2**BITS - 1), (grams >> BITS) & (2**BITS - 1)
     there = pairs > 0
     n_sym[1], n_ctx[1], d_ctx[1] = pairs[before, symbol], pairs.sum(axis=1)[before], there.sum(axis=1)[before]
@@ -201,78 +305,94 @@ def costs(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int)
     return out
 
 
-def _answer(pairs: np.ndarray, order: int):
+def priced(grams: np.ndarray, counts: np.ndarray, base: Base, order: int) -> np.ndarray:
+    """``costs`` of any number of grams, those of a context together and about ``BLOCK`` at a time."""
+    blocks = len(grams) // BLOCK + 1
+    if blocks == 1:
+        return costs(grams, counts, base, order)
+    block = ((_hashed(grams, order) >> np.uint64(7)) % np.uint64(blocks)).astype(np.int64)
+    out = np.zeros(len(grams))
+    for b in range(blocks):
+        at = np.flatnonzero(block == b)
+        out[at] = costs(grams[at], counts[at], base, order)
+    return out
+
+
+def _answer(sent, order: int):
+    """Rows (part, cell, side, chunk, blob), sorted by the first three: of each cell first a part of the trie, then what chunks ask of it."""
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        code, grams = pd.factorize(table.column("gram").to_numpy())
-        counts = np.bincount(code, weights=table.column("n").to_numpy(), minlength=len(grams))
-        cost = costs(grams, counts, pairs.astype(np.float64), order)
-        yield from pa.Table.from_arrays([table.column("chunk").combine_chunks(), table.column("gram").combine_chunks(), pa.array(cost[code])], ["chunk", "gram", "cost"]).to_batches(65536)
+        base, table = Base(*sent.value), (np.zeros(0, dtype=np.int64), np.zeros(0), {})
+        for batch in batches:
+            parts, chunks, blobs = [], [], []
+            for part, side, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "side", "chunk", "blob"))):
+                grams, n, names, counts = _opened(blob)
+                if not side:
+                    table = (grams, priced(grams, n.astype(np.float64), base, order), dict(zip(names, counts.tolist())))
+                    continue
+                cost = table[1][np.searchsorted(table[0], grams)]
+                known = np.fromiter(map(table[2].get, names, repeat(0)), dtype=np.int64, count=len(names))
+                code, some = pd.factorize(cost)  # many n-grams cost the same
+                parts.append(part)
+                chunks.append(chunk)
+                blobs.append(zstandard.compress(pickle.dumps((code.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), _planes(some), _planes(known))), 3))
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], ["part", "chunk", "answer"])
 
     return answer
 
 
+def _told(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Costs of n-grams and counts of words, as a chunk asked for them."""
+    code, some, known = pickle.loads(zstandard.decompress(blob))
+    code = np.ascontiguousarray(np.frombuffer(code, dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return _numbers(some, np.float64)[code], _numbers(known)
+
+
 # ---------------------------------------------------------------- scoring
 
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, v_part long, n_part long"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, n_part long"
 
 
-def _score(order: int):
+def _score(order: int, parts: int):
     def score(asked: pa.Table, answers: pa.Table) -> pa.Table:
-        columns: list[list] = [[] for _ in range(8)]
-        word = answers.filter(pc.is_valid(answers.column("word")))
-        gram = answers.filter(pc.is_valid(answers.column("gram")))
-        c = word.column("c").to_numpy()
-        v_part = int((c < 0).sum())
-        count_of = dict(zip(word.column("word").to_pylist(), np.abs(c).tolist()))
-        names = pd.Index(gram.column("gram").to_numpy())
-        cost = gram.column("cost").to_numpy()
-        n_part = 0
+        columns: list[list] = [[] for _ in range(7)]
+        told = sorted(zip(answers.column("part").to_pylist(), answers.column("answer").to_pylist()))
         for blob in asked.column("blob").to_pylist():
             ids, train, joined = _unpack(blob)
-            for a, b in pieces(joined):
-                part = joined[a:b]
-                grams, of = grams_of(part, order)
-                columns[5].extend(np.bincount(of, weights=cost[names.get_indexer(grams)], minlength=len(part)).tolist())
-                for text in part:
-                    words = text.split(b" ") if text else []
-                    c = np.fromiter(map(count_of.__getitem__, words), dtype=np.int64, count=len(words))
-                    columns[2].append(len(words))
-                    columns[3].append(int((c > 0).sum()))
-                    columns[4].append(float(np.log10(c + 1.0).sum()))
-            n_part += sum(n for n, learns in zip(columns[2][len(columns[0]) :], train) if learns)
+            grams, held = distinct(joined, order)
+            names = sorted({w for text in joined if text for w in text.split(b" ")})
+            in_g, _, in_w, _ = _by_part(grams, names, order, parts)
+            # answers come in the order of the parts, as the questions went
+            cost, count = np.zeros(len(grams)), np.zeros(len(names), dtype=np.int64)
+            x = y = 0
+            for _, blob in told:
+                c, k = _told(blob)
+                cost[in_g[x : x + len(c)]] = c
+                count[in_w[y : y + len(k)]] = k
+                x, y = x + len(c), y + len(k)
+            count_of = dict(zip(names, count.tolist()))
+            total = np.zeros(len(joined))
+            for at, of in held:
+                total += np.bincount(of, weights=cost[at], minlength=len(joined))
+            n_part = 0
+            for text, learns in zip(joined, train):
+                words = text.split(b" ") if text else []
+                c = np.fromiter(map(count_of.__getitem__, words), dtype=np.int64, count=len(words))
+                columns[2].append(len(words))
+                columns[3].append(int((c > 0).sum()))
+                columns[4].append(float(np.log10(c + 1.0).sum()))
+                n_part += len(words) if learns else 0
             columns[0].extend(ids)
             columns[1].extend(not x for x in train)
-        rest = len(columns[0])
-        columns[6], columns[7] = [v_part] + [0] * (rest - 1), [n_part] + [0] * (rest - 1)
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+            columns[5].extend(total.tolist())
+            columns[6].extend([n_part] + [0] * (len(ids) - 1))
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], [x.split(" ")[0] for x in RESULT.split(", ")])
 
     return score
 
 
-def pair_counts(packed: DataFrame) -> np.ndarray:
-    """Counts of symbol pairs over all training documents: at most 257 x 257 numbers reach the driver."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS * SYMBOLS, dtype=np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                some, n = pickle.loads(x)
-                total[some] += n
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
-
-    out = np.zeros(SYMBOLS * SYMBOLS, dtype=np.int64)
-    for pair, n in packed.select("pairs").mapInArrow(spread, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
-        out[pair] = n
-    return out.reshape(SYMBOLS, SYMBOLS)
-
-
 def score(docs: DataFrame, held_mod: int = 7, held_is: int = 2, order: int = ORDER, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of every whole document by the trie and by the word-unigram base.
 
@@ -287,25 +407,29 @@ def score(docs: DataFrame, held_mod: int = 7, held_is: int = 2, order: int = ORD
     if order < 2:
         raise ValueError("contexts of 2 symbols at least")
     chosen = docs.select(F.col(id_col).alias("doc_id"), (crc_mod(id_col, held_mod) != held_is).alias("train"), F.col(text).alias("text"))
-    packed = cut(chosen.mapInArrow(_pack(order), "chunk long, blob binary, pairs binary"))
-    pairs = pair_counts(packed)
-    same = Window.partitionBy("word").orderBy("chunk")
-    total = F.sum("n").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    # of the chunks that have a word, the first gets its count negated: those are as many as there are words
-    words = packed.select("chunk", "blob").mapInArrow(_chunk_words, "chunk long, word binary, n int").select(
-        "chunk", "word", F.when(F.row_number().over(same) == 1, -total).otherwise(total).alias("c")
-    )
-    grams = (
-        packed.select("chunk", "blob").mapInArrow(_chunk_grams(order), "chunk long, gram long, n long")
-        .repartition(F.shiftright("gram", BITS).bitwiseAND(F.lit(2 ** (2 * BITS) - 1)))
-        .mapInArrow(_answer(pairs, order), "chunk long, gram long, cost double")
-    )
-    none = lambda kind: F.lit(None).cast(kind)
-    answers = words.select("chunk", "word", "c", none("long").alias("gram"), none("double").alias("cost")).union(grams.select("chunk", none("binary"), none("long"), "gram", "cost"))
-    scored = cut(packed.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order), RESULT))
-    known = scored.agg(F.coalesce(F.sum("v_part"), F.lit(0)), F.coalesce(F.sum("n_part"), F.lit(0)), F.count(F.when(~F.col("held_out"), 1))).first()
+    spark = docs.sparkSession
+    packed = cut(chosen.mapInArrow(_pack, "chunk long, blob binary, bytes long"))
+    chunks, size = packed.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    parts = max(size // PART_BYTES, min(size // (1 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")))) + 1
+    asks = cut(packed.select("chunk", "blob").mapInArrow(_ask(order, parts), "part int, chunk long, blob binary"))
+    merged, groups = asks, chunks
+    while merged is asks or groups > 1:
+        groups = -(-groups // FAN)
+        by = F.pmod(F.xxhash64("chunk"), F.lit(max(1, groups))).alias("group")
+        level = merged.select("part", by, "blob").repartition(parts, "part", "group").sortWithinPartitions("part", "group")
+        merged = cut(level.mapInArrow(_merge, "part int, group long, blob binary, words long").withColumn("chunk", F.col("group")))
+    triples = merged.where("part = -1").select("blob").first()
+    sent = spark.sparkContext.broadcast(_opened(triples[0])[:2] if triples else (np.zeros(0, dtype=np.int64), np.zeros(0)))
+    # the chunks that ask are dealt to as many cells of a part as there are hundreds of them
+    cells = -(-chunks // ANSWERS) or 1
+    tables = merged.where("part >= 0").select("part", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("chunk"), "blob")
+    asked = asks.where("part >= 0").select("part", F.pmod(F.xxhash64("chunk"), F.lit(cells)).cast("int").alias("cell"), F.lit(1).alias("side"), "chunk", "blob")
+    answers = tables.union(asked).repartition(parts * cells, "part", "cell").sortWithinPartitions("part", "cell", "side").mapInArrow(_answer(sent, order), "part int, chunk long, answer binary")
+    scored = cut(packed.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, parts), RESULT))
+    different = merged.where("part >= 0").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    known = scored.agg(F.coalesce(F.sum("n_part"), F.lit(0)), F.count(F.when(~F.col("held_out"), 1))).first()
     # the end token: once in every training document
-    n, v, ends = known[1] + known[2], known[0] + (known[2] > 0), known[2]
+    n, v, ends = known[0] + known[1], different + (known[1] > 0), known[1]
     scale = math.log10(n + v + 1)
     return scored.select(
         "doc_id", "held_out",

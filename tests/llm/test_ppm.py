@@ -106,3 +106,26 @@ def test_grams_of_pieces_are_those_of_single_texts():
     grams, of = ppm.grams_of(texts, 2)
     alone = [ppm.grams_of([t], 2)[0] for t in texts]
     assert np.array_equal(grams, np.concatenate(alone)) and of.tolist() == [0] * 3 + [1] + [2] * 6
+
+
+def test_many_chunks_parts_and_merges_make_no_difference(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(TEXTS * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, ppm.score(df.coalesce(1)).collect()), key=repr)
+    for name, value in (("FAN", 2), ("ANSWERS", 3), ("PART_BYTES", 500)):
+        monkeypatch.setattr(ppm, name, value)
+    got = sorted(map(tuple, ppm.score(df.repartition(13)).collect()), key=repr)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [x for g in got for x in g[5:]] == pytest.approx([x for w in want for x in w[5:]], rel=1e-12)
+
+
+def test_blocks_of_contexts_cost_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    grams, _ = ppm.distinct([bytes(rng.choice([97, 98, 99, 32], 4000).astype(np.uint8)) for _ in range(3)], 5)
+    n = rng.integers(0, 4, len(grams)).astype(float)
+    low, at = np.unique(grams & ((1 << 27) - 1), return_inverse=True)
+    total = np.bincount(at, weights=n)
+    base = ppm.Base(low[total > 0], total[total > 0])
+    want = ppm.costs(grams, n, base, 5)
+    monkeypatch.setattr(ppm, "BLOCK", 100)
+    assert np.allclose(ppm.priced(grams, n, base, 5), want, rtol=1e-12) and want.max() <= 0
