@@ -152,3 +152,9 @@ def test_query_has_the_positions_of_all_copies(spark, tmp_path):
     first = [r.first_position for r in got]
     taken = [t for t in first if t is not None]
     assert first == sorted(taken) + [None] * (len(first) - len(taken)) and taken
+
+
+def test_a_rule_fits_no_other_split_of_its_text(spark):
+    rules = spark.createDataFrame([("a.co", "m/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.com/"), (2, "http://x.a.com/b")] + [(3, None)] * 5, "page_id long, url string")
+    assert [r.verdict for r in urlfilter.judge(pages, rules).collect()] == ["allow"] * 7
