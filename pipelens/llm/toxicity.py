@@ -142,14 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     A document's fold is crc32 of its id as text, modulo ``folds``. The model
     is fitted in one task on at most ``rows`` documents, those of the smallest
     hash of their id. Null labels are left out, of an id labelled twice the
-    larger label counts, of documents that share an id one; a null text is
-    empty. Without any labelled document all weights are zero, so every score
+    larger label counts, of documents that share an id the least text; a null
+    text is empty. Without any labelled document all weights are zero, so every score
     is 0.5.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(crc_mod("doc_id", folds) != held).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     # bounded by `rows`, and therefore fit to be sent to every task
     picked = known.select(F.xxhash64("doc_id", F.lit(7)).alias("o"), "y", F.col("doc_id").alias("l_id")).orderBy("o", "l_id").limit(rows)
-    texts = docs.select(F.col("doc_id").alias("d_id"), "text").join(F.broadcast(picked), F.col("d_id") == F.col("l_id")).dropDuplicates(["d_id"])
+    texts = docs.select(F.col("doc_id").alias("d_id"), "text").join(F.broadcast(picked), F.col("d_id") == F.col("l_id")).groupBy("l_id", "o", "y").agg(F.min("text").alias("text"))
     w = np.zeros(BUCKETS)
     for bucket, weight in texts.select("o", "y", "text").repartition(1).mapInArrow(_fit, "bucket long, weight double").collect():
         w[bucket] = weight
@@ -174,8 +174,13 @@ def _dense(sparse) -> np.ndarray:
 
 
 def score(docs: DataFrame, weights: np.ndarray, name: str = "score", text: str = "text") -> DataFrame:
-    """``docs`` with their toxicity in [0, 1]. Null and empty texts have the bias alone."""
+    """``docs`` with their toxicity in [0, 1] as column ``name``, in place of any of that name.
+
+    Null and empty texts have the bias alone; null ids and repeated rows are
+    scored like any other; an empty table gives no rows.
+    """
     sent = _broadcast(docs, weights)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _dense(sent.value)
@@ -186,7 +191,11 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score", text: str =
 
 
 def reject(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; nothing is joined or shuffled."""
+    """``docs`` without the rows that score ``threshold`` or more; nothing is joined or shuffled.
+
+    Null and empty texts are judged by the bias alone; repeated rows go or
+    stay together; all columns are kept; an empty table gives no rows.
+    """
     sent = _broadcast(docs, weights)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,13 @@
 """Toxicity by held-out accuracy; decontamination against brute force."""
 
+import math
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from pipelens.llm import decontam, toxicity
 
@@ -63,6 +66,53 @@ def test_rows_of_the_fit_have_a_bound(spark):
     assert np.count_nonzero(few) < np.count_nonzero(all_)
 
 
+def plain_features(text):
+    """Buckets of the different words, stems, pairs and skip-pairs of a text, with integers that wrap by hand."""
+    whole = 2**64
+    words = "".join(c for c in (text or "") if c not in ".,;:!?\"'()[]{}*#&%$|<>-_")
+    words = "".join(c.lower() if c.isascii() else c for c in words).split()
+    h = [xxhash.xxh64_intdigest(w.encode()) for w in words]
+    pair, skip, stem = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    raw = list(h)
+    for n in (4, 5):
+        raw += [xxhash.xxh64_intdigest(w[:n], n) * stem % whole for w in words if len(w) > n]
+    raw += [(a * pair % whole) ^ ((b + pair) % whole) for a, b in zip(h, h[1:])] + [(a * skip % whole) ^ ((b + skip) % whole) for a, b in zip(h, h[2:])]
+    mixed = [((x ^ (x >> 32)) * 0xD6E8FEB86659FD93 % whole) >> 24 for x in raw]
+    return {0} | {x % (toxicity.BUCKETS - 1) + 1 for x in mixed}
+
+
+def test_weights_and_scores_are_those_of_a_plain_ftrl(spark):
+    rows, labels = corpus(150, seed=8)
+    rows += [(900, None), (901, "shared id b"), (901, "shared id a")]
+    labels += [(900, 1), (901, 0), (901, 1), (902, 1)]
+    docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    y = {i: max(b for j, b in labels if j == i) for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    text = {i: min((t for j, t in rows if j == i and t is not None), default="") for i, _ in rows}
+    order = {r.doc_id: r.o for r in docs.selectExpr("doc_id", "xxhash64(doc_id, 7) AS o").collect()}
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        if abs(z[k]) <= toxicity.L1:
+            return 0.0
+        return -(z[k] - math.copysign(toxicity.L1, z[k])) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    score = lambda keys: 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(map(weight, keys))))))
+    examples = [(plain_features(text[i]), y[i]) for i in sorted((i for i in y if i in text), key=order.get)]
+    for _ in range(toxicity.EPOCHS):
+        for keys, label in examples:
+            g = (score(keys) - label) * (toxicity.POSITIVE if label else 1.0)
+            for k in keys:
+                step = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.ALPHA
+                z[k], n[k] = z[k] + g - step * weight(k), n[k] + g * g
+    weights = toxicity.fit(docs, known)
+    assert {k: weights[k] for k in np.flatnonzero(weights)} == pytest.approx({k: weight(k) for k in list(z) if weight(k)}, rel=1e-7)
+    scored = toxicity.score(docs, weights)
+    assert scored.columns == ["doc_id", "text", "score"]
+    for r in scored.collect():
+        assert r.score == pytest.approx(score(plain_features(r.text)), rel=1e-7)
+
+
 # ---------------------------------------------------------------- decontamination
 
 
