@@ -20,10 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see.
 
     The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as
-    in tests, a folder below the warehouse takes its place.
+    in tests, a folder below the warehouse takes its place; that may be a
+    machine's own, so only a local session may leave the setting out.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
