@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pipelens.llm import queries
+from pipelens.llm import mixing, queries, simhash, tokenbin
 from tests.llm.test_toxicity_decontam import corpus, plain_hits
 
 
@@ -87,6 +87,40 @@ def test_stages_take_empty_tables_and_clashing_columns(spark, folder):
     assert corpus_pipeline.write_token_ids(spark, docs.where("false"), path).count() == 0
 
 
+def test_token_files_follow_the_curriculum(spark, folder, tmp_path):
+    path = folder[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    mixing.mix(docs).write.parquet(f"{tmp_path}/mixed")
+    folder_, files = tokenbin.write(spark.read.parquet(f"{tmp_path}/mixed"), public_tokenizers.path("word_bpe_49k.json"), as_it_is=True)
+    written = [i for name, *_ in files for i, _ in tokenbin.read_file(folder_, name)]
+    ordered = sorted((r.t, r.doc_id) for r in mixing.mix(docs, position="t").collect())
+    assert written == [i for _, i in ordered] and len(set(written)) < len(written)
+    starts = [r.doc_id for r in corpus_pipeline.write_token_ids(spark, spark.read.parquet(f"{tmp_path}/mixed"), path).orderBy("start").collect()]
+    assert starts == written
+
+
+def test_near_duplicates_are_those_of_brute_force(spark, folder):
+    path, rows, labels, docs, _ = folder
+    some = [d for d in docs if d[0] >= 10_000 or d[0] < 260]
+    frame = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long")
+    alone = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, path).collect()}
+    sets = {i: set(simhash.features((t or "").encode(), 5)) for i, t, *_ in some}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    n_links = 0
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                n_links += 1
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    assert alone == {i for i in sets if top(i) == i} and n_links > 30
+
+
 def test_every_operator_has_its_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
