@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pipelens.functions.hashing import format_bytes
 from pipelens.plans.graph import cycle_members, edges_of, ghosts
 
 #: Adapters in order, the files that show them, and their tasks (name, command, inputs, outputs, dependencies).
@@ -91,6 +92,35 @@ def doctor(blobs: DataFrame, runs: DataFrame) -> DataFrame:
     return row(cache, "cache_entries", F.col("n"), ok(F.col("n") > 0)).union(row(cache, "cache_bytes", F.col("bytes"), F.lit("OK"))).union(row(failed, "failed_runs", F.col("n"), ok(F.col("n") == 0)))
 
 
+def doctor_report(tasks: DataFrame | None, blobs: DataFrame, git: bool, system: str) -> DataFrame:
+    """(category, status, message) of the whole check-up; ``tasks`` is None where the definition can't be read.
+
+    The graph fails on undefined dependencies and cycles and is left out
+    without a definition; an empty cache is fine.
+    """
+    spark = blobs.sparkSession
+    row = lambda df, name, status, message: df.select(F.lit(name).alias("category"), status.alias("status"), message.alias("message"))
+    one, ok, fail = spark.range(1), F.lit("OK"), F.lit("FAIL")
+    if tasks is None:
+        out = row(one, "Configuration", fail, F.lit("the definition can't be read"))
+    else:
+        out = row(tasks.agg(F.count("*").alias("n")), "Configuration", ok, F.format_string("%d tasks are defined", "n"))
+        edges = edges_of(tasks)
+        bad = ghosts(tasks).agg(F.count("*").alias("ghosts")).join(cycle_members(edges).agg(F.count("*").alias("cycle")).join(edges.where("src = dst").agg(F.count("*").alias("own"))))  # one row each
+        broken = (F.col("ghosts") + F.col("cycle") + F.col("own")) > 0
+        out = out.union(row(bad, "Dependency Graph", F.when(broken, fail).otherwise(ok), F.when(broken, F.format_string("%d undefined dependencies, %d tasks on cycles", "ghosts", F.col("cycle") + F.col("own"))).otherwise("no cycle and no undefined dependency")))
+    cache = blobs.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    out = out.union(row(cache, "Cache Storage", ok, F.when(F.col("n") > 0, F.format_string("%d entries, %s", "n", format_bytes(F.col("bytes")))).otherwise("empty until the first run")))
+    out = out.union(row(one, "Version Control", F.lit("OK" if git else "WARN"), F.lit("changed files can be asked for" if git else "no repository, so changed files can't be asked for")))
+    return out.union(row(one, "System Resources", ok, F.lit(system)))
+
+
+def doctor_result(report: DataFrame) -> DataFrame:
+    """(n_failed, exit_code) of a report."""
+    failed = F.count_if(F.col("status") == "FAIL")
+    return report.agg(failed.alias("n_failed"), F.when(failed > 0, 1).otherwise(0).alias("exit_code"))
+
+
 def repair(line: Column, message: Column) -> Column:
     """A line of source after the simple repairs that its diagnostic asks for: a colon, closing brackets, an indent.
 

@@ -16,13 +16,14 @@ def lines_of(files: DataFrame, path: str, text: str) -> DataFrame:
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """Lines with key, value and is_comment."""
-    return lines.withColumn("_e", env_entry(F.col("line"))).select(*lines.columns, "_e.key", "_e.value", "_e.is_comment")
+    """Lines with key, value and is_comment. A generator makes these once, whatever uses them."""
+    return lines.select(*lines.columns, F.inline(F.array(env_entry(F.col("line")))))
 
 
 def findings(lines: DataFrame) -> DataFrame:
     """(file, line_no, key, risk, masked) of every secret; placeholders are none."""
-    found = entries(lines).where("NOT is_comment AND key <> ''").where(~F.col("value").startswith(TOKEN_PREFIX)).withColumn("risk", risk(F.col("key"), F.col("value")))
+    found = entries(lines).where("NOT is_comment AND key <> ''").where(~F.col("value").startswith(TOKEN_PREFIX))
+    found = found.select("file", "line_no", "key", "value", F.explode(F.array(risk(F.col("key"), F.col("value")))).alias("risk"))
     return found.where("risk <> 'LOW'").select("file", "line_no", "key", "risk", mask(F.col("value")).alias("masked"))
 
 
@@ -40,6 +41,12 @@ def cloak(lines: DataFrame) -> DataFrame:
     return e.select("file", "line_no", cloaked.alias("line"), "is_secret", "is_comment")
 
 
+def joined(lines: DataFrame) -> DataFrame:
+    """(file, text): cloaked or merged lines (file, line_no, line) as files again, in the order of their numbers, with a closing newline."""
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy("file").agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+
+
 def cloak_counts(cloaked: DataFrame) -> DataFrame:
     return cloaked.groupBy("file").agg(F.count_if(~F.col("is_comment")).alias("n_total"), F.count_if("is_secret").alias("n_secret"), F.count_if(~F.col("is_comment") & ~F.col("is_secret")).alias("n_public"))
 

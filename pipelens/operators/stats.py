@@ -52,10 +52,34 @@ def histogram_totals(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.count(value).alias("observations"), F.coalesce(F.sum(F.col(value).cast("long")), F.lit(0)).alias("sum"))
 
 
-def prometheus_lines(hist: DataFrame, name: str) -> DataFrame:
-    """Bucket lines of the text exposition, cumulative, the open end last."""
+def prometheus_lines(hist: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
+    """Bucket lines of the text exposition, cumulative, the open end last; ``keep`` names columns that stay beside them."""
     bound = F.when(F.col("le").isNull(), "+Inf").when(F.col("le") == F.floor("le"), F.col("le").cast("long").cast("string")).otherwise(F.col("le").cast("string"))
-    return hist.select(F.concat(F.lit(f'{name}_bucket{{le="'), bound, F.lit('"} '), F.col("cumulative").cast("string")).alias("line"))
+    return hist.select(*(keep or []), F.concat(F.lit(f'{name}_bucket{{le="'), bound, F.lit('"} '), F.col("cumulative").cast("string")).alias("line"))
+
+
+def exposition(counters: DataFrame, hist: DataFrame, totals: DataFrame, name: str, about: str) -> DataFrame:
+    """(block, at, line): the whole text exposition, in the order of block and at.
+
+    ``counters`` has name, about, kind (counter or gauge) and value, a block
+    each in the order of names; the histogram with its sum and count comes last.
+    """
+    own = F.concat(F.lit(" "), "name", F.lit(" "))
+    lines = F.array(F.concat(F.lit("# HELP"), own, F.col("about")), F.concat(F.lit("# TYPE"), own, F.col("kind")), F.concat("name", F.lit(" "), F.col("value").cast("string")))
+    first = counters.select(F.col("name").alias("block"), F.posexplode(lines).alias("at", "line"))
+    last = F.lit("\U0010ffff").alias("block")
+    head = hist.sparkSession.createDataFrame([(0, f"# HELP {name} {about}"), (1, f"# TYPE {name} histogram")], "at int, line string")
+    buckets = prometheus_lines(hist, name, ["le"]).select(last, (F.row_number().over(Window.orderBy(F.col("le").asc_nulls_last())) + 1).alias("at"), "line")
+    ends = F.array(F.concat(F.lit(f"{name}_count "), F.col("observations").cast("string")), F.concat(F.lit(f"{name}_sum "), F.col("sum").cast("string")))
+    tail = totals.select(last, F.posexplode(ends).alias("at", "line")).withColumn("at", F.col("at") + 1_000_000)
+    return first.union(head.select(last, "at", "line")).union(buckets).union(tail)
+
+
+def tally(results: DataFrame, passed: str = "passed", key: str | None = None) -> DataFrame:
+    """(n_passed, n_failed, status) of a suite's scenarios; a null result failed, and a suite without scenarios passes."""
+    good = F.coalesce(F.col(passed), F.lit(False))
+    out = results.groupBy(*([key] if key else [])).agg(F.count_if(good).alias("n_passed"), F.count_if(~good).alias("n_failed"))
+    return out.withColumn("status", F.when(F.col("n_failed") == 0, "PASS").otherwise("FAIL"))
 
 
 def pipeline_summary(runs: DataFrame, key: str | None = None) -> DataFrame:
@@ -107,7 +131,7 @@ def profile_totals(spans: DataFrame, wall_ms: float, cores: int) -> DataFrame:
 
 
 def flame_geometry(spans: DataFrame, width: float = 1000.0, row: int = 24) -> DataFrame:
-    """Rectangles of a flame graph in (batch, start, name) order: x and w in shares of the whole span, y by batch."""
+    """Rectangles of a flame graph: x and w in shares of the whole span, y by batch. ``span_order`` numbers them."""
     ends = spans.agg(F.min("start_us").alias("t0"), F.max(F.col("start_us") + F.col("dur_us")).alias("t1"))
     scale = F.lit(width) / F.greatest(F.col("t1") - F.col("t0"), F.lit(1))
     # the one row of ends is its whole table
@@ -116,6 +140,11 @@ def flame_geometry(spans: DataFrame, width: float = 1000.0, row: int = 24) -> Da
     )
 
 
+def span_order(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``position`` from 1 in each batch, by start, then name."""
+    return spans.withColumn("position", F.row_number().over(Window.partitionBy("batch").orderBy("start_us", "name")).cast("long"))
+
+
 def chrome_trace(spans: DataFrame) -> DataFrame:
     """A complete event of the trace format as JSON for each span."""
     event = F.struct(F.col("name"), F.lit("X").alias("ph"), F.col("start_us").alias("ts"), F.col("dur_us").alias("dur"), F.lit(1).alias("pid"), F.col("batch").alias("tid"), F.struct(F.col("status")).alias("args"))

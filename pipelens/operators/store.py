@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelens.functions.hashing import is_digest, shard_path
+from pipelens.functions.hashing import is_digest, shard_path, verify_hmac
 
 GRACE_SECONDS = 15 * 60
 HEADROOM = 0.10
@@ -111,3 +111,8 @@ def beacon_peers(beacons: DataFrame, now, window_s: int = 60, ahead_s: int = 15)
 def stale(records: DataFrame, now, max_age_s: float, at: str = "timestamp") -> DataFrame:
     """Records older than ``max_age_s``."""
     return records.where(F.unix_timestamp(now) - F.unix_timestamp(at) > max_age_s)
+
+
+def valid_beacons(beacons: DataFrame, protocol: str, secret: bytes, message: Column, signature: str = "signature") -> DataFrame:
+    """Beacons that speak ``protocol`` and whose signature over ``message`` the cluster's secret confirms."""
+    return beacons.where(F.col("protocol") == protocol).where(verify_hmac(secret)(message, F.col(signature)))

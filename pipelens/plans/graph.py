@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pipelens.plans.lineage import cut
 
 MOST_ROUNDS = 10_000
+#: Different input patterns of all tasks, at most.
+MOST_PATTERNS = 2_000
 #: Edges up to which one task solves what would take a round for every level; the caller's data are counted first.
 SMALL_GRAPH = 100_000
 
@@ -81,11 +83,7 @@ def closure(edges: DataFrame, seeds: DataFrame, downstream: bool = True, most_ro
 
 
 def levels(nodes: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(node, level): 0 without dependencies, else one more than the highest dependency. Raises on a cycle.
-
-    A node joins the frontier once for every distinct length of path that leads
-    to it; the longest one is its level.
-    """
+    """(node, level): 0 without dependencies, else one more than the highest dependency. Raises on a cycle."""
     return _longest(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct(), edges.select("src", "dst").distinct(), None, most_rounds)
 
 
@@ -101,26 +99,37 @@ def duration_ms(last_ms: Column, weight: Column) -> Column:
 
 
 def _longest(nodes: DataFrame, edges: DataFrame, weight: str | None, most_rounds: int) -> DataFrame:
+    """The heaviest path to each node, by peeling: a node is done in the round in which its last dependency is.
+
+    Every edge is followed once. What is kept between rounds are the nodes
+    that some but not all dependencies have reached.
+    """
     inside = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     own = F.col(weight) if weight else F.lit(0)
     costs = nodes.select(F.col("node").alias("dst"), (F.col(weight) if weight else F.lit(1)).alias("cost"))
     steps = cut(inside.join(costs, "dst").select("src", "dst", "cost"))
-    starts = nodes.join(steps.select(F.col("dst").alias("node")), "node", "left_anti").select("node", own.cast("long").alias("v"))
-    reached = frontier = cut(starts)
+    needs = cut(steps.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")))
+    n_nodes = nodes.count()
+    reached = frontier = cut(nodes.join(needs, "node", "left_anti").select("node", own.cast("long").alias("v")))
+    waiting = frontier.select("node", F.lit(0).cast("long").alias("got"), "v").limit(0)
+    done = frontier.count()
     for r in range(1, most_rounds + 1):
-        frontier = cut(frontier.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("v") + F.col("cost")).alias("v")))
-        if frontier.isEmpty():
-            # nodes on a cycle, or behind nothing but cycles, are never reached from a start
-            if not nodes.join(reached, "node", "left_anti").isEmpty():
-                raise ValueError("the graph has a cycle")
-            return reached.groupBy("node").agg(F.max("v").alias("cp" if weight else "level"))
+        if done == n_nodes:
+            return reached.withColumnRenamed("v", "cp" if weight else "level")
+        came = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(1).cast("long").alias("got"), (F.col("v") + F.col("cost")).alias("v"))
+        both = waiting.union(came).groupBy("node").agg(F.sum("got").alias("got"), F.max("v").alias("v"))
+        both = cut(both.join(needs, "node"))
+        frontier = both.where("got = need").select("node", "v")
+        waiting = both.where("got < need").select("node", "got", "v")
+        new = frontier.count()
+        if not new:
+            # nodes on a cycle, and those behind one, keep waiting
+            raise ValueError("the graph has a cycle")
+        done += new
         reached = reached.union(frontier)
         if r % 16 == 0:
-            reached = cut(reached.groupBy("node").agg(F.max("v").alias("v")))
-        # a cycle behind a start would go round for ever; a deep graph is looked through for one once
-        if r == 16 and not cycle_members(steps).isEmpty():
-            raise ValueError("the graph has a cycle")
-    raise ValueError(f"the graph has a cycle or is deeper than {most_rounds}")
+            reached = cut(reached)
+    raise ValueError(f"the graph is deeper than {most_rounds}")
 
 
 def batches(level: DataFrame, cp: DataFrame) -> DataFrame:
@@ -243,6 +252,28 @@ def affected(tasks: DataFrame, edges: DataFrame, direct: DataFrame) -> DataFrame
     return reached.join(tasks.select("node"), "node", "left_semi").withColumn("kind", F.when(F.col("depth") == 0, "direct").otherwise("downstream"))
 
 
+def affected_by_paths(tasks: DataFrame, changed: DataFrame, match=None) -> DataFrame:
+    """(node, depth, kind) from changed files (path) and ``tasks`` (name, inputs, depends_on): J2 and its agent variant.
+
+    ``match`` is ``globs.matches`` or ``globs.matches_prefix``. The different
+    input patterns, which definitions hold and which are counted up to
+    ``MOST_PATTERNS``, become predicates of one scan of the paths.
+    """
+    from pipelens.functions import globs
+
+    match = match or globs.matches
+    patterns = [r[0] for r in tasks.select(F.explode("inputs").alias("p")).where("p IS NOT NULL").distinct().limit(MOST_PATTERNS + 1).collect()]
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} different input patterns")
+    files = changed.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"))
+    hit = files.sparkSession.createDataFrame([], "pattern string")
+    for a in range(0, len(patterns), 100):
+        fits = F.array(*(F.when(match(F.col("path"), p.replace("\\", "/")), F.lit(p)) for p in sorted(patterns)[a : a + 100]))
+        hit = hit.union(files.select(F.explode(F.array_compact(fits)).alias("pattern")).distinct())
+    direct = tasks.select("name", F.explode("inputs").alias("pattern")).join(hit, "pattern", "left_semi").select("name").distinct()
+    return affected(tasks.select(F.col("name").alias("node")), edges_of(tasks), direct)
+
+
 def label_propagation(nodes: DataFrame, weights: DataFrame, most_rounds: int = 10) -> DataFrame:
     """(node, label) by asynchronous label propagation from ``nodes`` (node, seed) and ``weights`` (u, v, w).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,14 +19,23 @@ def redact_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.withColumn(column, redact(F.col(column)))
 
 
-def redact_chunks(chunks: DataFrame, key: str = "stream", at: str = "seq", text: str = "chunk") -> DataFrame:
-    """(stream, line) from chunks that may cut a line: what follows the last newline waits for the next chunk."""
+def redact_chunks(chunks: DataFrame, key: str = "stream", at: str = "seq", text: str = "chunk", last: str | None = None) -> DataFrame:
+    """(stream, line) from chunks that may cut a line: what follows the last newline waits for the next chunk.
+
+    ``last`` names a boolean column that is true for a stream's last chunk;
+    that chunk's rest is a line too, with a newline or without. Where streams
+    do not say when they end, an unfinished line keeps waiting.
+    """
 
     def join(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rest = state.get[0] if state.exists else ""
         data = pd.concat(list(pdfs)).sort_values(at)
-        *lines, rest = (rest + "".join(data[text])).split("\n")
-        state.update((rest,))
+        *lines, rest = (rest + "".join(data[text].fillna(""))).split("\n")
+        if last and data[last].fillna(False).any():
+            lines, rest = lines + [rest] * bool(rest), ""
+            state.remove()
+        else:
+            state.update((rest,))
         yield pd.DataFrame({"stream": [k[0]] * len(lines), "line": lines})
 
     kind = chunks.schema[key].dataType.simpleString()
@@ -34,20 +43,31 @@ def redact_chunks(chunks: DataFrame, key: str = "stream", at: str = "seq", text:
     return whole.withColumn("line", redact(F.col("line")))
 
 
-def watch(snapshots: DataFrame, on_change: Callable[[DataFrame, int], None], start: DataFrame):
+def watch(snapshots: DataFrame, on_change: Callable[[DataFrame, int], None], start: DataFrame, folder: str | None = None):
     """A batch function for ``foreachBatch``: each batch is a snapshot (path, mtime, size); changes go to ``on_change``.
 
     Nothing between two snapshots is lost, as each is compared with the one
     that was handled before it, which is kept in a table and not in memory.
+    With ``folder``, a shared one, that table is found again after a restart,
+    and a batch that is handled again meets the same predecessor.
     """
     held = {"last": start}
 
     def handle(batch: DataFrame, epoch: int) -> None:
         from pipelens.plans.lineage import cut
 
-        now = cut(batch.groupBy("path").agg(F.max(F.struct("mtime", "size")).alias("m")).select("path", "m.mtime", "m.size"))
-        on_change(snapshot_diff(held["last"], now), epoch)
-        held["last"] = now
+        now = batch.groupBy("path").agg(F.max(F.struct("mtime", "size")).alias("m")).select("path", "m.mtime", "m.size")
+        if folder is None:
+            now = cut(now)
+            on_change(snapshot_diff(held["last"], now), epoch)
+            held["last"] = now
+            return
+        spark = batch.sparkSession
+        now.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(folder)
+        kept = spark.read.schema("path string, mtime timestamp, size long, epoch long").parquet(folder)
+        before = kept.where(F.col("epoch") < epoch).agg(F.max("epoch")).first()[0]
+        last = start if before is None else kept.where(F.col("epoch") == before).drop("epoch")
+        on_change(snapshot_diff(last, kept.where(F.col("epoch") == epoch).drop("epoch")), epoch)
 
     return handle
 
@@ -58,18 +78,37 @@ def debounced(changes: DataFrame, gap: str = "350 milliseconds", key: str = "wor
     return rows.groupBy(key, F.session_window(at, gap).alias("s")).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def token_bucket(requests: DataFrame, rate: float, burst: float, key: str = "key", at: str = "ts", tie: str = "id") -> DataFrame:
+def token_bucket(requests: DataFrame, rate: float, burst: float, key: str = "key", at: str = "ts", tie: str = "id", width: str = "1 hour") -> DataFrame:
     """(key, id, ts, granted_at, wait_ms): a table of requests through a bucket of ``burst`` tokens filled at ``rate`` a second.
 
     Each key's requests go in order; a request without a token waits for one,
-    a millisecond at least.
+    a millisecond at least. With T the time of one token, the moment at which
+    the bucket is full again behind request i is the greatest of
+    ``t_j + (i - j + 1) T`` over the requests j up to it, so request i is
+    granted at the same maximum over those before it, less ``burst - 1`` times
+    T. Numbers and maxima are taken within spans of ``width`` and over them, so
+    no window holds all of a busy key.
     """
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _replay(pdf.sort_values([at, tie]), at, rate, burst, burst, None)[0][[key, tie, at, "granted_at", "wait_ms"]]
-
-    kinds = {c: requests.schema[c].dataType.simpleString() for c in (key, tie, at)}
-    return requests.groupBy(key).applyInPandas(replay, f"{key} {kinds[key]}, {tie} {kinds[tie]}, {at} {kinds[at]}, granted_at {kinds[at]}, wait_ms double")
+    token = 1e6 / rate
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    span = F.window(F.col(at).cast("timestamp"), width)["start"]
+    own = Window.partitionBy("k", "span").orderBy("t", "tie")
+    rows = requests.select(F.col(key).alias("k"), F.col(tie).alias("tie"), F.col(at).alias("at"), t.alias("t"), span.alias("span")).withColumn("i", F.row_number().over(own) - 1)
+    rows = rows.withColumn("m", F.col("t") - F.col("i") * token)
+    spans = rows.groupBy("k", "span").agg(F.count("*").alias("n"), F.max("m").alias("m"))
+    earlier = Window.partitionBy("k").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("m", F.col("m") - F.col("before") * token)
+    spans = spans.select("k", "span", "before", F.max("m").over(earlier).alias("carry"))
+    # what came before within the span, then what the spans before carry
+    inside = F.max("m").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumnsRenamed({"k": "s_k", "span": "s_span"})
+    rows = rows.withColumn("inside", inside).join(spans, F.col("k").eqNullSafe(F.col("s_k")) & F.col("span").eqNullSafe(F.col("s_span")))
+    most = F.greatest(F.col("carry"), F.col("inside") - F.col("before") * token)
+    ideal = most + (F.col("i") + F.col("before")) * token - (burst - 1) * token
+    granted = F.when(ideal > F.col("t"), F.greatest(F.floor(ideal), F.col("t") + 1000)).otherwise(F.col("t")).cast("long")
+    kind = requests.schema[at].dataType
+    out = rows.select(F.col("k").alias(key), F.col("tie").alias(tie), F.col("at").alias(at), "t", granted.alias("g"))
+    return out.select(key, tie, at, F.timestamp_micros("g").cast(kind).alias("granted_at"), ((F.col("g") - F.col("t")) / 1000).alias("wait_ms"))
 
 
 def _replay(pdf: pd.DataFrame, at: str, rate: float, burst: float, tokens: float, last: int | None):
@@ -110,3 +149,9 @@ def beacon_batch(now: Callable[[int], object], on_peers: Callable[[DataFrame, in
         on_peers(beacon_peers(batch, now(epoch)), epoch)
 
     return handle
+
+
+def beacon_ticks(spark: SparkSession, node_id: str, addr: str, every_ms: int = 500) -> DataFrame:
+    """A stream of this node's beacons (node_id, addr, ts, seq), one every ``every_ms`` milliseconds."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", every_ms).load()
+    return ticks.select(F.lit(node_id).alias("node_id"), F.lit(addr).alias("addr"), F.col("timestamp").alias("ts"), F.col("value").alias("seq"))
