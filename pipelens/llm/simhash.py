@@ -37,6 +37,8 @@ BLOCK = 1 << 15
 MOST_LINKS = 1 << 17
 #: Pairs of one text that are compared in one place, about.
 HUB = 256
+#: Buckets of text digests: what is known of a bucket is broadcast, so that most texts need not move.
+BUCKETS = 1 << 20
 #: Texts whose shingles tell which are common, about; how many of those texts a common one is in, at least; most common shingles.
 SAMPLE_TEXTS, COMMON_TEXTS, MOST_COMMON = 8_000, 3, 100_000
 #: Pairs of one shingle's texts that a task makes at a time, about.
@@ -385,6 +387,52 @@ def similar_tree(sets: list[np.ndarray], similarity: float) -> list[tuple[int, i
     return links
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Whether an odd number of the elements of a set fall on each bit, of twice as many bits as there are elements or more.
+
+    Every element that one of two sets has alone changes one bit, so sets
+    differ in no fewer elements than their parities in bits.
+    """
+    bits = 1 << max(6, (2 * len(s)).bit_length())
+    odd = np.bincount(((s >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ, the longer folded to the shorter."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    n, least = max(len(x), len(y)) * 8, min(len(x), len(y)) * 8
+    if len(x) < len(y):
+        a, b = b, a
+    while n > least:
+        n //= 2
+        a = (a >> n) ^ (a & ((1 << n) - 1))
+    return (a ^ b).bit_count()
+
+
+def possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and parities allow that similarity; none that has it is left out."""
+    x, y = (texts.select(F.col("key").alias(c), F.col("size").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in ("a", "b"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "p_a", "p_b"))):
+                ok.append(apart(p, q) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").mapInArrow(look, "a long, b long")
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("md"), F.lit(BUCKETS)).alias("bucket")
+
+
+def _buckets(texts: DataFrame) -> DataFrame:
+    """The buckets of texts, ``BUCKETS`` at most, to be broadcast."""
+    return F.broadcast(texts.select(_bucket()).distinct())
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, rows: DataFrame, k: int, similarity: float, tree: bool = False) -> DataFrame:
     """Those of ``pairs`` (a, b), without repeats, whose texts have that Jaccard similarity, as (a, b).
 
@@ -398,7 +446,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, rows: DataFrame, k: int, simil
     degree = cut(ends.groupBy("key").agg(F.count("*").alias("n")))
     named = texts.join(degree, "key").select("key", "md", "id")
     # a row of ``rows`` may be repeated; keys, join and reduction share one partitioning
-    found = rows.join(named, ["md", "id"]).dropDuplicates(["md", "id"]).select("key", "text")
+    near = rows.withColumn("bucket", _bucket()).join(_buckets(named), "bucket", "left_semi")
+    found = near.join(named, ["md", "id"]).dropDuplicates(["md", "id"]).select("key", "text")
     hub = pairs.join(degree.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
     more = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     turned = hub.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("key"), F.greatest("n_a", "n_b").alias("n"))
@@ -606,12 +655,14 @@ def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int =
             found = [_shingles(t, verify) for t in held]
             firsts = pa.array([prefix(s, similarity, common).tobytes() for s in found], pa.binary())
             rare = pa.array([int((ranks(s, common) == 0).sum()) for s in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints), pa.array([len(s) for s in found], pa.int32()), rare, firsts], ["doc_id", "md", "fp", "size", "rare", "prefix"])
+            odd = pa.array([parity(s) for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints), pa.array([len(s) for s in found], pa.int32()), rare, odd, firsts], ["doc_id", "md", "fp", "size", "rare", "parity", "prefix"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    marked = docs.select(F.col(id_col).alias("doc_id"), md, F.col(text).alias("text")).mapInArrow(mark, f"doc_id {id_type}, md string, fp long, size int, rare int, prefix binary")
-    once = marked.groupBy("md").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
-    texts = cut(once.select(F.monotonically_increasing_id().alias("key"), "md", "least", name(F.col("least")), "fp", "size", "rare", "prefix"))
+    marked = docs.select(F.col(id_col).alias("doc_id"), md, F.col(text).alias("text")).mapInArrow(mark, f"doc_id {id_type}, md string, fp long, size int, rare int, parity binary, prefix binary")
+    own = ["fp", "size", "rare", "parity", "prefix"]
+    once = marked.groupBy("md").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in own))
+    texts = cut(once.select(F.monotonically_increasing_id().alias("key"), "md", "least", name(F.col("least")), "copies", *own))
 
     # one text stands for each fingerprint; others of the same are linked to it
     prints = cut(texts.groupBy("fp").agg(F.min("key").alias("one")))
@@ -622,18 +673,24 @@ def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int =
     groups = components(near)
     middle = groups.join(texts.select(F.col("key").alias("node"), "rare"), "node").groupBy("root").agg(F.min(F.struct("rare", "node")).alias("m")).select("root", F.col("m.node").alias("middle"))
     spokes = groups.join(middle, "root").where("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
-    proposed = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(spokes).distinct())
+    proposed = cut(possible(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(spokes).distinct(), texts, similarity))
     roots = components(confirmed(proposed, texts, rows, verify, similarity, tree=True))
     classes = cut(texts.select("key", "least", "size", "prefix").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", "size", "prefix", F.coalesce("root", "key").alias("root")))
-    missed = confirmed(cut(missed_pairs(classes, similarity)), texts, rows, verify, similarity)
+    missed = confirmed(cut(possible(missed_pairs(classes, similarity), texts, similarity)), texts, rows, verify, similarity)
     of = classes.select("key", "root")
     across = missed.join(of.toDF("a", "r_a"), "a").join(of.toDF("b", "r_b"), "b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
     more = components(across).withColumnsRenamed({"root": "top"})
     final = classes.select("key", "least", "root").join(more, F.col("root") == F.col("node"), "left").select("key", "least", F.coalesce("top", "root").alias("root"))
-    kept = final.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "key")).alias("k")).select(F.col("k.key").alias("key"))
+    final = cut(final)
+    kept = final.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "key")).alias("k"), F.count("*").alias("n")).select(F.col("k.key").alias("key"), "root", "n")
     stay = texts.join(kept, "key", "left_semi").select("md", "id")
-    own = docs.select(md, name(F.col(id_col)), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return own.join(stay, ["md", "id"], "left_semi").dropDuplicates(["md", "id"]).select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    # only rows in a bucket with a text that has copies, exact or near, have to meet others; all else stays where it is
+    grouped = final.join(kept.where("n > 1"), "root", "left_semi").select("key").union(texts.where("copies > 1").select("key")).distinct()
+    some = cut(texts.join(grouped, "key", "left_semi").select(_bucket()).distinct())
+    whole = docs.select(md, name(F.col(id_col)), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("bucket", _bucket())
+    met = whole.join(F.broadcast(some), "bucket", "left_semi").join(stay, ["md", "id"], "left_semi").dropDuplicates(["md", "id"])
+    alone = whole.join(F.broadcast(some), "bucket", "left_anti")
+    return alone.select("row").union(met.select("row")).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def _normal(text: str):

@@ -181,3 +181,12 @@ def test_sharing_pairs_hold_all_similar_pairs():
     like = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
     want = {(i, j) for j in range(len(sets)) for i in range(j) if like(sets[i], sets[j])}
     assert len(want) > 15 and want <= found
+
+
+def test_parities_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(0, 400)).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, rng.integers(0, 300)).astype(np.uint64))))
+        assert simhash.apart(simhash.parity(a), simhash.parity(b)) <= len(np.setxor1d(a, b))
+    assert simhash.apart(simhash.parity(a), simhash.parity(a)) == 0
