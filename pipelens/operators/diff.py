@@ -16,25 +16,50 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "path", "full_outer").select("path", change.alias("change")).where("change IS NOT NULL")
 
 
+#: Kinds of a manifest's entries: rank of the reason, rank if one is gone (None: that is no reason), and the reasons.
+ENTRIES = {
+    "file": (2, 3, "file added", "file modified"),
+    "env": (4, None, "environment variable added", "environment variable changed"),
+    "dep": (5, None, "dependency added", "dependency rebuilt"),
+}
+
+
 def why(previous: DataFrame, current: DataFrame) -> DataFrame:
     """(task, reason, item): why each current task has to run again, null reason if nothing differs.
 
-    Both tables have task, command, file_hashes, env_vars, dep_hashes; maps are
-    compared entry by entry and of several differences the first kind, then
-    the smallest name, is given.
+    Both tables have task, command, file_hashes, env_vars, dep_hashes; the maps
+    are compared entry by entry, as ``why_rows`` does.
+    """
+    maps = {"file": "file_hashes", "env": "env_vars", "dep": "dep_hashes"}
+
+    def rows(manifests: DataFrame) -> DataFrame:
+        out = None
+        for kind, column in maps.items():
+            more = manifests.select("task", F.lit(kind).alias("kind"), F.explode(column).alias("k", "v"))
+            out = more if out is None else out.union(more)
+        return out
+
+    return why_rows(previous.select("task", "command"), rows(previous), current.select("task", "command"), rows(current))
+
+
+def why_rows(previous: DataFrame, previous_entries: DataFrame, current: DataFrame, current_entries: DataFrame) -> DataFrame:
+    """``why`` over manifests that are tables: tasks (task, command), entries (task, kind, k, v) of the kinds of ``ENTRIES``.
+
+    Entries meet by task, kind and name, so a task may have any number of
+    them. Of several differences the first kind, then the smallest name, is
+    given; an environment variable or dependency that is gone is none.
     """
-    kinds = {"file": ("file_hashes", 2, 3), "env": ("env_vars", 4, None), "dep": ("dep_hashes", 5, None)}
     both = current.select("task", F.col("command").alias("n_command")).join(previous.select("task", F.col("command").alias("o_command"), F.lit(True).alias("there")), "task", "left")
     changes = both.where("there IS NULL").select("task", F.lit(0).alias("rank"), F.lit("no previous manifest").alias("reason"), F.lit("").alias("item"))
     changes = changes.union(both.where("there AND n_command <> o_command").select("task", F.lit(1), F.lit("command changed"), F.lit("")))
-    known = current.join(previous.select("task"), "task", "left_semi")
-    for kind, (column, rank, gone) in kinds.items():
-        n = known.select("task", F.explode(column).alias("k", "n_v"))
-        o = previous.join(current.select("task"), "task", "left_semi").select("task", F.explode(column).alias("k", "o_v"))
-        added, changed = {"file": ("file added", "file modified"), "env": ("environment variable added", "environment variable changed"), "dep": ("dependency added", "dependency rebuilt")}[kind]
-        reason = F.when(F.col("o_v").isNull(), added).when(F.col("n_v").isNull(), "file deleted" if gone else None).when(F.col("n_v") != F.col("o_v"), changed)
-        at = F.when(F.col("n_v").isNull(), gone or rank).otherwise(rank)
-        changes = changes.union(n.join(o, ["task", "k"], "full_outer").select("task", at, reason.alias("reason"), F.col("k")).where("reason IS NOT NULL"))
+    n = current_entries.join(previous.select("task"), "task", "left_semi").select("task", "kind", "k", F.col("v").alias("n_v"))
+    o = previous_entries.join(current.select("task"), "task", "left_semi").select("task", "kind", "k", F.col("v").alias("o_v"))
+    rank, reason = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for kind, (at, gone, added, changed) in ENTRIES.items():
+        here = F.col("kind") == kind
+        reason = F.when(here & F.col("o_v").isNull(), added).when(here & F.col("n_v").isNull(), "file deleted" if gone else None).when(here & (F.col("n_v") != F.col("o_v")), changed).otherwise(reason)
+        rank = F.when(here & F.col("n_v").isNull(), gone or at).when(here, at).otherwise(rank)
+    changes = changes.union(n.join(o, ["task", "kind", "k"], "full_outer").select("task", rank, reason.alias("reason"), F.col("k")).where("reason IS NOT NULL"))
     first = changes.groupBy("task").agg(F.min(F.struct("rank", "item", "reason")).alias("c")).select("task", "c.reason", "c.item")
     return current.select("task").join(first, "task", "left").select("task", "reason", "item")
 

@@ -46,13 +46,15 @@ def suggestions(wanted: DataFrame, known: DataFrame, most: int = 2) -> DataFrame
         .select("wanted", "suggestion").distinct()
         .where(F.levenshtein("wanted", "suggestion") <= most)
     )
-    pieces = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(i, F.length(c)), lambda j: F.substring(c, i, j - i + 1))))))
+    # of a name only the pieces are made that are as long as some name of the other side
+    lengths = lambda df: F.broadcast(df.agg(F.array_sort(F.collect_set(F.length(F.lower("name")))).alias("lengths")))
+    pieces = F.explode(F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: (n > 0) & (n <= F.length("low"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substring(F.col("low"), i, n))))))
     held = (
-        k.where("name <> ''").select(F.col("name").alias("suggestion"), pieces(F.lower("name")).alias("key"))
+        k.where("name <> ''").select(F.col("name").alias("suggestion"), F.lower("name").alias("low")).join(lengths(w)).select("suggestion", pieces.alias("key"))
         .join(w.select(F.col("name").alias("wanted"), F.lower("name").alias("key")), "key").select("wanted", "suggestion")
     )
     holds = (
-        w.where("name <> ''").select(F.col("name").alias("wanted"), pieces(F.lower("name")).alias("key"))
+        w.where("name <> ''").select(F.col("name").alias("wanted"), F.lower("name").alias("low")).join(lengths(k)).select("wanted", pieces.alias("key"))
         .join(k.select(F.col("name").alias("suggestion"), F.lower("name").alias("key")), "key").select("wanted", "suggestion")
     )
     return near.union(held).union(holds).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pipelens.functions import globs, hashing, paths, secrets
 from pipelens.operators import diagnose, diff, env, layout, stats, store
 from pipelens.plans import graph
+from pipelens.plans.lineage import cut
 from pipelens.registry import query, table
 
 #: The moment that stands for now in every query.
@@ -293,21 +294,20 @@ SELECT o_orderkey, action_hash, CASE WHEN action_hash IN (SELECT fingerprint FRO
 )
 def action_cache_hit(spark, sf_dir):
     """The fingerprints are cached; every third task has changed since."""
-    cache = _fingerprints(spark, sf_dir).withColumnRenamed("fingerprint", "action_hash")
+    cache = cut(_fingerprints(spark, sf_dir).withColumnRenamed("fingerprint", "action_hash"))
     now = cache.withColumn("action_hash", F.when(F.col("o_orderkey") % 3 == 0, F.sha2(F.col("action_hash").cast("binary"), 256)).otherwise(F.col("action_hash")))
     return store.cache_lookup(now, cache).select("o_orderkey", "action_hash", "status")
 
 
 def _manifests(spark, sf_dir):
     """Sources as tasks with their documents as files, before and after: some changed, some gone, some new."""
-    d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("k"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("v"))
-    env = lambda v: F.create_map(F.lit("LANG"), F.lit(v))
-    none = F.create_map().cast("map<string,string>")
-    files = lambda rows: rows.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("file_hashes"))
-    old = files(d.where("doc_id % 13 <> 0")).where("source <> 'src0'").select(F.col("source").alias("task"), F.lit("run").alias("command"), "file_hashes", env("a").alias("env_vars"), none.alias("dep_hashes"))
-    changed = d.where("doc_id % 11 <> 0").withColumn("v", F.when(F.col("doc_id") % 7 == 0, F.sha2(F.col("v").cast("binary"), 256)).otherwise(F.col("v")))
-    new = files(changed).select(F.col("source").alias("task"), F.when(F.col("source") == "src1", "walk").otherwise("run").alias("command"), "file_hashes", env("b").alias("env_vars"), none.alias("dep_hashes"))
-    return old, new
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("task"), F.lit("file").alias("kind"), F.col("doc_id").cast("string").alias("k"), F.sha2(F.col("text").cast("binary"), 256).alias("v"), "doc_id")
+    old = d.where("doc_id % 13 <> 0 AND task <> 'src0'").drop("doc_id")
+    new = d.where("doc_id % 11 <> 0").withColumn("v", F.when(F.col("doc_id") % 7 == 0, F.sha2(F.col("v").cast("binary"), 256)).otherwise(F.col("v"))).drop("doc_id")
+    tasks = lambda rows, command: rows.select("task").distinct().select("task", command.alias("command"))
+    with_env = lambda rows, v: rows.union(rows.select("task", F.lit("env"), F.lit("LANG"), F.lit(v)).distinct())
+    walk = F.when(F.col("task") == "src1", "walk").otherwise("run")
+    return tasks(old, F.lit("run")), with_env(old, "a"), tasks(new, walk), with_env(new, "b")
 
 
 @query(
@@ -326,7 +326,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, item) AS m
 SELECT t.source AS task, reason, item FROM t LEFT JOIN f ON t.source = f.source AND m = 1""",
 )
 def manifest_diff_why(spark, sf_dir):
-    return diff.why(*_manifests(spark, sf_dir))
+    return diff.why_rows(*_manifests(spark, sf_dir))
 
 
 @query(
