@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pipelens.llm import ann, chat, decontam, mixing, ppm, secrets, simhash, tokenbin, toxicity, urlfilter
 from pipelens.llm.common import crc_mod
+from pipelens.llm.secrets_sql import SQL as SECRETS_SQL
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -146,4 +147,5 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
   (t1 * ((1.5::DOUBLE * p + (-1.0::DOUBLE) * p * p / 2) / 1.0::DOUBLE) + t2 * ((1.0::DOUBLE * p + 0.0::DOUBLE * p * p / 2) / 1.0::DOUBLE) + t3 * ((0.5::DOUBLE * p + 1.0::DOUBLE * p * p / 2) / 1.0::DOUBLE)) / (t1 + t2 + t3) AS progress
 FROM u, z
 """,
+    "op10_secrets": SECRETS_SQL,
 }

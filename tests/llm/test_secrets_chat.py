@@ -1,9 +1,11 @@
 """Secret scans against the plain patterns, linking by cases; chat formatting against a plain version."""
 
 import hashlib
+import random
 import re
 import time
 
+import duckdb
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -154,6 +156,19 @@ def test_query_counts_and_hashes_base_spans(spark, tmp_path):
         assert r.spans == name({*base, *plain_linked(text)})
 
 
+def test_the_sql_says_the_same(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([" ", "", "\n"]).join(rng.choice(WEAK) for _ in range(rng.randrange(30)))) for i in range(1500)] + [(7, KEY), (7, KEY), (None, None), (2000, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op10_secrets"])
+    names = [d[0] for d in want.description]
+    got = [tuple(r[n] for n in names) for r in queries.op10_secrets(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr)
+    assert sum(any(k in g[-1] for k in ("key:", "user:", "endpoint:")) for g in got) > 300
+
+
 # ---------------------------------------------------------------- chat
 
 
