@@ -47,7 +47,7 @@ BITS = 9
 #: Bytes of text in a chunk, about.
 CHUNK = 16 << 20
 #: Bytes of text whose n-grams are made at a time, about.
-PIECE = 1 << 20
+PIECE = 2 << 20
 #: Bytes of text for each part of the trie, about.
 PART_BYTES = 16 << 20
 #: Packed rows of one part that a merge takes, about, and chunks that one task answers.
@@ -66,7 +66,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def chunk():
         ids, train, texts = zip(*held)
         joined = [b" ".join(t.lower().split()) for t in texts]
-        blob = zstandard.compress(pickle.dumps((ids, train, joined), protocol=5), 6)
+        blob = zstandard.compress(pickle.dumps((ids, train, joined), protocol=5), 4)
         return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([blob], pa.binary()), pa.array([size], pa.int64())], ["chunk", "blob", "bytes"])
 
     for batch in slices(batches):
@@ -158,10 +158,17 @@ def distinct(joined: list[bytes], order: int) -> tuple[np.ndarray, list[tuple[np
     for a, b in pieces(joined):
         grams, of = grams_of(joined[a:b], order)
         code, some = pd.factorize(grams)
-        held.append((code.astype(np.int32), some, (of + a).astype(np.int32)))
+        held.append((code.astype(np.int32), len(some), (of + a).astype(np.int32)))
         found.append(some)
-    grams = np.unique(np.concatenate(found))
-    return grams, [(np.searchsorted(grams, some).astype(np.int32)[code], of) for code, some, of in held]
+    number, grams = pd.factorize(np.concatenate(found))  # much faster than sorting all that pieces have found
+    in_order = np.argsort(grams)
+    rank = np.empty(len(grams), dtype=np.int32)
+    rank[in_order] = np.arange(len(grams), dtype=np.int32)
+    number, at, out = rank[number], 0, []
+    for code, n, of in held:
+        out.append((number[at : at + n][code], of))
+        at += n
+    return grams[in_order], out
 
 
 def _ask(order: int, parts: int):
@@ -361,7 +368,8 @@ def _score(order: int, parts: int):
         for blob in asked.column("blob").to_pylist():
             ids, train, joined = _unpack(blob)
             grams, held = distinct(joined, order)
-            names = sorted({w for text in joined if text for w in text.split(b" ")})
+            each = [text.split(b" ") if text else [] for text in joined]
+            names = sorted(set().union(*each))
             in_g, _, in_w, _ = _by_part(grams, names, order, parts)
             # answers come in the order of the parts, as the questions went
             cost, count = np.zeros(len(grams)), np.zeros(len(names), dtype=np.int64)
@@ -376,8 +384,7 @@ def _score(order: int, parts: int):
             for at, of in held:
                 total += np.bincount(of, weights=cost[at], minlength=len(joined))
             n_part = 0
-            for text, learns in zip(joined, train):
-                words = text.split(b" ") if text else []
+            for words, learns in zip(each, train):
                 c = np.fromiter(map(count_of.__getitem__, words), dtype=np.int64, count=len(words))
                 columns[2].append(len(words))
                 columns[3].append(int((c > 0).sum()))
@@ -425,7 +432,9 @@ def score(docs: DataFrame, held_mod: int = 7, held_is: int = 2, order: int = ORD
     tables = merged.where("part >= 0").select("part", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("chunk"), "blob")
     asked = asks.where("part >= 0").select("part", F.pmod(F.xxhash64("chunk"), F.lit(cells)).cast("int").alias("cell"), F.lit(1).alias("side"), "chunk", "blob")
     answers = tables.union(asked).repartition(parts * cells, "part", "cell").sortWithinPartitions("part", "cell", "side").mapInArrow(_answer(sent, order), "part int, chunk long, answer binary")
-    scored = cut(packed.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, parts), RESULT))
+    # about as many tasks as chunks, so that none has many of them
+    by_chunk = lambda df: df.repartition(2 * chunks + 1, "chunk").groupBy("chunk")
+    scored = cut(by_chunk(packed.select("chunk", "blob")).cogroup(by_chunk(answers)).applyInArrow(_score(order, parts), RESULT))
     different = merged.where("part >= 0").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     known = scored.agg(F.coalesce(F.sum("n_part"), F.lit(0)), F.count(F.when(~F.col("held_out"), 1))).first()
     # the end token: once in every training document
