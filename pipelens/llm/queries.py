@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelens.llm import ann, chat, decontam, mixing, ppm, secrets, simhash, tokenbin, toxicity, urlfilter
+from pipelens.llm.chat_sql import SQL as CHAT_SQL
 from pipelens.llm.common import crc_mod
 from pipelens.llm.secrets_sql import SQL as SECRETS_SQL
 
@@ -148,4 +149,5 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 FROM u, z
 """,
     "op10_secrets": SECRETS_SQL,
+    "op4_chat": CHAT_SQL,
 }

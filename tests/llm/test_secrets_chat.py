@@ -286,3 +286,25 @@ def test_a_hot_conversation_of_equal_lines(spark):
     assert {r.position for r in chat.conversations(same).collect()} == set(range(5_000))
     order = [(r.thread, r.turn) for r in got.orderBy("position").collect()]
     assert order == sorted(order)
+
+
+def test_chat_sql_says_the_same(spark, tmp_path):
+    rng, rows = random.Random(5), list(CHAT)
+    for c in range(100, 260):
+        said: list = []
+        for t in range(rng.randrange(1, 9)):
+            lines = []
+            for _ in range(rng.randrange(0, 7)):
+                quoted = [">" * rng.randrange(1, 3) + " " + x for x in rng.choice(said).split("\n")] if said and rng.random() < 0.5 else [rng.choice(LINES)]
+                lines += quoted
+            said.append("\n".join(lines))
+            rows.append((c, t, rng.choice(["user", "assistant", None]), said[-1]))
+    rows += [(c, t, r, x) for c, t, r, x in rows if c == 101]  # repeated rows
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op4_chat"])
+    names = [d[0] for d in want.description]
+    got = [tuple(r[n] for n in names) for r in queries.op4_chat(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr)
+    assert sum(g[names.index("reply_to")] is not None for g in got) > 150
