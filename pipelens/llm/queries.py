@@ -10,6 +10,7 @@ from pipelens.llm import ann, chat, decontam, mixing, ppm, secrets, simhash, tok
 from pipelens.llm.chat_sql import SQL as CHAT_SQL
 from pipelens.llm.common import crc_mod
 from pipelens.llm.secrets_sql import SQL as SECRETS_SQL
+from pipelens.llm.simhash_sql import sql as simhash_sql
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -150,4 +151,5 @@ FROM u, z
 """,
     "op10_secrets": SECRETS_SQL,
     "op4_chat": CHAT_SQL,
+    "op9_simhash": simhash_sql(shingle=3, bits=3),
 }

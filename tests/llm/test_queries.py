@@ -3,9 +3,11 @@
 import random
 import zlib
 
+import duckdb
 import pytest
+import xxhash
 
-from pipelens.llm import queries, toxicity
+from pipelens.llm import queries, simhash_sql, toxicity
 from tests.llm.test_ppm import brute
 from tests.llm.test_secrets_chat import CHAT, SCHEMA, plain_chat
 from tests.llm.test_simhash import classes, plain_fingerprint
@@ -62,3 +64,20 @@ def test_simhash_query(spark, folder):
     want = sorted(((i, f"{p:016x}", least[c]) for (i, _), p, c in zip(rows, prints, cls)), key=repr)
     assert sorted(map(tuple, queries.op9_simhash(spark, folder[0]).collect()), key=repr) == want
     assert len(set(cls)) < len(rows) - 3
+
+
+def test_simhash_sql_says_the_same(spark, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM read_parquet('{folder[0]}/documents.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op9_simhash"])
+    names = [d[0] for d in want.description]
+    got = [tuple(r[n] for n in names) for r in queries.op9_simhash(spark, folder[0]).collect()]
+    assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_sql_hashes_are_xxh64():
+    rng = random.Random(1)
+    texts = sorted({"".join(rng.choice("abc é😀 xyz") for _ in range(n % 90)) for n in range(300)} - {""})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?) AS g", [texts])
+    assert dict(con.execute(f"WITH {simhash_sql.hashes('t', 42)} SELECT g, h FROM hashed").fetchall()) == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
