@@ -124,3 +124,41 @@ def any_match(path: Column, patterns: list[str], match=matches) -> Column:
     for p in patterns:
         out = out | match(path, p)
     return out
+
+
+def as_regex(pattern: str, match=matches) -> tuple[str, str]:
+    """(head, regex) of a pattern: what every path begins with that fits, and a whole-string regular expression of the same paths.
+
+    For patterns that are rows, not constants: heads are equi-joined with
+    beginnings of paths, and the expression decides. The head is empty where a
+    last segment anywhere can fit.
+    """
+    quote = lambda t: "".join("\\" + c if not (c.isalnum() or c in "_/ ") else c for c in t)
+    segment = lambda t: None if (r := segment_regex(t) if _wild(t) else f"(?s)^{quote(t)}\\z") is None else r[5:-2]
+    head = re.split(r"[*?\[\\]", pattern, maxsplit=1)[0]
+    ways = [quote(pattern), segment(pattern)]
+    if match is matches_prefix:
+        if "**" in pattern:
+            ways.append(quote(pattern.split("**")[0].removesuffix("/")) + ".*")
+            head = head.removesuffix("/")
+    elif pattern.count("**") == 1:
+        prefix, suffix = pattern.split("**")
+        prefix, suffix = prefix.removesuffix("/"), suffix.removeprefix("/")
+        start, ways, head = quote(prefix), [quote(pattern)], head.removesuffix("/")
+        if not suffix:
+            ways.append(start + ".*")
+        elif suffix.startswith("*"):
+            ways.append(f"{start}/?+.*{quote(suffix[1:])}")
+        else:
+            own = segment(suffix)
+            ways.append(f"{start}/?+.*{quote(suffix)}")
+            if own is not None:
+                ways += [f"{start}/?+{own}", f"(?={start})(?:.*/)?(?=[^/]*\\z){own}"]
+    elif "/" not in pattern:
+        own = segment(pattern)
+        head = ""
+        if pattern.startswith("*") and not _wild(pattern[1:]):
+            ways.append(".*" + quote(pattern[1:]))
+        elif own is not None:
+            ways.append(f"(?:.*/)?(?=[^/]*\\z){own}")
+    return head, "(?s)^(?:" + "|".join(w for w in ways if w is not None) + ")\\z"

@@ -14,7 +14,7 @@ from pipelens.plans.lineage import cut
 
 MOST_ROUNDS = 10_000
 #: Different input patterns of all tasks, at most.
-MOST_PATTERNS = 2_000
+MOST_PATTERNS = 10_000
 #: Edges up to which one task solves what would take a round for every level; the caller's data are counted first.
 SMALL_GRAPH = 100_000
 
@@ -258,21 +258,27 @@ def affected_by_paths(tasks: DataFrame, changed: DataFrame, match=None) -> DataF
     """(node, depth, kind) from changed files (path) and ``tasks`` (name, inputs, depends_on): J2 and its agent variant.
 
     ``match`` is ``globs.matches`` or ``globs.matches_prefix``. The different
-    input patterns, which definitions hold and which are counted up to
-    ``MOST_PATTERNS``, become predicates of one scan of the paths.
+    input patterns of the definitions, counted up to ``MOST_PATTERNS``, become
+    rows (head, regex): beginnings of paths, as long as some head, are joined
+    with heads, and the expression is asked of these pairs only. Patterns
+    without a head are predicates of one scan.
     """
     from pipelens.functions import globs
 
-    match = match or globs.matches
-    patterns = [r[0] for r in tasks.select(F.explode("inputs").alias("p")).where("p IS NOT NULL").distinct().limit(MOST_PATTERNS + 1).collect()]
-    if len(patterns) > MOST_PATTERNS:
+    spark = tasks.sparkSession
+    found = [r[0] for r in tasks.select(F.explode("inputs").alias("p")).where("p IS NOT NULL").distinct().limit(MOST_PATTERNS + 1).collect()]
+    if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} different input patterns")
-    files = changed.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"))
-    hit = files.sparkSession.createDataFrame([], "pattern string")
-    for a in range(0, len(patterns), 100):
-        fits = F.array(*(F.when(match(F.col("path"), p.replace("\\", "/")), F.lit(p)) for p in sorted(patterns)[a : a + 100]))
-        hit = hit.union(files.select(F.explode(F.array_compact(fits)).alias("pattern")).distinct())
-    direct = tasks.select("name", F.explode("inputs").alias("pattern")).join(hit, "pattern", "left_semi").select("name").distinct()
+    rows = [(p, *globs.as_regex(p.replace("\\", "/"), match or globs.matches)) for p in sorted(found)]
+    files = changed.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path")).distinct()
+    headed = spark.createDataFrame([r for r in rows if r[1]], "pattern string, head string, regex string")
+    lengths = F.array(*(F.lit(n) for n in sorted({len(r[1]) for r in rows if r[1]}))).cast("array<int>")
+    begins = F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)))
+    hit = files.select("path", begins.alias("head")).join(F.broadcast(headed), "head").where(F.rlike("path", F.col("regex"))).select("pattern")
+    for p, head, regex in rows:
+        if not head:
+            hit = hit.union(files.where(F.col("path").rlike(regex)).limit(1).select(F.lit(p).alias("pattern")))
+    direct = tasks.select("name", F.explode("inputs").alias("pattern")).join(hit.distinct(), "pattern", "left_semi").select("name").distinct()
     return affected(tasks.select(F.col("name").alias("node")), edges_of(tasks), direct)
 
 

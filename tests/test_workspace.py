@@ -159,3 +159,23 @@ def test_a_busy_bucket_is_that_of_the_replay(spark):
     got = [(r.key, r.wait_ms) for r in streams.token_bucket(df, 0.05, 3.0).orderBy("id").collect()]
     for key in ("k", None):
         assert [w for k, w in got if k == key] == pytest.approx(replay([t for t, r in zip(times, rows) if r[0] == key], 0.05, 3.0), abs=0.5)
+
+
+def test_expressions_of_patterns_fit_the_same_paths(spark):
+    import random
+
+    rng = random.Random(9)
+    parts = ["a", "b", "ab", "*", "?", "**", "[ab]", "[^a]", "\\*", ".go", "/", "/", "x+y"]
+    patterns = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(260)} | {"*.go", "a/**", "a/**/b", "**/*.go", "a/**/*.go", "[a", "a**b", "**", "a/b", ""})
+    pieces = ["a", "b", "ab", "abc", "x+y", ".go", "*", "\n"]
+    files = sorted({"/".join("".join(rng.choice(pieces) for _ in range(rng.randrange(0, 3))) for _ in range(rng.randrange(1, 4))) for _ in range(300)})
+    df = spark.createDataFrame([(f,) for f in files], "path string").coalesce(1)
+    for match in (globs.matches, globs.matches_prefix):
+        for at in range(0, len(patterns), 60):
+            some = patterns[at : at + 60]
+            made = [globs.as_regex(p, match) for p in some]
+            rows = df.select("path", F.array(*(match(F.col("path"), p) for p in some)).alias("want"), F.array(*(F.col("path").rlike(r) for _, r in made)).alias("got")).collect()
+            for r in rows:
+                for p, (head, regex), want, got in zip(some, made, r.want, r.got):
+                    assert want == got, (match.__name__, p, r.path, regex)
+                    assert not want or r.path.startswith(head), (p, r.path, head)
