@@ -43,6 +43,8 @@ BUCKETS = 1 << 20
 SAMPLE_TEXTS, COMMON_TEXTS, MOST_COMMON = 8_000, 3, 100_000
 #: Pairs of one shingle's texts that a task makes at a time, about.
 PAIRS = 1 << 19
+#: Edges that a task reduces to stars, about.
+STAR_EDGES = 1 << 18
 #: Estimated costs of a probe row and of a verified pair, in seconds.
 PROBE_S, VERIFY_S = 1e-5, 3e-9
 #: Rows of the probe table that a task takes, about.
@@ -284,16 +286,44 @@ def links(prints: DataFrame, bits: int) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the edges (a, b) that a task has, the forest of what they connect: (node, smallest node) without the smallest ones."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (x.to_numpy() for x in pa.Table.from_batches(held).columns)
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    up = list(range(len(nodes)))
+    for p, q in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist()):
+        while up[p] != p:
+            up[p] = p = up[up[p]]
+        while up[q] != q:
+            up[q] = q = up[up[q]]
+        if p != q:
+            up[max(p, q)] = min(p, q)
+    root = np.array(up, dtype=np.int64)
+    while (root[root] != root).any():
+        root = root[root]
+    some = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]])], ["a", "b"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the component's smallest node.
 
-    Alternating large-star and small-star rounds, each written to the shared
-    folder. Minima are aggregated before the shuffle and joined back, so a
-    hub's neighbours never meet in one group.
+    In each round tasks reduce ``STAR_EDGES`` edges each to a forest of stars;
+    edges that one task holds are settled with that. Else a large-star and a
+    small-star step follow, until nothing changes. Rounds are written to the
+    shared folder. Minima are aggregated before the shuffle and joined back,
+    so a hub's neighbours never meet in one group.
     """
-    now = cut(edges.select("a", "b").where("a <> b").distinct())
+    now = cut(edges.select("a", "b").where("a <> b"))
     before = None
     for _ in range(most_rounds):
+        parts = now.count() // STAR_EDGES + 1
+        now = cut(now.repartition(parts).mapInArrow(stars, "a long, b long"))
+        if parts == 1:
+            break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

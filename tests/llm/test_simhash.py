@@ -190,3 +190,17 @@ def test_parities_never_differ_in_more_than_the_sets():
         b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, rng.integers(0, 300)).astype(np.uint64))))
         assert simhash.apart(simhash.parity(a), simhash.parity(b)) <= len(np.setxor1d(a, b))
     assert simhash.apart(simhash.parity(a), simhash.parity(a)) == 0
+
+
+@pytest.mark.parametrize("most", [1 << 18, 40])
+def test_components_do_not_depend_on_the_tasks(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "STAR_EDGES", most)
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2150)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges * 2, "a long, b long")).collect()}
+    of = classes(2200, [e for e in edges if e[0] != e[1]])
+    touched = {x for e in edges if e[0] != e[1] for x in e}
+    least = {}
+    for x in sorted(touched):
+        least.setdefault(of[x], x)
+    assert got == {x: least[of[x]] for x in touched}
