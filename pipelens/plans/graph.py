@@ -15,7 +15,7 @@ from pipelens.plans.lineage import cut
 MOST_ROUNDS = 10_000
 #: Different input patterns of all tasks, at most.
 MOST_PATTERNS = 10_000
-#: Edges up to which one task solves what would take a round for every level; the caller's data are counted first.
+#: Edges that one task may take to end a search for cycles; they are counted first.
 SMALL_GRAPH = 100_000
 
 
@@ -173,15 +173,34 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 def cycle_members(edges: DataFrame, most_rounds: int = MOST_ROUNDS, small: int = SMALL_GRAPH) -> DataFrame:
     """(node, component): nodes in strongly connected components of two or more; component is the smallest member.
 
-    Graphs of up to ``small`` edges, which are counted first, go to one task;
-    larger ones lose sources and sinks round by round and then give up the
-    component of each smallest reachable name by closures both ways.
+    Each round takes off nodes without edges both ways, until none is left to
+    take off, and then, of every weakly connected part, the component of its
+    smallest node by closures both ways. As soon as what is left has ``small``
+    edges or fewer, which is counted, one task ends it by depth-first search.
     """
-    clean = edges.select("src", "dst").where("src <> dst").distinct()
-    if clean.limit(small + 1).count() <= small:
-        kind = clean.schema["src"].dataType.simpleString()
-        return clean.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_strong, f"node {kind}, component {kind}")
-    return _strong_distributed(cut(clean), most_rounds)
+    left = edges.select("src", "dst").where("src <> dst").distinct()
+    kind = left.schema["src"].dataType.simpleString()
+    found: DataFrame | None = None
+    for _ in range(most_rounds):
+        if left.limit(small + 1).count() <= small:
+            rest = left.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_strong, f"node {kind}, component {kind}")
+            return rest if found is None else found.union(rest)
+        left = cut(left)
+        n = left.count()
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        if left.count() < n:
+            continue
+        # of every weakly connected part, the smallest node and what it reaches both ways
+        owner = components(left)
+        seeds = owner.select("root").distinct()
+        ahead, behind = closure(left, seeds), closure(left, seeds, downstream=False)
+        both = ahead.select("node").join(behind.select("node"), "node").join(owner, "node")
+        least = both.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n"))
+        ranked = cut(both.join(least, "root").select("node", "component", "n"))
+        more = ranked.where("n > 1").select("node", "component")
+        found = more if found is None else found.union(more)
+        left = left.join(ranked.select(F.col("node").alias("src")), "src", "left_anti").join(ranked.select(F.col("node").alias("dst")), "dst", "left_anti")
+    raise RuntimeError(f"cycles did not settle in {most_rounds} rounds")
 
 
 def _strong(pdf):
@@ -224,30 +243,6 @@ def _strong(pdf):
     return pd.DataFrame(rows, columns=["node", "component"])
 
 
-def _strong_distributed(left: DataFrame, most_rounds: int) -> DataFrame:
-    found = None
-    for _ in range(most_rounds):
-        # only nodes with edges both ways can be in a cycle
-        while True:
-            n = left.count()
-            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-            if left.count() == n:
-                break
-        if left.isEmpty():
-            break
-        # of every weakly connected part, the smallest node and what it reaches both ways
-        seeds = components(left).select("root").distinct()
-        owner = components(left)
-        ahead, behind = closure(left, seeds), closure(left, seeds, downstream=False)
-        both = ahead.select("node").join(behind.select("node"), "node").join(owner, "node")
-        ranked = cut(both.select("node", F.min("node").over(Window.partitionBy("root")).alias("component"), F.count("*").over(Window.partitionBy("root")).alias("n")))
-        more = ranked.where("n > 1").select("node", "component")
-        found = more if found is None else found.union(more)
-        left = cut(left.join(ranked.select(F.col("node").alias("src")), "src", "left_anti").join(ranked.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    kind = left.schema["src"].dataType.simpleString()
-    return found if found is not None else left.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
-
-
 def affected(tasks: DataFrame, edges: DataFrame, direct: DataFrame) -> DataFrame:
     """(node, depth, kind) of tasks that a change reaches: direct ones, and downstream what depends on them."""
     reached = closure(edges, direct)
@@ -287,40 +282,31 @@ def label_propagation(nodes: DataFrame, weights: DataFrame, most_rounds: int = 1
 
     Nodes take their turns in byte order and see the labels of the same round;
     a node takes the heaviest label around it, of equals the smallest, if that
-    has weight. Connected components do not influence each other, so each is
-    one group; nodes without a neighbour keep their seed.
+    has weight. So a round's labels are the one solution in which every node
+    goes by the new labels of smaller and the old ones of greater neighbours.
+    It is found by joins that start from the old labels and end when nothing
+    changes: as many as a change is handed on within a round, and no component
+    has to fit in one task.
     """
-    import pandas as pd
-
-    linked = weights.where("u <> v OR w > 0")
-    roots = components(linked.select(F.col("u").alias("src"), F.col("v").alias("dst")))
-    rows = (
-        linked.groupBy("u", "v").agg(F.sum("w").alias("w"))
-        .join(nodes.select(F.col("node").alias("u"), F.col("seed").alias("seed_u")), "u")
-        .join(nodes.select(F.col("node").alias("v"), F.col("seed").alias("seed_v")), "v")
-        .join(roots.select(F.col("node").alias("u"), "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
-    )
-
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = dict(zip(pdf["u"], pdf["seed_u"])) | dict(zip(pdf["v"], pdf["seed_v"]))
-        around = {u: list(zip(g["v"], g["w"])) for u, g in pdf.groupby("u")}
-        for _ in range(most_rounds):
-            moved = False
-            for node in sorted(label, key=lambda s: s.encode()):
-                votes: dict = {}
-                for v, w in around.get(node, ()):
-                    votes[label[v]] = votes.get(label[v], 0.0) + w
-                if not votes:
-                    continue
-                best = min(votes, key=lambda x: (-votes[x], x.encode()))
-                if votes[best] > 0 and best != label[node]:
-                    label[node], moved = best, True
-            if not moved:
+    known = nodes.select(F.col("node").alias("v"))
+    near = weights.join(known, "v", "left_semi").join(known.toDF("u"), "u", "left_semi")
+    near = cut(near.groupBy("u", "v").agg(F.sum("w").alias("w")))
+    now = cut(nodes.select("node", F.col("seed").alias("old"), F.col("seed").alias("new")))
+    for _ in range(most_rounds):
+        while True:
+            seen = near.join(now.toDF("v", "old", "new"), "v").select(F.col("u").alias("node"), F.when(F.col("v") < F.col("u"), F.col("new")).otherwise(F.col("old")).alias("vote"), "w")
+            votes = seen.groupBy("node", "vote").agg(F.sum("w").alias("w")).where("w > 0")
+            best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "vote"))["vote"].alias("vote"))
+            step = cut(now.join(best, "node", "left").select("node", "old", F.coalesce("vote", "old").alias("next"), "new"))
+            settled = step.where("next <> new").isEmpty()
+            now = step.select("node", "old", F.col("next").alias("new"))
+            if settled:
                 break
-        return pd.DataFrame({"node": list(label), "label": list(label.values())})
-
-    moved = rows.groupBy("root").applyInPandas(spread, "node string, label string")
-    return nodes.join(moved, "node", "left").select("node", F.coalesce("label", "seed").alias("label"))
+        moved = not now.where("old <> new").isEmpty()
+        now = now.select("node", F.col("new").alias("old"), "new")
+        if not moved:
+            break
+    return now.select("node", F.col("new").alias("label"))
 
 
 def label_propagation_sync(nodes: DataFrame, weights: DataFrame, most_rounds: int = 10) -> DataFrame:
