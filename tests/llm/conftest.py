@@ -1,0 +1,7 @@
+"""The one test that is known to fail (see the README) runs last, so that ``-x`` does not keep the others from running."""
+
+KNOWN = "tests/llm/test_pipeline.py::test_stages"
+
+
+def pytest_collection_modifyitems(items):
+    items.sort(key=lambda item: item.nodeid == KNOWN)
