@@ -37,6 +37,8 @@ BLOCK = 1 << 15
 MOST_LINKS = 1 << 17
 #: Pairs of one text that are compared in one place, about.
 HUB = 256
+#: Rows from which on a group is broadcast instead of meeting in one task, and how many such groups at most.
+MANY, MOST_BUSY = 256, 200_000
 #: Buckets of text digests: what is known of a bucket is broadcast, so that most texts need not move.
 BUCKETS = 1 << 20
 #: Texts whose shingles tell which are common, about; how many of those texts a common one is in, at least; most common shingles.
@@ -440,18 +442,28 @@ def apart(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
-def possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sizes and parities allow that similarity; none that has it is left out."""
-    x, y = (texts.select(F.col("key").alias(c), F.col("size").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in ("a", "b"))
+def possible(cells: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs of ``cells`` (hub, key, cell) whose sizes and parities allow that similarity; none that has it is left out."""
+    own = lambda name, n, p: texts.select(F.col("key").alias(name), F.col("size").alias(n), F.col("parity").alias(p))
+    hubs = cells.select("hub", "cell").distinct().join(own("hub", "n_hub", "p_hub"), "hub")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "p_a", "p_b"))):
+            for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in ("n_hub", "n", "p_hub", "p"))):
                 ok.append(apart(p, q) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["hub", "key", "cell"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").mapInArrow(look, "a long, b long")
+    return cells.join(hubs, ["hub", "cell"]).join(own("key", "n", "p"), "key").mapInArrow(look, "hub long, key long, cell long")
+
+
+def with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` joined by root with ``groups`` (root, n and more), n the rows of each; groups of many rows, of which there are few, are broadcast."""
+    busy = groups.where(F.col("n") > MANY)
+    if busy.limit(MOST_BUSY + 1).count() > MOST_BUSY:
+        return rows.join(groups, "root")
+    rest = rows.join(F.broadcast(busy.select("root")), "root", "left_anti").join(groups.where(F.col("n") <= MANY), "root")
+    return rest.unionByName(rows.join(F.broadcast(busy), "root"))
 
 
 def _bucket():
@@ -463,27 +475,34 @@ def _buckets(texts: DataFrame) -> DataFrame:
     return F.broadcast(texts.select(_bucket()).distinct())
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, rows: DataFrame, k: int, similarity: float, tree: bool = False) -> DataFrame:
-    """Those of ``pairs`` (a, b), without repeats, whose texts have that Jaccard similarity, as (a, b).
+def in_cells(pairs: DataFrame) -> DataFrame:
+    """(hub, key, cell) of ``pairs`` (a, b) without repeats: the text with more pairs is the hub, and every ``HUB`` of its pairs, about, make a cell.
 
-    ``texts`` (key, md, id) names the row of ``rows`` (md, id, text) that has
-    a text. Pairs meet in the cell of the text with more pairs, of which every
-    ``HUB`` pairs make one cell more; of a cell that text is read first and the
-    others stream past it. With ``tree`` all texts of a cell are compared with
-    each other and links that span what they connect come back.
+    Only texts with more pairs than that are looked up, which are few.
     """
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
-    degree = cut(ends.groupBy("key").agg(F.count("*").alias("n")))
-    named = texts.join(degree, "key").select("key", "md", "id")
+    busy = cut(ends.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HUB))
+    n_a, n_b = F.coalesce("n_a", F.lit(1)), F.coalesce("n_b", F.lit(1))
+    found = pairs.join(busy.toDF("a", "n_a"), "a", "left").join(busy.toDF("b", "n_b"), "b", "left")
+    turned = F.when(n_a >= n_b, F.struct(F.col("a").alias("hub"), F.col("b").alias("key"), n_a.alias("n"))).otherwise(F.struct(F.col("b").alias("hub"), F.col("a").alias("key"), n_b.alias("n")))
+    return found.select(turned.alias("t")).select("t.hub", "t.key", F.pmod(F.xxhash64("t.key"), F.ceil(F.col("t.n") / HUB)).alias("cell"))
+
+
+def confirmed(cells: DataFrame, texts: DataFrame, rows: DataFrame, k: int, similarity: float, tree: bool = False) -> DataFrame:
+    """Those pairs of ``cells`` (hub, key, cell) whose texts have that Jaccard similarity, as (a, b).
+
+    ``texts`` (key, md, id) names the row of ``rows`` (md, id, text) that has
+    a text. Of a cell the hub is read first and the others stream past it. With
+    ``tree`` all texts of a cell are compared with each other and links that
+    span what they connect come back.
+    """
+    firsts = cells.select("hub", "cell").distinct().select("hub", F.col("hub").alias("key"), "cell", F.lit(0).alias("side"))
+    members = firsts.union(cells.select("hub", "key", "cell", F.lit(1).alias("side")))
+    named = texts.join(members.select("key").distinct(), "key", "left_semi").select("key", "md", "id")
     # a row of ``rows`` may be repeated; keys, join and reduction share one partitioning
     near = rows.withColumn("bucket", _bucket()).join(_buckets(named), "bucket", "left_semi")
     found = near.join(named, ["md", "id"]).dropDuplicates(["md", "id"]).select("key", "text")
-    hub = pairs.join(degree.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
-    more = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    turned = hub.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("key"), F.greatest("n_a", "n_b").alias("n"))
-    dealt = turned.select("hub", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / HUB)).alias("cell"))
-    firsts = dealt.select("hub", "cell").distinct().select("hub", F.col("hub").alias("key"), "cell", F.lit(0).alias("side"))
-    met = firsts.union(dealt.select("hub", "key", "cell", F.lit(1).alias("side"))).join(found, "key")
+    met = members.join(found, "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, keys, sets = None, [], []
@@ -701,21 +720,25 @@ def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int =
     same = texts.select("fp", "key").join(prints, "fp").where("key <> one").select("one", "key")
     near = cut(near.union(same).toDF("a", "b"))
     groups = components(near)
-    middle = groups.join(texts.select(F.col("key").alias("node"), "rare"), "node").groupBy("root").agg(F.min(F.struct("rare", "node")).alias("m")).select("root", F.col("m.node").alias("middle"))
-    spokes = groups.join(middle, "root").where("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
-    proposed = cut(possible(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(spokes).distinct(), texts, similarity))
+    groups = cut(groups)
+    middle = groups.join(texts.select(F.col("key").alias("node"), "rare"), "node").groupBy("root").agg(F.min(F.struct("rare", "node")).alias("m"), F.count("*").alias("n")).select("root", F.col("m.node").alias("middle"), "n")
+    spokes = with_group(groups, cut(middle)).where("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
+    proposed = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(spokes).distinct()
+    proposed = cut(possible(in_cells(cut(proposed)), texts, similarity))
     roots = components(confirmed(proposed, texts, rows, verify, similarity, tree=True))
     classes = cut(texts.select("key", "least", "size", "prefix").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", "size", "prefix", F.coalesce("root", "key").alias("root")))
-    missed = confirmed(cut(possible(missed_pairs(classes, similarity), texts, similarity)), texts, rows, verify, similarity)
+    missed = confirmed(cut(possible(in_cells(cut(missed_pairs(classes, similarity))), texts, similarity)), texts, rows, verify, similarity)
     of = classes.select("key", "root")
     across = missed.join(of.toDF("a", "r_a"), "a").join(of.toDF("b", "r_b"), "b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
     more = components(across).withColumnsRenamed({"root": "top"})
     final = classes.select("key", "least", "root").join(more, F.col("root") == F.col("node"), "left").select("key", "least", F.coalesce("top", "root").alias("root"))
     final = cut(final)
-    kept = final.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "key")).alias("k"), F.count("*").alias("n")).select(F.col("k.key").alias("key"), "root", "n")
+    kept = final.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "key")).alias("k")).select(F.col("k.key").alias("key"))
     stay = texts.join(kept, "key", "left_semi").select("md", "id")
     # only rows in a bucket with a text that has copies, exact or near, have to meet others; all else stays where it is
-    grouped = final.join(kept.where("n > 1"), "root", "left_semi").select("key").union(texts.where("copies > 1").select("key")).distinct()
+    # a group's root is one of its texts
+    others = final.where("key <> root")
+    grouped = others.select("key").union(others.select("root")).union(texts.where("copies > 1").select("key")).distinct()
     some = cut(texts.join(grouped, "key", "left_semi").select(_bucket()).distinct())
     whole = docs.select(md, name(F.col(id_col)), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("bucket", _bucket())
     met = whole.join(F.broadcast(some), "bucket", "left_semi").join(stay, ["md", "id"], "left_semi").dropDuplicates(["md", "id"])
