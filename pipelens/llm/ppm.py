@@ -32,6 +32,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -171,6 +172,23 @@ def distinct(joined: list[bytes], order: int) -> tuple[np.ndarray, list[tuple[np
     return grams[in_order], out
 
 
+def vocabulary(joined: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of texts, ascending; of every word which of these it is, and the text it is of."""
+    there = np.flatnonzero(np.fromiter(map(len, joined), dtype=np.int64, count=len(joined)))
+    flat = np.frombuffer(b" ".join(joined[i] for i in there.tolist()), dtype=np.uint8)
+    if not len(flat):
+        return [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    gaps = np.flatnonzero(flat == 32)
+    edges = np.concatenate(([0], gaps - np.arange(len(gaps)), [len(flat) - len(gaps)]))
+    words = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(flat[flat != 32])])
+    coded = words.dictionary_encode()
+    in_order = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
+    rank = np.empty(len(in_order), dtype=np.int64)
+    rank[in_order] = np.arange(len(in_order))
+    n = np.fromiter((joined[i].count(b" ") + 1 for i in there.tolist()), dtype=np.int64, count=len(there))
+    return coded.dictionary.take(pa.array(in_order)).to_pylist(), rank[coded.indices.to_numpy()], np.repeat(there, n)
+
+
 def _ask(order: int, parts: int):
     """Of every chunk, for every part: its words and n-grams, and how often training documents have each; as part -1 its symbol triples."""
 
@@ -187,11 +205,8 @@ def _ask(order: int, parts: int):
                 triples, at = np.unique(grams & ((1 << 3 * BITS) - 1), return_inverse=True)
                 total = np.bincount(at, weights=n, minlength=len(triples))
                 rows = [(-1, _packed(triples[total > 0], total[total > 0], [], np.zeros(0)))]
-                seen, known = set(), Counter()
-                for yes, text in zip(train, joined):
-                    (known if yes else seen).update(text.split(b" ") if text else ())
-                words = sorted(seen | known.keys())
-                counts = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+                words, code, of = vocabulary(joined)
+                counts = np.bincount(code, weights=learns[of], minlength=len(words)).astype(np.int64)
                 in_g, g, in_w, w = _by_part(grams, words, order, parts)
                 for p in range(parts):
                     own = in_w[w[p] : w[p + 1]].tolist()
@@ -368,8 +383,7 @@ def _score(order: int, parts: int):
         for blob in asked.column("blob").to_pylist():
             ids, train, joined = _unpack(blob)
             grams, held = distinct(joined, order)
-            each = [text.split(b" ") if text else [] for text in joined]
-            names = sorted(set().union(*each))
+            names, code, word_of = vocabulary(joined)
             in_g, _, in_w, _ = _by_part(grams, names, order, parts)
             # answers come in the order of the parts, as the questions went
             cost, count = np.zeros(len(grams)), np.zeros(len(names), dtype=np.int64)
@@ -379,20 +393,17 @@ def _score(order: int, parts: int):
                 cost[in_g[x : x + len(c)]] = c
                 count[in_w[y : y + len(k)]] = k
                 x, y = x + len(c), y + len(k)
-            count_of = dict(zip(names, count.tolist()))
             total = np.zeros(len(joined))
             for at, of in held:
                 total += np.bincount(of, weights=cost[at], minlength=len(joined))
-            n_part = 0
-            for words, learns in zip(each, train):
-                c = np.fromiter(map(count_of.__getitem__, words), dtype=np.int64, count=len(words))
-                columns[2].append(len(words))
-                columns[3].append(int((c > 0).sum()))
-                columns[4].append(float(np.log10(c + 1.0).sum()))
-                n_part += len(words) if learns else 0
+            n_words = np.bincount(word_of, minlength=len(joined))
             columns[0].extend(ids)
             columns[1].extend(not x for x in train)
+            columns[2].extend(n_words.tolist())
+            columns[3].extend(np.bincount(word_of, weights=count[code] > 0, minlength=len(joined)).astype(np.int64).tolist())
+            columns[4].extend(np.bincount(word_of, weights=np.log10(count + 1.0)[code], minlength=len(joined)).tolist())
             columns[5].extend(total.tolist())
+            n_part = int(n_words[np.asarray(train, dtype=bool)].sum())
             columns[6].extend([n_part] + [0] * (len(ids) - 1))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], [x.split(" ")[0] for x in RESULT.split(", ")])
