@@ -376,37 +376,47 @@ def _told(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, n_part long"
 
 
+def _scored(blob: bytes, told: list[bytes], order: int, parts: int) -> pa.RecordBatch:
+    """The documents of a chunk with their counts and scores, from its texts and the answers in the order of the parts."""
+    ids, train, joined = _unpack(blob)
+    grams, held = distinct(joined, order)
+    names, code, word_of = vocabulary(joined)
+    in_g, _, in_w, _ = _by_part(grams, names, order, parts)
+    # answers come as the questions went
+    cost, count = np.zeros(len(grams)), np.zeros(len(names), dtype=np.int64)
+    x = y = 0
+    for answer in told:
+        c, k = _told(answer)
+        cost[in_g[x : x + len(c)]] = c
+        count[in_w[y : y + len(k)]] = k
+        x, y = x + len(c), y + len(k)
+    total = np.zeros(len(joined))
+    for at, of in held:
+        total += np.bincount(of, weights=cost[at], minlength=len(joined))
+    n_words = np.bincount(word_of, minlength=len(joined))
+    known = np.bincount(word_of, weights=count[code] > 0, minlength=len(joined)).astype(np.int64)
+    known_log = np.bincount(word_of, weights=np.log10(count + 1.0)[code], minlength=len(joined)).astype(np.float64)
+    n_part = np.zeros(len(joined), dtype=np.int64)
+    n_part[0] = n_words[np.asarray(train, dtype=bool)].sum()
+    columns = [pa.array(ids, pa.int64()), pa.array([not x for x in train]), *map(pa.array, (n_words.astype(np.int64), known, known_log, total, n_part))]
+    return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in RESULT.split(", ")])
+
+
 def _score(order: int, parts: int):
-    def score(asked: pa.Table, answers: pa.Table) -> pa.Table:
-        columns: list[list] = [[] for _ in range(7)]
-        told = sorted(zip(answers.column("part").to_pylist(), answers.column("answer").to_pylist()))
-        for blob in asked.column("blob").to_pylist():
-            ids, train, joined = _unpack(blob)
-            grams, held = distinct(joined, order)
-            names, code, word_of = vocabulary(joined)
-            in_g, _, in_w, _ = _by_part(grams, names, order, parts)
-            # answers come in the order of the parts, as the questions went
-            cost, count = np.zeros(len(grams)), np.zeros(len(names), dtype=np.int64)
-            x = y = 0
-            for _, blob in told:
-                c, k = _told(blob)
-                cost[in_g[x : x + len(c)]] = c
-                count[in_w[y : y + len(k)]] = k
-                x, y = x + len(c), y + len(k)
-            total = np.zeros(len(joined))
-            for at, of in held:
-                total += np.bincount(of, weights=cost[at], minlength=len(joined))
-            n_words = np.bincount(word_of, minlength=len(joined))
-            columns[0].extend(ids)
-            columns[1].extend(not x for x in train)
-            columns[2].extend(n_words.tolist())
-            columns[3].extend(np.bincount(word_of, weights=count[code] > 0, minlength=len(joined)).astype(np.int64).tolist())
-            columns[4].extend(np.bincount(word_of, weights=np.log10(count + 1.0)[code], minlength=len(joined)).tolist())
-            columns[5].extend(total.tolist())
-            n_part = int(n_words[np.asarray(train, dtype=bool)].sum())
-            columns[6].extend([n_part] + [0] * (len(ids) - 1))
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], [x.split(" ")[0] for x in RESULT.split(", ")])
+    """Rows (chunk, side, part, blob), sorted by the first three: of each chunk first its texts, then what it was told."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, told = None, b"", []
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                if chunk == now:
+                    told.append(blob)
+                    continue
+                if now is not None:
+                    yield _scored(texts, told, order, parts)
+                now, texts, told = chunk, blob, []
+        if now is not None:
+            yield _scored(texts, told, order, parts)
 
     return score
 
@@ -427,7 +437,7 @@ def score(docs: DataFrame, held_mod: int = 7, held_is: int = 2, order: int = ORD
     chosen = docs.select(F.col(id_col).alias("doc_id"), (crc_mod(id_col, held_mod) != held_is).alias("train"), F.col(text).alias("text"))
     spark = docs.sparkSession
     packed = cut(chosen.mapInArrow(_pack, "chunk long, blob binary, bytes long"))
-    chunks, size = packed.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    chunks, size, tasks = packed.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max(F.shiftright("chunk", 32)) + 1, F.lit(0))).first()
     parts = max(size // PART_BYTES, min(size // (1 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")))) + 1
     asks = cut(packed.select("chunk", "blob").mapInArrow(_ask(order, parts), "part int, chunk long, blob binary"))
     merged, groups = asks, chunks
@@ -443,9 +453,14 @@ def score(docs: DataFrame, held_mod: int = 7, held_is: int = 2, order: int = ORD
     tables = merged.where("part >= 0").select("part", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("chunk"), "blob")
     asked = asks.where("part >= 0").select("part", F.pmod(F.xxhash64("chunk"), F.lit(cells)).cast("int").alias("cell"), F.lit(1).alias("side"), "chunk", "blob")
     answers = tables.union(asked).repartition(parts * cells, "part", "cell").sortWithinPartitions("part", "cell", "side").mapInArrow(_answer(sent, order), "part int, chunk long, answer binary")
-    # about as many tasks as chunks, so that none has many of them
-    by_chunk = lambda df: df.repartition(2 * chunks + 1, "chunk").groupBy("chunk")
-    scored = cut(by_chunk(packed.select("chunk", "blob")).cogroup(by_chunk(answers)).applyInArrow(_score(order, parts), RESULT))
+    # chunks are numbered by task, so that, of tasks with equally many, each has a partition of its own
+    each = -(-chunks // max(1, tasks))
+    number = F.shiftright("chunk", 32) * each + F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1))
+    texts = packed.select("chunk", F.lit(0).alias("side"), F.lit(-1).alias("part"), "blob")
+    both = texts.union(answers.select("chunk", F.lit(1), "part", "answer"))
+    n_parts = max(1, tasks * each)
+    dealt = both.repartitionById(n_parts, F.pmod(number, F.lit(n_parts)).cast("int")).sortWithinPartitions("chunk", "side", "part")
+    scored = cut(dealt.mapInArrow(_score(order, parts), RESULT))
     different = merged.where("part >= 0").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     known = scored.agg(F.coalesce(F.sum("n_part"), F.lit(0)), F.count(F.when(~F.col("held_out"), 1))).first()
     # the end token: once in every training document
