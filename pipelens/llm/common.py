@@ -53,6 +53,7 @@ def fresh(name: str, taken: Iterable[str]) -> str:
 
 def trim() -> None:
     """Give memory that a worker has freed back to the system, where the C library can; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
@@ -71,6 +72,13 @@ def kept(name: str, make):
     return _KEPT[name]
 
 
+def forget() -> None:
+    """Drop what an operator before this one has kept in the worker process."""
+    if _KEPT:
+        _KEPT.clear()
+        trim()
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column as text, modulo n; a null counts as the empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")), F.lit(n))
@@ -87,7 +95,7 @@ def flat_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [w for words in each for w in words], np.fromiter(map(len, each), dtype=np.int64, count=len(each))
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces of about ``most`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:

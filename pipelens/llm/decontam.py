@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import cut, slices, texts_of
+from pipelens.llm.common import cut, forget, slices, texts_of
 
 K1, B = 1.2, 0.75
 #: Words of a shingle, and the share of an item's shingles that a document must have.
@@ -256,6 +256,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in slices(batches):
                 rows = [(i, *hit) for i, found in zip(batch.column(0).to_pylist(), sent.value.hits([words_of(t) for t in texts_of(batch)])) for hit in found]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
@@ -275,6 +276,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **items) -
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in slices(batches, column=text):
                 found = sent.value.hits([words_of(t) for t in texts_of(batch, text)])
                 yield batch.filter(pa.array([not x for x in found], pa.bool_()))

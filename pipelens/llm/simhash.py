@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import cut, slices, texts_of, trim
+from pipelens.llm.common import cut, forget, slices, texts_of, trim
 
 SEED = 42
 #: Fingerprints that the estimates are made from, at most.
@@ -85,6 +85,7 @@ def with_fingerprints(docs: DataFrame, name: str, shingle: int = 3, text: str =
     schema = docs.select("*", F.lit(0).cast("long").alias(name)).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, column=text):
             found = np.array([fingerprint(t, shingle) for t in texts_of(batch, text)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
@@ -698,6 +699,7 @@ def deduplicate(docs: DataFrame, bits: int = 9, shingle: int = 0, verify: int =
     rows = docs.select(md, name(F.col(id_col)), F.col(text).alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             held = texts_of(batch)
             prints = np.array([fingerprint(t, shingle) for t in held], dtype=np.uint64).view(np.int64)

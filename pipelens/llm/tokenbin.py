@@ -353,7 +353,7 @@ def _writer(tokenizer: str, folder: str, end: int | None, keep_words: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, now, first, follows = TaskContext.get().partitionId(), 0, None, None, None
         cache, done = kept(f"words {tokenizer} {keep_words}", lambda: WordCache(tokenizer, keep_words)), []
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             places = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))) if batch.num_columns > 2 else repeat(None)
             for doc_id, place, ids in zip(batch.column(0).to_pylist(), places, cache.encode(texts_of(batch), end)):
                 if now is not None and (now.total >= FILE_IDS or place != follows):
