@@ -95,6 +95,26 @@ def flat_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [w for words in each for w in words], np.fromiter(map(len, each), dtype=np.int64, count=len(each))
 
 
+def vocabulary(joined: list[bytes], ascending: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of texts whose words are one space apart, ascending or as they come; of every word which of these it is, and the text it is of."""
+    there = np.flatnonzero(np.fromiter(map(len, joined), dtype=np.int64, count=len(joined)))
+    flat = np.frombuffer(b" ".join(joined[i] for i in there.tolist()), dtype=np.uint8)
+    if not len(flat):
+        return [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    gaps = np.flatnonzero(flat == 32)
+    edges = np.concatenate(([0], gaps - np.arange(len(gaps)), [len(flat) - len(gaps)]))
+    words = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(flat[flat != 32])])
+    coded = words.dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy()
+    if ascending:
+        in_order = pc.sort_indices(names).to_numpy().astype(np.int64)
+        rank = np.empty(len(in_order), dtype=np.int64)
+        rank[in_order] = np.arange(len(in_order))
+        names, code = names.take(pa.array(in_order)), rank[code]
+    n = np.fromiter((joined[i].count(b" ") + 1 for i in there.tolist()), dtype=np.int64, count=len(there))
+    return names.to_pylist(), code, np.repeat(there, n)
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces of about ``most`` bytes of text, one row at least."""
     for batch in batches:

@@ -32,13 +32,12 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import crc_mod, cut, slices
+from pipelens.llm.common import crc_mod, cut, slices, vocabulary
 
 #: Symbols before the coded one that the longest contexts have.
 ORDER = 5
@@ -172,23 +171,6 @@ def distinct(joined: list[bytes], order: int) -> tuple[np.ndarray, list[tuple[np
     return grams[in_order], out
 
 
-def vocabulary(joined: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The different words of texts, ascending; of every word which of these it is, and the text it is of."""
-    there = np.flatnonzero(np.fromiter(map(len, joined), dtype=np.int64, count=len(joined)))
-    flat = np.frombuffer(b" ".join(joined[i] for i in there.tolist()), dtype=np.uint8)
-    if not len(flat):
-        return [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    gaps = np.flatnonzero(flat == 32)
-    edges = np.concatenate(([0], gaps - np.arange(len(gaps)), [len(flat) - len(gaps)]))
-    words = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(flat[flat != 32])])
-    coded = words.dictionary_encode()
-    in_order = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
-    rank = np.empty(len(in_order), dtype=np.int64)
-    rank[in_order] = np.arange(len(in_order))
-    n = np.fromiter((joined[i].count(b" ") + 1 for i in there.tolist()), dtype=np.int64, count=len(there))
-    return coded.dictionary.take(pa.array(in_order)).to_pylist(), rank[coded.indices.to_numpy()], np.repeat(there, n)
-
-
 def _ask(order: int, parts: int):
     """Of every chunk, for every part: its words and n-grams, and how often training documents have each; as part -1 its symbol triples."""
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelens.llm.common import kept, shared_path, slices, texts_of
+from pipelens.llm.common import kept, shared_path, slices, texts_of, vocabulary
 
 MAGIC = b"PFORIDS1"
 BLOCK = 256
@@ -45,6 +45,8 @@ END_ID = 1
 FILE_IDS = 32 << 20
 #: Ids that the encoder works on at a time.
 BATCH_IDS = 1 << 18
+#: Bytes of text whose different words are looked up together, about.
+SLICE = 8 << 20
 #: Words whose ids a worker keeps; beyond that the last third goes, as frequent words come early.
 KEPT_WORDS = 1_000_000
 #: What parts words that are encoded together: a character of a token of its own, which words seldom have.
@@ -334,16 +336,18 @@ class WordCache:
             while len(self.of) > stay:
                 self.of.popitem()  # the latest
             self.used = int(self.start[stay])
-        each = [(t.lower() if self.lowers and b"<" not in t else t).split() for t in texts]
-        words = [w for x in each for w in x]
-        at = np.fromiter(map(self.of.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        lacking = np.flatnonzero(at < 0).tolist()
+        # the cache is asked for different words only
+        joined = [b" ".join((t.lower() if self.lowers and b"<" not in t else t).split()) for t in texts]
+        words, code, of = vocabulary(joined, ascending=False)
+        place = np.fromiter(map(self.of.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        lacking = np.flatnonzero(place < 0).tolist()
         if lacking:
             new = list(map(words.__getitem__, lacking))
-            self._learn(list(dict.fromkeys(new)))
-            at[lacking] = np.fromiter(map(self.of.__getitem__, new), dtype=np.int64, count=len(new))
+            self._learn(new)
+            place[lacking] = np.fromiter(map(self.of.__getitem__, new), dtype=np.int64, count=len(new))
+        at = place[code]
         size, ids = self.size[at], self._gather(at)
-        n_words = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        n_words = np.bincount(of, minlength=len(texts))
         cuts = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n_words)))]
         tail = np.array([] if end is None else [end], dtype=np.uint32)
         return [np.concatenate((ids[a:b], tail)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
@@ -353,7 +357,7 @@ def _writer(tokenizer: str, folder: str, end: int | None, keep_words: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, now, first, follows = TaskContext.get().partitionId(), 0, None, None, None
         cache, done = kept(f"words {tokenizer} {keep_words}", lambda: WordCache(tokenizer, keep_words)), []
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, SLICE):
             places = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))) if batch.num_columns > 2 else repeat(None)
             for doc_id, place, ids in zip(batch.column(0).to_pylist(), places, cache.encode(texts_of(batch), end)):
                 if now is not None and (now.total >= FILE_IDS or place != follows):
