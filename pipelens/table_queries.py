@@ -467,3 +467,15 @@ def valid_beacons(spark, sf_dir):
     signed = F.when(F.col("user_id") % 3 == 0, hashing.hmac_sha256(b"other")(message)).otherwise(F.upper(hashing.hmac_sha256(b"cluster")(message)))
     e = table(spark, sf_dir, "events").withColumn("protocol", F.when(F.col("event_type") == "click", "P/1").otherwise("P/2")).withColumn("signature", signed)
     return store.valid_beacons(e, "P/2", b"cluster", message).select("event_id")
+
+
+@query(
+    "name_suggestions_suppliers",
+    """WITH w AS (SELECT DISTINCT replace(n_name, 'I', '') AS wanted FROM nation UNION SELECT 'x' || s_name || 'y' FROM supplier), k AS (SELECT n_name AS suggestion FROM nation UNION SELECT s_name FROM supplier)
+SELECT wanted, suggestion FROM w JOIN k ON levenshtein(wanted, suggestion) <= 2 OR contains(lower(suggestion), lower(wanted)) OR contains(lower(wanted), lower(suggestion))""",
+)
+def name_suggestions_suppliers(spark, sf_dir):
+    """Misspelt names of nations and suppliers against the true ones; SQL looks at all pairs."""
+    n, s = table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "supplier").select("s_name")
+    wanted = n.select(F.replace("n_name", F.lit("I"), F.lit("")).alias("w")).union(s.select(F.concat(F.lit("x"), "s_name", F.lit("y"))))
+    return graph.suggestions(wanted, n.union(s))
