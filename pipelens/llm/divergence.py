@@ -81,59 +81,63 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // (p + q)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(rows: int, most: int):
     """Of postings (lang, term, source, p, zero), by lang and term: (lang, a, b, value), what shared terms add to the pair of a < b."""
-    forget()
-    held: list[pa.RecordBatch] = []
-    sums: dict[tuple[str, str, str], int] = {}
-
-    def add(table: pa.Table) -> None:
-        table = table.combine_chunks()
-        lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
-        langs, names = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
-        by_name = np.argsort(np.argsort(np.array([x.encode() for x in names], dtype=object)))
-        own, code = lang.indices.to_numpy().astype(np.int64), by_name[source.indices.to_numpy()].astype(np.int64)
-        in_order = sorted(names, key=lambda x: x.encode())
-        term = np.cumsum(np.concatenate(([0], _changes(table))))
-        p, zero = table.column("p").to_numpy(), table.column("zero").to_numpy()
-        i = np.arange(len(term))
-        step = 0
-        while True:  # rows a step apart in the same list, a step more each time
-            step += 1
-            i = i[i + step < len(term)]
-            i = i[term[i] == term[i + step]]
-            if not len(i):
-                return
-            j = i + step
-            a, b = np.where(code[i] < code[j], i, j), np.where(code[i] < code[j], j, i)
-            gain = _f(p[a], p[b]) - _f(p[a], zero[b]) - _f(zero[a], p[b]) + _f(zero[a], zero[b])
-            pair, at = np.unique((own[a] * len(names) + code[a]) * len(names) + code[b], return_inverse=True)
-            total = np.zeros(len(pair), dtype=np.int64)
-            np.add.at(total, at, gain)
-            for x, t in zip(pair.tolist(), total.tolist()):
-                key = (langs[x // len(names) ** 2], in_order[x // len(names) % len(names)], in_order[x % len(names)])
-                sums[key] = sums.get(key, 0) + t
-
-    def emit() -> pa.RecordBatch:
-        rows = [(*k, t) for k, t in sums.items()]
-        sums.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["lang", "a", "b", "value"])
-
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= ROWS:
-            table = pa.Table.from_batches(held).combine_chunks()
-            ends = np.flatnonzero(_changes(table)) + 1
-            if len(ends):  # the last list may go on
-                add(table.slice(0, int(ends[-1])))
-                held = table.slice(int(ends[-1])).to_batches()
-            if len(sums) > SUMS:
-                yield emit()
-    if held:
-        add(pa.Table.from_batches(held))
-    if sums:
-        yield emit()
-    trim()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        held: list[pa.RecordBatch] = []
+        sums: dict[tuple[str, str, str], int] = {}
+
+        def add(table: pa.Table) -> None:
+            table = table.combine_chunks()
+            lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+            langs, names = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+            by_name = np.argsort(np.argsort(np.array([x.encode() for x in names], dtype=object)))
+            own, code = lang.indices.to_numpy().astype(np.int64), by_name[source.indices.to_numpy()].astype(np.int64)
+            in_order = sorted(names, key=lambda x: x.encode())
+            term = np.cumsum(np.concatenate(([0], _changes(table))))
+            p, zero = table.column("p").to_numpy(), table.column("zero").to_numpy()
+            i = np.arange(len(term))
+            step = 0
+            while True:  # rows a step apart in the same list, a step more each time
+                step += 1
+                i = i[i + step < len(term)]
+                i = i[term[i] == term[i + step]]
+                if not len(i):
+                    return
+                j = i + step
+                a, b = np.where(code[i] < code[j], i, j), np.where(code[i] < code[j], j, i)
+                gain = _f(p[a], p[b]) - _f(p[a], zero[b]) - _f(zero[a], p[b]) + _f(zero[a], zero[b])
+                pair, at = np.unique((own[a] * len(names) + code[a]) * len(names) + code[b], return_inverse=True)
+                total = np.zeros(len(pair), dtype=np.int64)
+                np.add.at(total, at, gain)
+                for x, t in zip(pair.tolist(), total.tolist()):
+                    key = (langs[x // len(names) ** 2], in_order[x // len(names) % len(names)], in_order[x % len(names)])
+                    sums[key] = sums.get(key, 0) + t
+
+        def emit() -> pa.RecordBatch:
+            found = [(*k, t) for k, t in sums.items()]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["lang", "a", "b", "value"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= rows:
+                table = pa.Table.from_batches(held).combine_chunks()
+                ends = np.flatnonzero(_changes(table)) + 1
+                if len(ends):  # the last list may go on
+                    add(table.slice(0, int(ends[-1])))
+                    held = table.slice(int(ends[-1])).to_batches()
+                if len(sums) > most:
+                    yield emit()
+        if held:
+            add(pa.Table.from_batches(held))
+        if sums:
+            yield emit()
+        trim()
+
+    return shared
 
 
 def _changes(table: pa.Table) -> np.ndarray:
@@ -146,7 +150,7 @@ def pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) of every two sources of a language, both ways round."""
     tasks = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = kept.select("lang", "term", "source", "p", "zero").repartition(tasks, "lang", "term").sortWithinPartitions("lang", "term")
-    both = postings.mapInArrow(_shared, "lang string, a string, b string, value long")
+    both = postings.mapInArrow(_shared(ROWS, SUMS), "lang string, a string, b string, value long")
     other = groups.select("lang", F.col("source").alias("item"), F.col("zero").alias("other_zero"))
     # neither has the term, for all kept terms; corrected where a source has it
     neither = groups.join(other, "lang").where("source <> item").select("lang", "source", "item", F.coalesce(F.col("v") * value(F.col("zero"), F.col("other_zero")), F.lit(0)).alias("value"))

@@ -220,8 +220,8 @@ def transform(docs: DataFrame, unit: Callable[[int, int], tuple[int, bool]] = co
     h, key, part, rest = (fresh(x, rows.columns) for x in ("h", "key", "part", "rest"))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"), 256)
     rows = rows.withColumn(text, F.coalesce(text, F.lit(""))).withColumn(h, F.array(*(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4))))
-    own = [c for c in rows.columns if c != h]
-    large = F.octet_length(text) > CHUNK
+    own, chunk = [c for c in rows.columns if c != h], CHUNK
+    large = F.octet_length(text) > chunk
     schema = rows.drop(h).schema.add("n", "long").add("form", "string").add("prefix_units", "long").add("middle_units", "long").add("output", "string")
 
     def numbers(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -246,9 +246,10 @@ def transform(docs: DataFrame, unit: Callable[[int, int], tuple[int, bool]] = co
 
     # texts of many chunks: the numbers of rows and chunks hold once the table is written
     data = F.col(text).cast("binary")
-    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(text) - 1) / CHUNK).cast("int")), lambda i: F.struct(i.alias("part"), F.substring(data, i * CHUNK + 1, F.lit(CHUNK)).alias("bytes")))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(text) - 1) / chunk).cast("int")), lambda i: F.struct(i.alias("part"), F.substring(data, i * chunk + 1, F.lit(chunk)).alias("bytes")))
     others = [c for c in own if c != text]
-    dealt = rows.where(large).select(F.monotonically_increasing_id().alias(key), F.struct(h, *others).alias(rest), F.explode(cuts).alias(part))
+    counted = rows.where(large).withColumn(key, F.monotonically_increasing_id())
+    dealt = counted.select(key, F.struct(h, *others).alias(rest), F.explode(cuts).alias(part))
     pieces = cut(dealt.select(F.col(key).alias("key"), F.col(f"{part}.part").alias("part"), F.col(f"{part}.bytes").alias("bytes"), F.when(F.col(f"{part}.part") == 0, F.col(rest)).alias("rest")))
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +287,7 @@ def transform(docs: DataFrame, unit: Callable[[int, int], tuple[int, bool]] = co
             get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
             scan = Scan(automaton, get("bytes").cast(pa.large_binary()).to_pylist())
             entry = scan.entered(get("entry").to_numpy())
-            place = scan.selected(entry, np.arange(batch.num_rows), get("left").to_numpy()) + get("part").to_numpy().astype(np.int64) * CHUNK
+            place = scan.selected(entry, np.arange(batch.num_rows), get("left").to_numpy()) + get("part").to_numpy().astype(np.int64) * chunk
             yield pa.RecordBatch.from_arrays([get(c) for c in ("key", "n", "form", "a", "b", "k")] + [pa.array(place)], ["key", "n", "form", "a", "b", "k", "place"])
 
     def assembled(group: pa.Table) -> pa.Table:
