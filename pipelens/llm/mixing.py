@@ -195,8 +195,8 @@ def _refilled(plan: Plan, rows: DataFrame) -> DataFrame:
         more = F.exists("picks", lambda x: (F.col("size") <= x["most"]) & (F.col("end") <= x["last"])) | F.coalesce(F.col("end") == F.col("only"), F.lit(False))
         return some.join(plan.small(marks), "group").withColumn("extra", F.greatest("extra", (more & F.col("free")).cast("long"))).drop("only", "picks")
 
-    # the extra copies are dealt in hash order, so they have running sums of their own
-    order = Window.partitionBy("group", "bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    # the extra copies are dealt in hash order, so they have running sums of their own; equal rows in the order of their first ones
+    order = Window.partitionBy("group", "bucket").orderBy(*ORDER, "end").rowsBetween(Window.unboundedPreceding, 0)
     sums = cut(plan.before(marked(held), F.col("size") * F.col("extra")))
     done = marked(rows).withColumn("run", F.sum(F.col("size") * F.col("extra")).over(order)).join(sums, ["group", "bucket"])
     return _finished(done.withColumn("run", F.col("run") + F.col("before")).drop("before"), plan)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pipelens.llm import ann, caps, chat, decontam, divergence, fim, mixing, ppm, secrets, simhash, tokenbin, toxicity, urlfilter
 from pipelens.llm.chat_sql import SQL as CHAT_SQL
 from pipelens.llm.common import crc_mod
+from pipelens.llm.mixing_sql import sql as mixing_sql
 from pipelens.llm.secrets_sql import SQL as SECRETS_SQL
 from pipelens.llm.simhash_sql import sql as simhash_sql
 
@@ -45,7 +46,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.assign(_read(spark, sf_dir, "documents"))
+    rows = mixing.assign(_read(spark, sf_dir, "documents"), refill=True)
     placed = rows.select("doc_id", "size", "source_size", "target", "taken", "copies", F.col("position").alias("first_position"), "positions", "progress")
     return placed.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
@@ -134,37 +135,7 @@ SELECT m.doc_id, m.item_id,
   overlap::DOUBLE AS overlap
 FROM m
 """,
-    "op6_mix": r"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
-o AS (SELECT *, 3 * source_size / weight AS ratio, (sum(source_size) OVER ())::DOUBLE AS total, sum(weight) OVER () AS all_weight,
-             coalesce(sum(3 * source_size) OVER b, 0) AS capped_before, coalesce(sum(weight) OVER b, 0) AS weight_before
-      FROM w WINDOW b AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT *, (total - capped_before) / (all_weight - weight_before) AS level FROM o),
-f AS (SELECT level AS final FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1),
-t AS (SELECT source, source_size, least(3 * source_size::DOUBLE, coalesce((SELECT final FROM f) * weight, 3 * source_size::DOUBLE)) AS target FROM l),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size))::BIGINT ELSE 0 END AS whole FROM t),
-e AS (SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-             sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS ends
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-x AS (SELECT *, (whole < 3 AND size > 0 AND ends <= rest)::BIGINT AS extra FROM e),
-g AS (SELECT *, rest - coalesce(max(CASE WHEN extra = 1 THEN ends END) OVER (PARTITION BY source), 0) AS gap FROM x),
-n AS (SELECT *, CASE WHEN extra = 0 AND whole < 3 AND size > 0 AND abs(size - gap) < gap
-                     THEN row_number() OVER (PARTITION BY source, extra = 0 AND whole < 3 AND size > 0 AND abs(size - gap) < gap ORDER BY abs(size - gap), k, ends) END AS near FROM g),
-c AS (SELECT *, whole + extra + CASE WHEN near = 1 THEN 1 ELSE 0 END AS copies FROM n),
-v AS (SELECT c.*, w.weight, CASE w.weight WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 1.0 ELSE 0.5 END AS a, CASE w.weight WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 1.0 ELSE 1.5 END AS b FROM c JOIN w ON c.source IS NOT DISTINCT FROM w.source),
-y AS (SELECT *, list_transform(list_transform(range(0, copies::BIGINT), lambda j: least(1.0::DOUBLE, greatest(0.0::DOUBLE, (j * source_size + ends - size::DOUBLE / 2) / target))),
-             lambda q: CASE WHEN b = a THEN q ELSE (sqrt(a * a + 2 * (b - a) * (q * (a + b) / 2)) - a) / (b - a) END) AS positions FROM v),
-z AS (SELECT coalesce(sum(target::DECIMAL(38, 6)) FILTER (weight = 1), 0)::DOUBLE AS t1, coalesce(sum(target::DECIMAL(38, 6)) FILTER (weight = 2), 0)::DOUBLE AS t2, coalesce(sum(target::DECIMAL(38, 6)) FILTER (weight = 3), 0)::DOUBLE AS t3
-      FROM t JOIN w ON t.source IS NOT DISTINCT FROM w.source),
-u AS (SELECT *, positions[1] AS p FROM y)
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies, p AS first_position, positions,
-  (t1 * ((1.5::DOUBLE * p + (-1.0::DOUBLE) * p * p / 2) / 1.0::DOUBLE) + t2 * ((1.0::DOUBLE * p + 0.0::DOUBLE * p * p / 2) / 1.0::DOUBLE) + t3 * ((0.5::DOUBLE * p + 1.0::DOUBLE * p * p / 2) / 1.0::DOUBLE)) / (t1 + t2 + t3) AS progress
-FROM u, z
-""",
+    "op6_mix": mixing_sql(),
     "op10_secrets": SECRETS_SQL,
     "op4_chat": CHAT_SQL,
     "op9_simhash": simhash_sql(shingle=3, bits=3),

@@ -220,12 +220,19 @@ def read_file(folder: str, name: str) -> Iterator[tuple[int | None, np.ndarray]]
 # ---------------------------------------------------------------- tokenizing
 
 
+def _plain(word: str) -> bool:
+    """Whether a word is letters, of scripts whose letters every Unicode version agrees on, and still is when lower-cased (a dotted capital I is not)."""
+    return word.isalpha() and max(word) < "\u0500" and word.lower().isalpha()
+
+
 class WordCache:
     """Token ids of texts by the tokenizers library, each different run between ASCII spaces encoded once.
 
     Exact for tokenizers whose pieces never hold white space and whose
-    normalizer works within such runs, as that of the word-level vocabulary;
-    the tests compare with whole texts.
+    normalizer works within such runs, as that of the word-level vocabulary.
+    Ids are put together from parts only where the parts are plain letters and
+    stops (``_plain``); the tests compare with whole texts of any characters,
+    in any order of learning.
     """
 
     def __init__(self, path: str, most: int | None = None):
@@ -251,14 +258,14 @@ class WordCache:
     def _learn(self, new: list[bytes]) -> None:
         """Encode new words, many at a time.
 
-        Letters alone are one piece of the tokenizer, letters before
-        punctuation two, and every piece has one token that ends it; so where
+        Plain letters alone are one piece of the tokenizer, before punctuation
+        two, and every piece has one token that ends it; so where
         a joined text has as many ends as that makes, the ends part its words.
         Other words have ``PART`` between. What does not part is encoded word
         by word.
         """
         words = [w.decode() for w in new]
-        kinds = [1 if w.isalpha() else 2 if w.rstrip(STOPS).isalpha() else 0 for w in words]
+        kinds = [1 if _plain(w) else 2 if _plain(w.rstrip(STOPS)) else 0 for w in words]
         for kind in (1, 2, 0):
             of_kind = [i for i, k in enumerate(kinds) if k == kind]
             if kind == 2:

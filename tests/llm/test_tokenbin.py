@@ -85,6 +85,36 @@ def test_forgetting_words_does_not_change_ids(monkeypatch):
             assert ids.tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+WORD = st.text(st.one_of(st.sampled_from("aZİıßςΣé'́̇ʼ漢अ్😀ﬁǅ𐵀0_-<|"), st.characters(exclude_categories=["Cs", "Z", "Cc"])), min_size=1, max_size=4)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(WORD, st.sampled_from(["", ".", ",", "!?", "...", ";:"])), min_size=1, max_size=12), st.randoms(use_true_random=False))
+def test_ids_do_not_depend_on_what_is_cached(words, rng):
+    """Stems and stops of any characters, learnt in any order and together with any others, give the ids of the whole text."""
+    cache, t = CACHE[0], CACHE[1]
+    if len(cache.of) > 2000:
+        CACHE[0] = cache = tokenbin.WordCache(PATH)
+    texts = [" ".join(w + stop for w, stop in words), " ".join(w for w, _ in words), " ".join((w + stop).swapcase() for w, stop in words)]
+    rng.shuffle(texts)
+    for x in texts:
+        if "<|" not in x:
+            (ids,) = cache.encode([x.encode()], None)
+            assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+CACHE = [tokenbin.WordCache(PATH), Tokenizer.from_file(PATH)]
+
+
+@pytest.mark.parametrize("known", [["ALİ"], ["ALİ,"], ["ali", "ALI", "geldi"], []])
+def test_dotted_capitals_before_stops(known):
+    cache, t = tokenbin.WordCache(PATH), Tokenizer.from_file(PATH)
+    for w in known:
+        cache.encode([w.encode()], None)
+    for x in ("ALİ, geldi", "İ. İ, İİ!", "ALİ geldi. ALİ, ALİ"):
+        assert cache.encode([x.encode()], None)[0].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_empty_table(spark):
     assert tokenbin.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 

@@ -1,6 +1,8 @@
 """URL filters and mixing against plain versions."""
 
 import hashlib
+
+import duckdb
 import re
 
 import pytest
@@ -147,13 +149,32 @@ def test_query_has_the_positions_of_all_copies(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op6_mix(spark, str(tmp_path)).collect()
     assert all(len(r.positions) == r.copies and r.positions == sorted(r.positions) for r in got)
-    want = sorted(r.t for r in mixing.mix(df, position="t", refill=False).collect())
+    want = sorted(r.t for r in mixing.mix(df, position="t").collect())
     assert sorted(t for r in got for t in r.positions) == pytest.approx(want)
     first = [r.first_position for r in got]
     taken = [t for t in first if t is not None]
     assert first == sorted(taken) + [None] * (len(first) - len(taken)) and taken
 
 
+def test_query_meets_the_targets_whatever_comes_first(spark, tmp_path):
+    """Three sources of 500 documents of 100 words, one of them with a document that is larger than all others together; the SQL says the same."""
+    for n, at in enumerate((0, 7, 250)):
+        rows = [(i, "abc"[i // 500], "w " * 100) for i in range(1500)] + [(9000 + at, "a", "w " * 50_000), (9999, "c", "odd size " * 9), (9999, "c", "odd size " * 9)]
+        path = f"{tmp_path}/{n}"
+        spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{path}/documents.parquet")
+        got = queries.op6_mix(spark, path).collect()
+        for s, size in (("a", 100_000), ("b", 50_000), ("c", 50_036)):
+            own = [r for r in got if r.source_size == size]
+            whole = min(3, int(own[0].target // size))
+            smallest = min((r.size for r in own if r.copies == whole), default=0)
+            assert abs(sum(r.taken for r in own) - own[0].target) <= max(smallest, 100), (s, at)
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS FROM read_parquet('{path}/documents.parquet/*.parquet')")
+        want = con.execute(queries.ORACLE_SQL["op6_mix"])
+        names = [d[0] for d in want.description]
+        assert sorted(([tuple(r[n] for n in names) for r in got]), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_a_rule_fits_no_other_split_of_its_text(spark):
     rules = spark.createDataFrame([("a.co", "m/", "block")], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.com/"), (2, "http://x.a.com/b")] + [(3, None)] * 5, "page_id long, url string")
