@@ -92,22 +92,10 @@ def changed_paths(listing: DataFrame, column: str = "value") -> DataFrame:
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, path, size, sha256) of the files in gzip-compressed tar archives; an archive is read by one task."""
-    import io
-    import tarfile
-    from hashlib import sha256
-
-    import pandas as pd
-
-    def scan(parts):
-        for pdf in parts:
-            rows = []
-            for name, content in zip(pdf["path"], pdf["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    rows += [(name, m.name, m.size, sha256(tar.extractfile(m).read()).hexdigest()) for m in tar if m.isfile()]
-            yield pd.DataFrame(rows, columns=["archive", "path", "size", "sha256"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(scan, "archive string, path string, size long, sha256 string")
+    """(archive, path, size, sha256) of the files in tar archives that can be read whole, as ``archives.read_archives`` gives them."""
+    from pipelens.sources.archives import read_archives
+
+    return read_archives(spark, path).where("path IS NOT NULL AND error IS NULL").drop("error")
 
 
 def write_records(records: DataFrame, path: str) -> None:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pipelens.functions import globs, hashing, paths
 from pipelens.operators import diagnose, env, heal, layout, stats, store
 from pipelens.plans import graph
+from pipelens.plans.lineage import shared_path
 from pipelens.queries import _BOUNDS, _FILES, _HISTOGRAM, _blobs, _files, exec_wait_histogram, histogram_totals  # noqa: F401
 from pipelens.registry import ORACLE_SQL, query, table
-from pipelens.sources import workspace
+from pipelens.sources import archives, workspace
 
 _SHA = "sha256(coalesce(text, ''))"
 
@@ -479,3 +480,22 @@ def name_suggestions_suppliers(spark, sf_dir):
     n, s = table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "supplier").select("s_name")
     wanted = n.select(F.replace("n_name", F.lit("I"), F.lit("")).alias("w")).union(s.select(F.concat(F.lit("x"), "s_name", F.lit("y"))))
     return graph.suggestions(wanted, n.union(s))
+
+
+# ---------------------------------------------------------------- archives
+
+
+@query(
+    "archived_documents",
+    f"""SELECT 'd' || (doc_id // 500)::VARCHAR || '.tar.gz' AS archive, coalesce(lang, 'none') || '/' || doc_id::VARCHAR || '.txt' AS path, strlen(coalesce(text, ''))::BIGINT AS size, {_SHA} AS sha256,
+'ok' AS status FROM documents""",
+)
+def archived_documents(spark, sf_dir):
+    """Documents packed into archives of 500 ids with manifests, written, read member by member and verified."""
+    d = table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 500).cast("string"), F.lit(".tar.gz"))
+    files = d.select(name.alias("archive"), F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    folder = shared_path(spark, "archives")
+    archives.write_archives(archives.with_manifests(files, capsule_version="1.0"), folder)
+    held = archives.read_archives(spark, folder, ("archive", "path", "size", "sha256", "error"))
+    return held.join(archives.verified(spark, folder).drop("valid"), ["archive", "path"]).select("archive", "path", "size", "sha256", "status")
