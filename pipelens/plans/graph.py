@@ -203,6 +203,49 @@ def cycle_members(edges: DataFrame, most_rounds: int = MOST_ROUNDS, small: int =
     raise RuntimeError(f"cycles did not settle in {most_rounds} rounds")
 
 
+def cycle_witnesses(edges: DataFrame, members: DataFrame | None = None, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(component, position, node): for each component of ``cycle_members`` a shortest cycle through its smallest node, in order.
+
+    A search by breadth goes from all smallest nodes at once and over edges
+    within components; every node keeps the smallest of the nodes that reached
+    it first. A component is done in the round in which an edge leads back to
+    its smallest node, of several from the smallest one. The path is read back
+    by jumps of doubled length. Position 0 is the smallest node, every next one
+    depends on the one before, and the first on the last. ``members`` can give
+    the components. Tasks that depend on themselves alone are no cycle.
+    """
+    members = cut(cycle_members(edges) if members is None else members)
+    of = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    inside = edges.select("src", "dst").where("src <> dst").distinct().join(of("src"), "src").join(of("dst"), "dst").where("src_in = dst_in")
+    steps = cut(inside.select(F.col("src_in").alias("component"), "src", "dst"))
+    back = cut(steps.where("dst = component").select("component", F.col("src").alias("node")))
+    frontier = cut(members.where("node = component").select("component", "node", F.lit(None).cast(members.schema["node"].dataType).alias("up")))
+    tree, ends = frontier, None
+    for depth in range(most_rounds):
+        closing = frontier.join(back, ["component", "node"], "left_semi").groupBy("component").agg(F.min("node").alias("node")).withColumn("position", F.lit(depth).cast("long"))
+        now = cut(closing)
+        ends = now if ends is None else ends.union(now)
+        ways = frontier.join(now, "component", "left_anti").select("component", F.col("node").alias("src")).join(steps, ["component", "src"])
+        new = ways.groupBy("component", F.col("dst").alias("node")).agg(F.min("src").alias("up"))
+        frontier = cut(new.join(tree.select("component", "node"), ["component", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        tree = tree.union(frontier)
+        if depth % 16 == 15:
+            tree, ends = cut(tree), cut(ends)
+    else:
+        raise RuntimeError(f"a shortest cycle is longer than {most_rounds}")
+    path, jump = cut(ends), cut(tree.where("up IS NOT NULL"))
+    longest = path.agg(F.max("position")).first()[0] or 0
+    reach = 1
+    while reach <= longest:  # the path has the last ``reach`` nodes, and a jump goes as far
+        path = cut(path.union(path.join(jump, ["component", "node"]).select("component", F.col("up").alias("node"), F.col("position") - reach)))
+        far = jump.select("component", F.col("node").alias("up"), F.col("up").alias("upper"))
+        jump = cut(jump.join(far, ["component", "up"]).select("component", "node", F.col("upper").alias("up")))
+        reach *= 2
+    return path.select("component", "position", "node")
+
+
 def _strong(pdf):
     """Strongly connected components by two passes over an explicit stack (Kosaraju)."""
     import pandas as pd
@@ -351,3 +394,53 @@ def task_tokens(tasks: DataFrame, edges: DataFrame, level: DataFrame) -> DataFra
         made = now.withColumn("fingerprint", print_).select("name", "fingerprint", cutoff_token(F.col("pure"), F.col("output_digest"), F.col("fingerprint")).alias("token"))
         done = cut(made if done is None else done.union(made))
     return done
+
+
+def _own(tasks: DataFrame) -> DataFrame:
+    """(name, own): a digest of what a task's fingerprint covers but the tokens of others, and of whom it depends on and what it hands on."""
+    maps = [F.to_json(F.array_sort(F.map_entries(c))) for c in ("file_hashes", "env_vars")]
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("command", "cwd", "shell", "pure", "output_digest")]
+    lists = [F.to_json(F.coalesce("outputs", F.array().cast("array<string>"))), F.to_json(F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>"))))]
+    parts = F.array(*texts, *(F.coalesce(x, F.lit("\0")) for x in (*maps, *lists)))
+    return tasks.select("name", F.sha2(F.to_json(F.struct(parts.alias("p"))).cast("binary"), 256).alias("own"))
+
+
+def with_own(tasks: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(name, own, fingerprint, token): what ``changed_tokens`` has to know of a run, to be kept for the next one."""
+    return tokens.join(_own(tasks), "name").select("name", "own", "fingerprint", "token")
+
+
+def changed_tokens(tasks: DataFrame, edges: DataFrame, level: DataFrame, previous: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(name, fingerprint, token) as ``task_tokens`` gives them, from those of the ``previous`` run (``with_own``), and (level, tasks computed) of each round.
+
+    A task is computed if it is new, if anything of its own has changed or
+    whom it depends on, or if the token of a dependency came out different. A
+    token that comes out equal stops there. A round takes the tasks of the
+    lowest level that wait; the depth of what changed, not of the graph, is the
+    number of rounds. ``tasks`` also has depends_on; levels start at 0.
+    """
+    from pipelens.functions.hashing import task_fingerprint
+    from pipelens.operators.diff import cutoff_token
+
+    rows = cut(tasks.join(level.withColumnRenamed("node", "name"), "name"))
+    before = cut(previous.join(rows.select("name"), "name", "left_semi").select("name", "own", "fingerprint", "token"))
+    known = before.select("name", "token")  # what is known of tasks so far, changes put over it
+    waiting = cut(_own(rows).join(before.select("name", F.col("own").alias("was")), "name", "left").where("was IS NULL OR was <> own").select("name").join(rows.select("name", "level"), "name"))
+    made, rounds = None, []
+    while (lowest := waiting.agg(F.min("level")).first()[0]) is not None:
+        now = rows.join(waiting.where(F.col("level") == lowest).select("name"), "name", "left_semi")
+        needs = edges.join(now.select(F.col("name").alias("dst")), "dst", "left_semi").join(known.select(F.col("name").alias("src"), "token"), "src")
+        deps = needs.groupBy(F.col("dst").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("src", "token"))).alias("deps"))
+        now = now.join(deps, "name", "left").withColumn("deps", F.coalesce("deps", F.create_map().cast("map<string,string>")))
+        print_ = task_fingerprint(F.col("name"), F.col("command"), F.col("cwd"), F.col("shell"), F.col("pure"), F.col("file_hashes"), F.col("env_vars"), F.col("deps"), F.col("outputs"))
+        done = cut(now.withColumn("fingerprint", print_).select("name", "fingerprint", cutoff_token(F.col("pure"), F.col("output_digest"), F.col("fingerprint")).alias("token")))
+        rounds.append((lowest, done.count()))
+        made = done if made is None else made.union(done)
+        moved = done.join(known.select("name", F.col("token").alias("t")), "name", "left").where("t IS NULL OR t <> token").select("name", "token")
+        reached = edges.join(moved.select(F.col("name").alias("src")), "src", "left_semi").select(F.col("dst").alias("name")).join(rows.select("name", "level"), "name")
+        waiting = cut(waiting.where(F.col("level") > lowest).union(reached).distinct())
+        known = known.join(done.select("name"), "name", "left_anti").union(done.select("name", "token"))
+        if len(rounds) % 8 == 0:
+            known, made = cut(known), cut(made)
+    kept = before.select("name", "fingerprint", "token")
+    return (kept if made is None else kept.join(made.select("name"), "name", "left_anti").union(made)), rounds

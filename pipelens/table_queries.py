@@ -284,6 +284,22 @@ def cycle_members_parts(spark, sf_dir):
     return graph.cycle_members(graph.edges_of(_tasks(spark, sf_dir)))
 
 
+@query(
+    "cycle_witnesses_parts",
+    f"""WITH RECURSIVE {_TASKS}, {_CYCLES}, i AS (SELECT x.component, e.src, e.dst FROM e JOIN c x ON x.node = e.src JOIN c y ON y.node = e.dst AND y.component = x.component),
+s AS (SELECT component, count(*) AS n FROM c GROUP BY component),
+w(component, node, depth) AS (SELECT component, component, 0::BIGINT FROM s UNION SELECT i.component, i.dst, w.depth + 1 FROM w JOIN i ON i.component = w.component AND i.src = w.node JOIN s ON s.component = w.component WHERE w.depth < s.n),
+b AS (SELECT component, node, min(depth) AS depth FROM w GROUP BY component, node),
+p AS (SELECT y.component, y.node, min(i.src) AS up FROM b y JOIN i ON i.component = y.component AND i.dst = y.node JOIN b x ON x.component = y.component AND x.node = i.src AND x.depth = y.depth - 1 GROUP BY y.component, y.node),
+z AS (SELECT b.component, b.node, b.depth, row_number() OVER (PARTITION BY b.component ORDER BY b.depth, b.node) AS n FROM b JOIN i ON i.component = b.component AND i.src = b.node AND i.dst = b.component),
+q(component, position, node) AS (SELECT component, depth, node FROM z WHERE n = 1 UNION ALL SELECT q.component, q.position - 1, p.up FROM q JOIN p ON p.component = q.component AND p.node = q.node WHERE q.position > 0)
+SELECT component, position, node FROM q""",
+)
+def cycle_witnesses_parts(spark, sf_dir):
+    """For each group of parts that depend on each other, a shortest cycle to break."""
+    return graph.cycle_witnesses(graph.edges_of(_tasks(spark, sf_dir)))
+
+
 @query(
     "config_diagnostics_parts",
     f"""WITH RECURSIVE {_TASKS}, {_CYCLES} SELECT 't' || k AS task, 'empty command' AS problem, '' AS detail FROM t WHERE trim(command) = '' UNION ALL SELECT 't' || k, 'folder escapes the workspace', cwd FROM t WHERE contains(cwd, '..')
