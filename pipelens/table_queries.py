@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pipelens.functions import globs, hashing, paths
-from pipelens.operators import diagnose, env, heal, layout, stats, store
+from pipelens.operators import blocks, diagnose, env, heal, layout, stats, store
 from pipelens.plans import graph
 from pipelens.plans.lineage import shared_path
 from pipelens.queries import _BOUNDS, _FILES, _HISTOGRAM, _blobs, _files, exec_wait_histogram, histogram_totals  # noqa: F401
@@ -300,6 +300,33 @@ def cycle_witnesses_parts(spark, sf_dir):
     return graph.cycle_witnesses(graph.edges_of(_tasks(spark, sf_dir)))
 
 
+@query(
+    "incremental_tokens",
+    """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_type AS command, CASE WHEN p_size = 1 THEN 'before' ELSE p_type END AS was, p_partkey % 3 = 0 AS pure, sha256(p_name) AS digest FROM part WHERE p_partkey > 0),
+h AS (SELECT *, 'task_name:t' || k || chr(10) || 'command:' AS head, chr(10) || 'cwd:' || chr(10) || 'shell:' || chr(10) || 'pure:' || CASE WHEN pure THEN 'true' ELSE 'false' END || chr(10) AS middle, 'output_pattern:out/**' || chr(10) AS foot FROM p),
+r(k, fingerprint, token, f_was, t_was) AS (
+  SELECT k, f, CASE WHEN pure THEN 'out:' || digest ELSE f END, g, CASE WHEN pure THEN 'out:' || digest ELSE g END FROM (SELECT *, sha256(head || command || middle || foot) AS f, sha256(head || was || middle || foot) AS g FROM h WHERE k = 1)
+  UNION ALL SELECT k, f, CASE WHEN pure THEN 'out:' || digest ELSE f END, g, CASE WHEN pure THEN 'out:' || digest ELSE g END FROM (
+    SELECT h.*, sha256(head || command || middle || 'dep:t' || r.k || ':' || r.token || chr(10) || foot) AS f, sha256(head || was || middle || 'dep:t' || r.k || ':' || r.t_was || chr(10) || foot) AS g FROM r JOIN h ON h.k // 2 = r.k AND h.k > 1))
+SELECT 't' || k AS name, fingerprint, token, fingerprint <> f_was AS computed FROM r""",
+)
+def incremental_tokens(spark, sf_dir):
+    """Parts as tasks that depend on the part with half their number; those of size 1 have another command than in the run before."""
+    p, k = table(spark, sf_dir, "part").where("p_partkey > 0"), F.col("p_partkey")
+    none = F.create_map().cast("map<string,string>")
+    up = F.when(k > 1, F.array(F.concat(F.lit("t"), F.floor(k / 2)))).otherwise(F.array().cast("array<string>"))
+    tasks = p.select(
+        F.concat(F.lit("t"), k).alias("name"), F.col("p_type").alias("command"), F.lit("").alias("cwd"), F.lit("").alias("shell"), (k % 3 == 0).alias("pure"), none.alias("file_hashes"), none.alias("env_vars"),
+        F.array(F.lit("out/**")).alias("outputs"), F.sha2(F.col("p_name").cast("binary"), 256).alias("output_digest"), up.alias("depends_on"), "p_size",
+    )
+    before = tasks.withColumn("command", F.when(F.col("p_size") == 1, "before").otherwise(F.col("command")))
+    edges = graph.edges_of(tasks)
+    level = graph.cut(graph.levels(tasks.select("name"), edges))
+    known = graph.cut(graph.with_own(before, graph.task_tokens(before, edges, level)))
+    now, _ = graph.changed_tokens(tasks, edges, level, known)
+    return now.join(known.select("name", F.col("fingerprint").alias("was")), "name").select("name", "fingerprint", "token", (F.col("fingerprint") != F.col("was")).alias("computed"))
+
+
 @query(
     "config_diagnostics_parts",
     f"""WITH RECURSIVE {_TASKS}, {_CYCLES} SELECT 't' || k AS task, 'empty command' AS problem, '' AS detail FROM t WHERE trim(command) = '' UNION ALL SELECT 't' || k, 'folder escapes the workspace', cwd FROM t WHERE contains(cwd, '..')
@@ -515,3 +542,14 @@ def archived_documents(spark, sf_dir):
     archives.write_archives(archives.with_manifests(files, capsule_version="1.0"), folder)
     held = archives.read_archives(spark, folder, ("archive", "path", "size", "sha256", "error"))
     return held.join(archives.verified(spark, folder).drop("valid"), ["archive", "path"]).select("archive", "path", "size", "sha256", "status")
+
+
+@query(
+    "first_differences",
+    """SELECT doc_id::VARCHAR AS path, CASE WHEN contains(text, 'q') THEN strlen(split_part(text, 'q', 1)) WHEN doc_id % 5 = 0 THEN strlen(text) ELSE -1 END::BIGINT AS "offset" FROM documents WHERE text IS NOT NULL""",
+)
+def first_differences(spark, sf_dir):
+    """Documents as files of two builds: in the second every q is another letter, and every fifth goes on."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), "text", "doc_id")
+    later = F.concat(F.translate("text", "q", "Q"), F.when(F.col("doc_id") % 5 == 0, "more").otherwise(""))
+    return blocks.value_differences(d.select("path", F.col("text").alias("content")), d.select("path", later.alias("content")), block=256, fanout=16)
