@@ -14,7 +14,7 @@ from pipelens.functions import globs, hashing, paths, secrets
 from pipelens.operators import diagnose, diff, env, layout, stats, store
 from pipelens.plans import graph
 from pipelens.plans.lineage import cut
-from pipelens.registry import query, table
+from pipelens.registry import example, query, table
 
 #: The moment that stands for now in every query.
 NOW = "2024-06-01 00:00:00"
@@ -481,7 +481,7 @@ ENV_OLD = ("PORT=3000", "DB_PASSWORD=s3cr3t-value", "API_KEY=abcdef123456", "DEB
 ENV_NEW = ("# merged", "PORT=8080", "DB_PASSWORD=your_password_here", "API_KEY={token}", "REDIS_URL=redis-host", "DEBUG=true")
 
 
-@query(
+@example(
     "env_merge",
     """SELECT * FROM (VALUES (1, 'comment', '# merged'), (2, 'updated', 'PORT=8080'), (3, 'kept', 'DB_PASSWORD=s3cr3t-value'), (4, 'restored', 'API_KEY=abcdef123456'), (5, 'added', 'REDIS_URL=redis-host'), (6, 'unchanged', 'DEBUG=true')) v(line_no, action, line)""",
 )
@@ -504,7 +504,7 @@ JAIL_PATHS = (
 )
 
 
-@query("path_jail", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {repr(r) if r else 'NULL'})" for p, r in JAIL_PATHS) + ") v(path, violation)")
+@example("path_jail", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {repr(r) if r else 'NULL'})" for p, r in JAIL_PATHS) + ") v(path, violation)")
 def path_jail(spark, sf_dir):
     return spark.createDataFrame([(p,) for p, _ in JAIL_PATHS], "path string").select("path", paths.violation(F.col("path")).alias("violation"))
 
@@ -563,7 +563,7 @@ SOURCES = (
 )
 
 
-@query("role_classify", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}')" for p, _, r in SOURCES) + ") v(path, role)")
+@example("role_classify", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}')" for p, _, r in SOURCES) + ") v(path, role)")
 def role_classify(spark, sf_dir):
     rows = spark.createDataFrame([(p, s) for p, s, _ in SOURCES], "path string, source string")
     return rows.select("path", layout.role(F.col("source"), paths.language(F.col("path"))).alias("role"))
@@ -628,7 +628,7 @@ MANIFEST_FILES = (
 )
 
 
-@query(
+@example(
     "adopt_projects",
     """SELECT * FROM (VALUES ('r1', 'Go', 'lint', 'go vet ./...', ''), ('r1', 'Go', 'test', 'go test -v ./...', 'lint'), ('r1', 'Go', 'build', 'go build -o bin/tool .', 'test'), ('r2', 'Node.js', 'test', 'npm test', ''), ('r2', 'Node.js', 'build', 'npm run build', 'test'),
   ('r3', 'Makefile', 'all', 'make all', ''), ('r3', 'Makefile', 'clean', 'make clean', ''), ('r3', 'Makefile', 'CC', 'make CC', ''), ('r4', 'Python', 'lint', 'python -m ruff check .', ''), ('r4', 'Python', 'test', 'pytest', 'lint')) v(root, project_type, task, command, depends_on)""",
@@ -645,7 +645,7 @@ def _pipeline(spark):
     return spark.createDataFrame(PIPELINE, "name string, command string, cwd string, depends_on array<string>")
 
 
-@query(
+@example(
     "config_diagnostics",
     """SELECT * FROM (VALUES ('test', 'empty command', ''), ('test', 'folder escapes the workspace', '../x'), ('self', 'depends on itself', 'self'), ('build', 'undefined dependency', 'biuld'), ('a', 'on a cycle', 'a'), ('b', 'on a cycle', 'a'), ('c', 'on a cycle', 'a'), ('deploy', 'default does not exist', '')) v(task, problem, detail)""",
 )
@@ -716,7 +716,7 @@ def exec_batches(spark, sf_dir):
     return graph.batches(exec_levels(spark, sf_dir), critical_path(spark, sf_dir)).withColumn("position", F.col("position").cast("long"))
 
 
-@query(
+@example(
     "cycle_members",
     """SELECT i AS node, 500::BIGINT AS component FROM range(500, 801) t(i)""",
 )
@@ -727,7 +727,7 @@ def cycle_members(spark, sf_dir):
     return graph.cycle_members(edges)
 
 
-@query("ghost_deps", "SELECT 'build' AS dst, 'biuld' AS src")
+@example("ghost_deps", "SELECT 'build' AS dst, 'biuld' AS src")
 def ghost_deps(spark, sf_dir):
     return graph.ghosts(_pipeline(spark))
 
@@ -767,15 +767,19 @@ def _coupled(spark):
     return spark.createDataFrame(rows, "path string, imports array<string>, seed string")
 
 
-@query("import_coupling", "SELECT * FROM (VALUES ('a/user.py', 'a/user.py', 4.0::DOUBLE), ('a/user.py', 'a/user_store.py', 2.0), ('a/user_store.py', 'a/user.py', 2.0), ('b/order.py', 'a/user.py', 2.0), ('a/user.py', 'b/order.py', 2.0), ('b/order.py', 'a/user_store.py', 2.0), ('a/user_store.py', 'b/order.py', 2.0), ('b/order.py', 'b/cart.py', 4.0), ('b/cart.py', 'b/order.py', 4.0)) v(u, v, w)")
+@example("import_coupling", "SELECT * FROM (VALUES ('a/user.py', 'a/user.py', 4.0::DOUBLE), ('a/user.py', 'a/user_store.py', 2.0), ('a/user_store.py', 'a/user.py', 2.0), ('b/order.py', 'a/user.py', 2.0), ('a/user.py', 'b/order.py', 2.0), ('b/order.py', 'a/user_store.py', 2.0), ('a/user_store.py', 'b/order.py', 2.0), ('b/order.py', 'b/cart.py', 4.0), ('b/cart.py', 'b/order.py', 4.0)) v(u, v, w)")
 def import_coupling(spark, sf_dir):
     return layout.coupling(_coupled(spark))
 
 
-@query("label_propagation")
-def label_propagation(spark, sf_dir):
-    files = _coupled(spark)
-    return graph.label_propagation(files.select(F.col("path").alias("node"), "seed"), layout.coupling(files))
+@query("label_propagation_parts")
+def label_propagation_parts(spark, sf_dir):
+    """The part tree with brands as labels: a part and the one with half its number are as close as the greater one's size."""
+    p, edges = _tree(spark, sf_dir)
+    name = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    sized = edges.join(p.select(F.col("p_partkey").alias("dst"), F.col("p_size").cast("double").alias("w")), "dst").select(name("src").alias("u"), name("dst").alias("v"), "w")
+    weights = sized.union(sized.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    return graph.label_propagation(p.select(name("p_partkey").alias("node"), F.col("p_brand").alias("seed")), weights)
 
 
 # ---------------------------------------------------------------- streams as tables

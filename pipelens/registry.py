@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Operators on a few fixed rows, with SQL: for the tests, not registered as queries, as they read no table.
+EXAMPLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+EXAMPLE_SQL: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
@@ -25,6 +28,16 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
+def example(name: str, sql: str):
+    """Keep a function of fixed rows under ``name`` with the SQL that says the same."""
+
+    def put(f):
+        EXAMPLES[name], EXAMPLE_SQL[name] = f, sql
+        return f
+
+    return put
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -41,6 +41,36 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(registry.EXAMPLES))
+def test_operators_on_fixed_rows(spark, duck, name):
+    assert name not in entry.queries()
+    got, want = registry.EXAMPLES[name](spark, SF).toPandas(), duck.execute(registry.EXAMPLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_label_propagation_is_that_of_turns(spark, duck):
+    """Nodes in byte order, each seeing the labels of this round: the heaviest label around it, of equals the smallest."""
+    parts = {f"{k:012}": (b, s, k) for k, b, s in duck.execute("SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey > 0").fetchall()}
+    label, near = {n: b for n, (b, _, _) in parts.items()}, {n: [] for n in parts}
+    for n, (_, size, k) in parts.items():
+        up = f"{k // 2:012}"
+        if k > 1 and up in parts:
+            near[n].append((up, size))
+            near[up].append((n, size))
+    for _ in range(10):
+        before = dict(label)
+        for n in sorted(parts):
+            votes: dict = {}
+            for other, w in near[n]:
+                votes[label[other]] = votes.get(label[other], 0) + w
+            if votes:
+                label[n] = min(votes, key=lambda x: (-votes[x], x))
+        if label == before:
+            break
+    got = {r.node: r.label for r in entry.queries()["label_propagation_parts"](spark, SF).collect()}
+    assert got == label and len(set(label.values())) > 3
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
