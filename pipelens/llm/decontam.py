@@ -1,9 +1,11 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried by every training passage with block-max bounds.
 
-A document holds an item if it has ``OVERLAP`` of the item's word shingles,
-wherever they stand. Retrieval asks for no more than that: an item's need is
-the least BM25 sum that the terms of a document can have that still holds so
-many of its shingles. What the missing shingles can take away is bounded by a
+A document holds an item if it has ``OVERLAP`` of the word shingles of the whole
+item or, as questions leak without their answers, of a question of ``QUESTION``
+words or more, wherever they stand; an answer alone tells nothing. Retrieval
+asks for no more than that: an item's need is the least BM25 sum that the terms
+of a document can have that still holds so many shingles of the whole, or of
+the question if that is less. What the missing shingles can take away is bounded by a
 fractional knapsack: a term is gone only if all shingles with it are, and a
 shingle of k words is in k terms at most. So no item that the confirmation
 would accept is below its need, and every item at or above it is retrieved.
@@ -41,6 +43,8 @@ from pipelens.llm.common import cut, forget, slices, texts_of
 K1, B = 1.2, 0.75
 #: Words of a shingle, and the share of an item's shingles that a document must have.
 SHINGLE, OVERLAP = 5, 0.8
+#: Words of a question from which on it counts without its answer.
+QUESTION = 10
 BLOCK = 8
 #: Items and postings of one part of the index, about.
 SHARD, POSTINGS = 1 << 16, 1 << 22
@@ -66,7 +70,8 @@ def impacts(words: list[bytes], df: dict[bytes, int], n: int, mean: float) -> di
 
 
 def need_of(words: list[bytes], impact: dict[bytes, float]) -> float:
-    """The least score of a document that has ``OVERLAP`` of an item's shingles."""
+    """The least score of a document that has ``OVERLAP`` of the shingles of ``words``, an item or a part of it."""
+    impact = {w: impact[w] for w in dict.fromkeys(words)}
     k = min(SHINGLE, len(words))
     wanted = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
     n, missing = len(wanted), int((1 - OVERLAP) * len(wanted)) + 1
@@ -88,6 +93,12 @@ def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def least_need(q: list[bytes], a: list[bytes], impact: dict[bytes, float]) -> float:
+    """What a document that holds an item scores at least: the weaker of the whole and a question that counts alone."""
+    whole = need_of(q + a, impact)
+    return min(whole, need_of(q, impact)) if len(q) >= QUESTION else whole
+
+
 class Group:
     """Items whose shingles have ``k`` words: needs, blocks, postings. Terms are numbers, the essential ones first."""
 
@@ -96,7 +107,8 @@ class Group:
         found = []
         for item, q, a, impact in rows:
             common = sum(x for w, x in impact.items() if term[w] > n_essential)
-            found.append((need_of(q + a, impact) - common, need_of(q + a, impact), item, q, a, impact))
+            need = least_need(q, a, impact)
+            found.append((need - common, need, item, q, a, impact))
         found.sort(key=lambda x: x[0])
         self.items = [x[2:5] for x in found]
         self.need = np.array([x[1] for x in found])
@@ -182,7 +194,7 @@ class Index:
 
 
 def confirmed(words: list[bytes], items: list[tuple]) -> list[tuple]:
-    """Of retrieved items those whose shingles, question and answer together, the text has to ``OVERLAP``."""
+    """Of retrieved items those of which the text has ``OVERLAP``, of the whole or of a question that counts alone."""
     out, have = [], {}
 
     def share(part: list[bytes]) -> float:
@@ -196,9 +208,9 @@ def confirmed(words: list[bytes], items: list[tuple]) -> list[tuple]:
         return len(wanted & have[size]) / len(wanted)
 
     for i, q, a in items:
-        overlap = share(q + a)
-        if overlap >= OVERLAP:
-            out.append((i, share(q), share(a), overlap))
+        overlap, question = share(q + a), share(q)
+        if overlap >= OVERLAP or (len(q) >= QUESTION and question >= OVERLAP):
+            out.append((i, question, share(a), overlap))
     return out
 
 
@@ -244,8 +256,9 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text: str = "text", a
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **items) -> DataFrame:
     """(doc_id, item_id, question_overlap, answer_overlap, overlap) of every item that a document holds.
 
-    Whether it does is told by ``overlap``, over question and answer together;
-    the overlaps of both are reported beside it. Null and empty texts hold
+    It does where ``overlap``, over question and answer together, or the
+    ``question_overlap`` of a question of ``QUESTION`` words or more reaches
+    ``OVERLAP``. Null and empty texts hold
     none; repeated rows give repeated rows; null ids are kept. An empty
     benchmark or an empty table gives no rows.
     """

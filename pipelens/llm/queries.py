@@ -128,7 +128,8 @@ pn AS (SELECT item_id, part, count(*) AS n FROM ps GROUP BY ALL),
 ds AS (SELECT DISTINCT rid, doc_id, size, array_to_string(w[j:j + size - 1], ' ') AS sh FROM (SELECT e.*, s.size, unnest(range(1, len(w) - s.size + 2)) AS j FROM e, (SELECT DISTINCT size FROM k) s WHERE len(w) >= s.size)),
 h AS (SELECT rid, doc_id, item_id, part, count(*) AS hit FROM ps JOIN ds USING (size, sh) GROUP BY ALL),
 o AS (SELECT rid, doc_id, item_id, part, hit / n AS share FROM h JOIN pn USING (item_id, part)),
-m AS (SELECT rid, doc_id, item_id, share AS overlap FROM o WHERE part = 'whole' AND share >= 0.8)
+m AS (SELECT rid, doc_id, item_id, max(CASE WHEN part = 'whole' THEN share END) AS overlap FROM o WHERE part <> 'answer' GROUP BY ALL
+  HAVING bool_or(share >= 0.8 AND (part = 'whole' OR item_id IN (SELECT item_id FROM k WHERE part = 'question' AND len(w) >= 10))))
 SELECT m.doc_id, m.item_id,
   CASE WHEN EXISTS (FROM pn WHERE pn.item_id = m.item_id AND part = 'question') THEN coalesce((SELECT share FROM o WHERE o.rid = m.rid AND o.item_id = m.item_id AND o.part = 'question'), 0) ELSE 1 END::DOUBLE AS question_overlap,
   CASE WHEN EXISTS (FROM pn WHERE pn.item_id = m.item_id AND part = 'answer') THEN coalesce((SELECT share FROM o WHERE o.rid = m.rid AND o.item_id = m.item_id AND o.part = 'answer'), 0) ELSE 1 END::DOUBLE AS answer_overlap,

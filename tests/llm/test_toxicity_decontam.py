@@ -116,18 +116,22 @@ def test_weights_and_scores_are_those_of_a_plain_ftrl(spark):
 # ---------------------------------------------------------------- decontamination
 
 
-def plain_hits(text, items):
+def plain_hits(text, items, split=True):
     words = decontam.words_of((text or "").encode())
     out = []
     for i, t in items:
         own = decontam.words_of((t or "").encode())
         if not own:
             continue
-        k = min(5, len(own))
-        want = {tuple(own[a : a + 5]) for a in range(max(1, len(own) - 4))}
-        have = {tuple(words[a : a + k]) for a in range(len(words) - k + 1)}
-        if len(want & have) / len(want) >= 0.8:
-            out.append(i)
+        head, dot, _ = t.rstrip(" .\n\t\r").rpartition(". ")
+        question = decontam.words_of((head + dot if split and dot else t).encode())
+        for part in [own] + [question] * (len(question) >= 10):
+            k = min(5, len(part))
+            want = {tuple(part[a : a + 5]) for a in range(max(1, len(part) - 4))}
+            have = {tuple(words[a : a + k]) for a in range(len(words) - k + 1)}
+            if len(want & have) / len(want) >= 0.8:
+                out.append(i)
+                break
     return out
 
 
@@ -172,6 +176,48 @@ def test_question_and_answer_are_told_apart(spark):
     assert (r.question_overlap, r.overlap) == (1.0, 1.0)
 
 
+def test_a_question_counts_alone_and_an_answer_does_not(spark):
+    q, a = [f"q{j}" for j in range(40)], [f"a{j}" for j in range(30)]
+    other = [f"o{j}" for j in range(30)]
+    pair = lambda x, y: " ".join(x) + ". " + " ".join(y) + "."
+    items = [(1, pair(q, a)), (2, pair(["s1", "s2", "s3"], ["t" + w for w in a]))]
+    texts = {
+        10: q,  # a question without its answer
+        11: a,  # an answer alone
+        12: q + a,
+        13: q[:20] + other + q[20:],  # torn, 32 of 36 shingles
+        14: q[:30],  # 26 of 36
+        15: a + q[:12],
+        16: ["s1", "s2", "s3"],  # too short a question
+        17: ["s1", "s2", "s3"] + ["t" + w for w in a],
+        18: other + q[3:38] + other,  # 31 of 36
+    }
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(10, 1), (12, 1), (13, 1), (17, 2), (18, 1)} == {(d, i) for d, w in texts.items() for i in plain_hits(" ".join(w), items)}
+    assert (got[10, 1].question_overlap, got[10, 1].answer_overlap) == (1.0, 0.0) and got[10, 1].overlap < 0.8
+    left = decontam.remove(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == {11, 14, 15, 16}
+
+
+def test_questions_are_retrieved_whatever_their_answers_weigh(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice("of the and is".split()) if rng.random() < 0.5 else f"w{rng.randrange(60)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 40))) + ". " + " ".join(f"r{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 80)))) for i in range(60)]
+    rows = []
+    for d in range(200):
+        own = rng.choice(items)[1].split(". ")[0].split()
+        at = rng.randrange(len(own))
+        if d % 3 == 1:
+            own[at] = "changed"
+        elif d % 3 == 2:
+            own[at:at] = [word() for _ in range(9)]
+        rows.append((d, " ".join([word() for _ in range(rng.randrange(30))] + own + [word() for _ in range(5)])))
+    got = {tuple(r) for r in decontam.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()}
+    want = {(d, i) for d, t in rows for i in plain_hits(t, items)}
+    assert got == want and len(want) > 60
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
@@ -198,7 +244,7 @@ def test_pieces_that_lie_apart_and_lost_rare_words_are_found():
     items = [(1, " ".join(words)), (2, " ".join(short)), *others]
     index = index_of(items)
     for text in (" ".join(apart), " ".join(filler + short[:31] + filler)):
-        assert sorted(h[0] for h in index.hits([decontam.words_of(text.encode())])[0]) == sorted(plain_hits(text, items))
+        assert sorted(h[0] for h in index.hits([decontam.words_of(text.encode())])[0]) == sorted(plain_hits(text, items, split=False))
     assert 1 in plain_hits(" ".join(apart), items) and 2 in plain_hits(" ".join(short[:31]), items)
 
 
@@ -218,5 +264,5 @@ def test_recall_is_one_over_torn_items(seed):
             out += [word() for _ in range(rng.randrange(0, 300))] + [w for w in piece if w]
         texts.append(" ".join(out))
     got = [sorted(h[0] for h in x) for x in index.hits([decontam.words_of(t.encode()) for t in texts])]
-    want = [sorted(plain_hits(t, items)) for t in texts]
+    want = [sorted(plain_hits(t, items, split=False)) for t in texts]
     assert got == want and sum(map(len, want)) > 200
