@@ -118,6 +118,7 @@ def test_weights_and_scores_are_those_of_a_plain_ftrl(spark):
 
 def plain_hits(text, items, split=True):
     words = decontam.words_of((text or "").encode())
+    shingles = {k: {tuple(words[a : a + k]) for a in range(len(words) - k + 1)} for k in range(1, 6)}
     out = []
     for i, t in items:
         own = decontam.words_of((t or "").encode())
@@ -128,8 +129,7 @@ def plain_hits(text, items, split=True):
         for part in [own] + [question] * (len(question) >= 10):
             k = min(5, len(part))
             want = {tuple(part[a : a + 5]) for a in range(max(1, len(part) - 4))}
-            have = {tuple(words[a : a + k]) for a in range(len(words) - k + 1)}
-            if len(want & have) / len(want) >= 0.8:
+            if len(want & shingles[k]) / len(want) >= 0.8:
                 out.append(i)
                 break
     return out
