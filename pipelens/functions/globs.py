@@ -162,3 +162,27 @@ def as_regex(pattern: str, match=matches) -> tuple[str, str]:
         elif own is not None:
             ways.append(f"(?:.*/)?(?=[^/]*\\z){own}")
     return head, "(?s)^(?:" + "|".join(w for w in ways if w is not None) + ")\\z"
+
+
+def anchor(pattern: str, match=matches) -> tuple[str, str, str]:
+    """(kind, key, regex) of a pattern: what every path that fits begins with, ends with or holds, and ``as_regex``'s expression.
+
+    The kind is ``head``, ``tail``, ``inside`` or, for patterns without any
+    text that is sure, such as ``**`` or ``[ab]?``, ``none``.
+    """
+    head, regex = as_regex(pattern, match)
+    if head:
+        return "head", head, regex
+    sure, end = pattern, pattern
+    if match is matches_prefix:
+        if "**" in pattern:
+            sure, end = pattern.split("**")[0].removesuffix("/"), ""
+    elif pattern.count("**") == 1:
+        prefix, suffix = pattern.split("**")
+        end = suffix.removeprefix("/")
+        sure = f"{prefix.removesuffix('/')}*{end}"
+    tail = re.split(r"[*?\[\]\\]", end)[-1]
+    if tail:
+        return "tail", tail, regex
+    held = max(re.split(r"[*?\[\]\\]", re.sub(r"\[\^?(?:\\.|[^\\\]])+\]", "*", sure)), key=len)
+    return ("inside", held, regex) if held else ("none", "", regex)

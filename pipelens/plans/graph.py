@@ -7,14 +7,15 @@ loop has a bound and says so when it is exceeded.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipelens.plans.lineage import cut
 
 MOST_ROUNDS = 10_000
-#: Different input patterns of all tasks, at most.
-MOST_PATTERNS = 10_000
+#: Patterns without any sure text that one scan tests.
+SCANNED = 200
 #: Edges that one task may take to end a search for cycles; they are counted first.
 SMALL_GRAPH = 100_000
 
@@ -248,7 +249,6 @@ def cycle_witnesses(edges: DataFrame, members: DataFrame | None = None, most_rou
 
 def _strong(pdf):
     """Strongly connected components by two passes over an explicit stack (Kosaraju)."""
-    import pandas as pd
 
     ahead: dict = {}
     back: dict = {}
@@ -292,31 +292,51 @@ def affected(tasks: DataFrame, edges: DataFrame, direct: DataFrame) -> DataFrame
     return reached.join(tasks.select("node"), "node", "left_semi").withColumn("kind", F.when(F.col("depth") == 0, "direct").otherwise("downstream"))
 
 
-def affected_by_paths(tasks: DataFrame, changed: DataFrame, match=None) -> DataFrame:
-    """(node, depth, kind) from changed files (path) and ``tasks`` (name, inputs, depends_on): J2 and its agent variant.
+def fitting_patterns(patterns: DataFrame, files: DataFrame, match=None) -> DataFrame:
+    """The rows (pattern) that some path of ``files`` (path) fits, in a number of jobs that does not grow with the patterns.
 
-    ``match`` is ``globs.matches`` or ``globs.matches_prefix``. The different
-    input patterns of the definitions, counted up to ``MOST_PATTERNS``, become
-    rows (head, regex): beginnings of paths, as long as some head, are joined
-    with heads, and the expression is asked of these pairs only. Patterns
-    without a head are predicates of one scan.
+    Every pattern has an anchor, a text that each path that fits begins with,
+    ends with or holds; beginnings, ends and pieces of paths, of the lengths
+    that anchors have, are joined with the anchors, and the expression is asked
+    of these pairs only. Patterns without any sure text are collected and
+    tested in one scan for each ``SCANNED`` of them. Null patterns and paths fit nothing.
     """
     from pipelens.functions import globs
 
-    spark = tasks.sparkSession
-    found = [r[0] for r in tasks.select(F.explode("inputs").alias("p")).where("p IS NOT NULL").distinct().limit(MOST_PATTERNS + 1).collect()]
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} different input patterns")
-    rows = [(p, *globs.as_regex(p.replace("\\", "/"), match or globs.matches)) for p in sorted(found)]
-    files = changed.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path")).distinct()
-    headed = spark.createDataFrame([r for r in rows if r[1]], "pattern string, head string, regex string")
-    lengths = F.array(*(F.lit(n) for n in sorted({len(r[1]) for r in rows if r[1]}))).cast("array<int>")
-    begins = F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)))
-    hit = files.select("path", begins.alias("head")).join(F.broadcast(headed), "head").where(F.rlike("path", F.col("regex"))).select("pattern")
-    for p, head, regex in rows:
-        if not head:
-            hit = hit.union(files.where(F.col("path").rlike(regex)).limit(1).select(F.lit(p).alias("pattern")))
-    direct = tasks.select("name", F.explode("inputs").alias("pattern")).join(hit.distinct(), "pattern", "left_semi").select("name").distinct()
+    match = match or globs.matches
+
+    @F.pandas_udf("kind string, key string, regex string")
+    def anchored(p: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([globs.anchor(x.replace("\\", "/"), match) for x in p], columns=["kind", "key", "regex"], dtype=object)
+
+    found = cut(patterns.where("pattern IS NOT NULL").select("pattern").distinct().withColumn("a", anchored("pattern")).select("pattern", "a.*"))
+    paths = files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path")).where("path IS NOT NULL").distinct()
+    size = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.length("key")))).alias(kind)
+    lengths = found.agg(size("head"), size("tail"), size("inside"))
+    n = F.length("path")
+    piece = lambda kind, at, k: F.struct(F.lit(kind).alias("kind"), F.substring(F.col("path"), at, k).alias("key"))
+    fit = lambda kind: F.filter(kind, lambda k: k <= n)
+    heads = F.transform(fit("head"), lambda k: piece("head", F.lit(1), k))
+    tails = F.transform(fit("tail"), lambda k: piece("tail", n - k + 1, k))
+    inside = F.flatten(F.transform(fit("inside"), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda at: piece("inside", at, k))))
+    # one row of different lengths
+    pieces = paths.join(F.broadcast(lengths)).select("path", F.inline(F.array_distinct(F.concat(heads, tails, inside))))
+    hit = pieces.join(found, ["kind", "key"]).where(F.rlike("path", F.col("regex"))).select("pattern")
+    loose = [(r.pattern, r.regex) for r in found.where("kind = 'none'").orderBy("pattern").collect()]
+    for i in range(0, len(loose), SCANNED):
+        fits = F.array(*(F.when(F.col("path").rlike(regex), F.lit(p)) for p, regex in loose[i : i + SCANNED]))
+        hit = hit.union(paths.select(F.explode(F.array_compact(fits)).alias("pattern")))
+    return hit.distinct()
+
+
+def affected_by_paths(tasks: DataFrame, changed: DataFrame, match=None) -> DataFrame:
+    """(node, depth, kind) from changed files (path) and ``tasks`` (name, inputs, depends_on): J2 and its agent variant.
+
+    ``match`` is ``globs.matches`` or ``globs.matches_prefix``; any number of
+    input patterns, as ``fitting_patterns`` says.
+    """
+    inputs = tasks.select("name", F.explode("inputs").alias("pattern"))
+    direct = inputs.join(fitting_patterns(inputs, changed, match), "pattern", "left_semi").select("name").distinct()
     return affected(tasks.select(F.col("name").alias("node")), edges_of(tasks), direct)
 
 

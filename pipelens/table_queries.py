@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pipelens.functions import globs, hashing, paths
-from pipelens.operators import blocks, diagnose, env, heal, layout, stats, store
+from pipelens.operators import blocks, diagnose, env, heal, journal, layout, render, stats, store
 from pipelens.plans import graph
 from pipelens.plans.lineage import shared_path
 from pipelens.queries import _BOUNDS, _FILES, _HISTOGRAM, _blobs, _files, exec_wait_histogram, histogram_totals  # noqa: F401
@@ -553,3 +553,40 @@ def first_differences(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), "text", "doc_id")
     later = F.concat(F.translate("text", "q", "Q"), F.when(F.col("doc_id") % 5 == 0, "more").otherwise(""))
     return blocks.value_differences(d.select("path", F.col("text").alias("content")), d.select("path", later.alias("content")), block=256, fanout=16)
+
+
+# ---------------------------------------------------------------- journals and exports
+
+
+@query(
+    "journal_undo",
+    f"""WITH d AS (SELECT doc_id, lang, source, {_SHA} AS sha, substr({_SHA}, 1, 2) = 'ab' AS edited, substr({_SHA}, 1, 1) = '0' AS again FROM documents),
+s AS (SELECT *, coalesce(source, 'none') || '/' || doc_id::VARCHAR AS original, 'text/' || sha AS current, row_number() OVER (PARTITION BY sha ORDER BY doc_id DESC) = 1 AS last FROM d)
+SELECT doc_id, current, original, 3::BIGINT AS moves, CASE WHEN NOT last THEN 'lost' WHEN edited THEN 'changed' WHEN again THEN 'taken' ELSE 'ok' END AS status FROM s""",
+)
+def journal_undo(spark, sf_dir):
+    """Documents moved from their source to their language, an inbox and their digest; equal texts are moved over each other.
+
+    Some were edited since, by the beginnings of their digests, and at the old place of others stand new files.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.col("doc_id").cast("string").alias("name"), "lang", "source")
+    places = [F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), "name"), F.concat(F.lit("by-lang/"), F.coalesce("lang", F.lit("none")), F.lit("/"), "name"), F.concat(F.lit("inbox/"), "name"), F.concat(F.lit("text/"), "sha")]
+    hops = [F.struct((F.col("doc_id") * 3 + i).alias("seq"), places[i].alias("original"), places[i + 1].alias("current"), F.col("sha").alias("digest")) for i in range(3)]
+    there = d.select(places[3].alias("path"), F.when(F.col("sha").startswith("ab"), "edited").otherwise(F.col("sha")).alias("digest")).distinct()
+    new = d.where("startswith(sha, '0')").select(places[0].alias("path"), F.lit("new").alias("digest"))
+    plan = journal.undo_plan(d.select(F.inline(F.array(*hops))), there.union(new))
+    return plan.select(F.floor(F.col("seq") / 3).alias("doc_id"), "current", "original", "moves", "status")
+
+
+@query(
+    "metric_payloads",
+    "SELECT event_type || '.' || user_id::VARCHAR AS name, count(*) AS value, true AS fits FROM events GROUP BY event_type, user_id",
+)
+def metric_payloads(spark, sf_dir):
+    """Events of each user and type as counters, exported in payloads of 16 kB and read back from them."""
+    totals = table(spark, sf_dir, "events").groupBy(F.concat("event_type", F.lit("."), F.col("user_id").cast("string")).alias("name")).agg(F.count("*").alias("value"))
+    made = render.otlp_payloads(totals, "events", 1 << 14)
+    kind = "struct<resourceMetrics:array<struct<scopeMetrics:array<struct<metrics:array<struct<name:string,sum:struct<dataPoints:array<struct<asInt:string>>>>>>>>>>"
+    metrics = F.from_json("payload", kind)["resourceMetrics"][0]["scopeMetrics"][0]["metrics"]
+    one = made.select((F.octet_length("payload") <= 1 << 14).alias("fits"), F.explode(metrics).alias("m"))
+    return one.select(F.col("m.name").alias("name"), F.col("m.sum.dataPoints")[0]["asInt"].cast("long").alias("value"), "fits")
