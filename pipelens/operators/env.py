@@ -54,15 +54,18 @@ def cloak_counts(cloaked: DataFrame) -> DataFrame:
 def merge(existing: DataFrame, proposed: DataFrame) -> DataFrame:
     """(line_no, action, line): a proposed file (line_no, line) against the existing one.
 
-    Tokens are put back to what they stand for, or to the key's own secret;
-    placeholders do not replace a secret; other new keys are added and other
+    Tokens are put back to what they stand for, or to the key's own secret; of
+    several values with one token (it has eight digits) the one of the same key
+    counts, else the last. Placeholders do not replace a secret; other new keys are added and other
     new values taken. Keys that the proposal lacks are not carried over. Of a
     key that exists twice the last line counts.
     """
     old = entries(existing).where("NOT is_comment AND key <> ''")
     by_key = old.groupBy("key").agg(F.max_by("value", "line_no").alias("o_value")).withColumn("o_secret", risk(F.col("key"), F.col("o_value")) != "LOW")
-    tokens = old.where(risk(F.col("key"), F.col("value")) != "LOW").select(cloak_token(F.col("key"), F.col("value")).alias("token"), F.col("value").alias("t_value")).distinct()
-    new = entries(proposed).join(by_key, "key", "left").join(tokens, F.col("value") == F.col("token"), "left")
+    secrets = old.where(risk(F.col("key"), F.col("value")) != "LOW").withColumn("token", cloak_token(F.col("key"), F.col("value")))
+    own = secrets.groupBy("key", F.col("token").alias("value")).agg(F.max_by("value", "line_no").alias("own_value"))
+    tokens = secrets.groupBy(F.col("token").alias("value")).agg(F.max_by("value", "line_no").alias("any_value"))
+    new = entries(proposed).join(by_key.hint("merge"), "key", "left").join(own.hint("merge"), ["key", "value"], "left").join(tokens.hint("merge"), "value", "left").withColumn("t_value", F.coalesce("own_value", "any_value"))
     is_token, secret = F.col("value").startswith(TOKEN_PREFIX), F.coalesce("o_secret", F.lit(False))
     action = (
         F.when(F.col("is_comment"), "comment")
