@@ -39,12 +39,13 @@ def shard_path(digest: Column) -> Column:
     return F.concat(F.substring(digest, 1, 2), F.lit("/"), F.substring(digest, F.lit(3), F.length(digest)))
 
 
-def format_bytes(n: Column) -> Column:
-    """Powers of 1024 with one decimal; below 1024 plain bytes."""
-    out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for k, unit in enumerate("KMGTPE", 1):
-        at = F.format_string(f"%.1f {unit}B", n / F.lit(float(1024**k)))
-        out = out.when(n < 1024 ** (k + 1), at) if k < 6 else out.otherwise(at)
+def format_bytes(n: Column, units: str = "BKMGTPE") -> Column:
+    """Powers of 1024 with one decimal, halves to even; plain bytes below 1024. ``units`` names the neighbouring units that are used, others go by the nearest."""
+    out = n.cast("string")
+    for unit in units:
+        k = "BKMGTPE".index(unit)
+        at = F.format_string(f"%.1f {unit}B", F.bround(n / F.lit(float(1024**k)), 1)) if k else F.concat(n.cast("string"), F.lit(" B"))
+        out = at if unit == units[0] else F.when(n < 1024**k, out).otherwise(at)
     return out
 
 

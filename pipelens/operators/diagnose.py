@@ -92,11 +92,11 @@ def doctor(blobs: DataFrame, runs: DataFrame) -> DataFrame:
     return row(cache, "cache_entries", F.col("n"), ok(F.col("n") > 0)).union(row(cache, "cache_bytes", F.col("bytes"), F.lit("OK"))).union(row(failed, "failed_runs", F.col("n"), ok(F.col("n") == 0)))
 
 
-def doctor_report(tasks: DataFrame | None, blobs: DataFrame, git: bool, system: str) -> DataFrame:
+def doctor_report(tasks: DataFrame | None, blobs: DataFrame, git: bool, system: str, units: str = "BKMGTPE") -> DataFrame:
     """(category, status, message) of the whole check-up; ``tasks`` is None where the definition can't be read.
 
     The graph fails on undefined dependencies and cycles and is left out
-    without a definition; an empty cache is fine.
+    without a definition; an empty cache is fine, and its size is told in ``units``.
     """
     spark = blobs.sparkSession
     row = lambda df, name, status, message: df.select(F.lit(name).alias("category"), status.alias("status"), message.alias("message"))
@@ -110,7 +110,7 @@ def doctor_report(tasks: DataFrame | None, blobs: DataFrame, git: bool, system:
         broken = (F.col("ghosts") + F.col("cycle") + F.col("own")) > 0
         out = out.union(row(bad, "Dependency Graph", F.when(broken, fail).otherwise(ok), F.when(broken, F.format_string("%d undefined dependencies, %d tasks on cycles", "ghosts", F.col("cycle") + F.col("own"))).otherwise("no cycle and no undefined dependency")))
     cache = blobs.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
-    out = out.union(row(cache, "Cache Storage", ok, F.when(F.col("n") > 0, F.format_string("%d entries, %s", "n", format_bytes(F.col("bytes")))).otherwise("empty until the first run")))
+    out = out.union(row(cache, "Cache Storage", ok, F.when(F.col("n") > 0, F.format_string("%d entries, %s", "n", format_bytes(F.col("bytes"), units))).otherwise("empty until the first run")))
     out = out.union(row(one, "Version Control", F.lit("OK" if git else "WARN"), F.lit("changed files can be asked for" if git else "no repository, so changed files can't be asked for")))
     return out.union(row(one, "System Resources", ok, F.lit(system)))
 
