@@ -24,6 +24,11 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted, never broadcast: the size planned for it, from columns and checkpoints, can be far too small."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder."""
     shared_dir(df.sparkSession)
