@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from pipelens.plans.lineage import cut
+from pipelens.plans.lineage import cut, large
 from pipelens.sources.archives import _opened
 
 #: Bytes of a block, children of a node, levels above the blocks (256**4 blocks, 4 PB), and bytes that a task digests.
 BLOCK, FANOUT, LEVELS, TASK_BYTES = 1 << 20, 256, 4, 64 << 20
+#: Bytes of a row of a digest tree, about.
+NODE_BYTES = 128
 
 
 # ---------------------------------------------------------------- reading
@@ -110,6 +112,11 @@ def block_at(wanted: DataFrame, root: str, block: int = BLOCK) -> DataFrame:
 # ---------------------------------------------------------------- trees
 
 
+def _parts(spark: SparkSession, size: int) -> int:
+    """Parts for ``size`` bytes to be exchanged, so that what a task reads does not grow with the input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
 def digest_tree(blocks: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """(path, level, node, digest) of the blocks (level 0) and ``levels`` levels above them; the top has one node for each path.
 
@@ -120,9 +127,10 @@ def digest_tree(blocks: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -
     """
     now = cut(blocks.select("path", F.lit(0).alias("level"), F.col("block").alias("node"), F.concat_ws(":", "size", "sha256").alias("digest")))
     out = now
+    parts = _parts(blocks.sparkSession, now.count() * NODE_BYTES)
     for level in range(1, levels + 1):
         children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda c: c["digest"]), ",")
-        now = now.groupBy("path", F.floor(F.col("node") / fanout).alias("up")).agg(F.sha2(children.cast("binary"), 256).alias("digest"))
+        now = now.withColumn("up", F.floor(F.col("node") / fanout)).repartition(max(1, parts // fanout ** (level - 1)), "path", "up").groupBy("path", "up").agg(F.sha2(children.cast("binary"), 256).alias("digest"))
         now = cut(now.select("path", F.lit(level).alias("level"), F.col("up").alias("node"), "digest"))
         out = out.union(now)
     return out
@@ -174,7 +182,10 @@ def value_differences(one: DataFrame, other: DataFrame, block: int = BLOCK, fano
     a, b = (digest_tree(value_blocks(t, block), fanout) for t in (one, other))
     piece = lambda t, c: t.select("path", F.col("content").cast("binary").alias(c))
     first = first_blocks(a, b, fanout)
-    both = first.join(piece(one, "x"), "path", "left").join(piece(other, "y"), "path", "left")
+    parts = _parts(one.sparkSession, a.union(b).where("level = 0").count() * block)
+    both = first.repartition(parts, "path")
+    for side in (piece(one, "x"), piece(other, "y")):
+        both = both.join(large(side.repartition(parts, "path")), "path", "left")
     part = lambda c: F.substring(F.col(c), (F.col("block") * block + 1).cast("int"), F.lit(block))
     return both.select("path", byte_offset(F.col("block"), part("x"), part("y"), block).alias("offset"))
 
