@@ -41,8 +41,8 @@ HUB = 256
 MANY, MOST_BUSY = 256, 200_000
 #: Buckets of text digests: what is known of a bucket is broadcast, so that most texts need not move.
 BUCKETS = 1 << 20
-#: Texts whose shingles tell which are common, about; how many of those texts a common one is in, at least; most common shingles.
-SAMPLE_TEXTS, COMMON_TEXTS, MOST_COMMON = 8_000, 3, 100_000
+#: Texts whose shingles tell which are common: this share, or about this many, if that is more; how many of those texts a common one is in, at least; most common shingles.
+SAMPLE_SHARE, SAMPLE_TEXTS, COMMON_TEXTS, MOST_COMMON = 1 / 8, 8_000, 3, 200_000
 #: Pairs of one shingle's texts that a task makes at a time, about.
 PAIRS = 1 << 19
 #: Edges that a task reduces to stars, about.
@@ -537,22 +537,28 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def common_shingles(docs: DataFrame, k: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that are frequent in a sample of the different texts, ascending, and their counts."""
-    share = min(1.0, SAMPLE_TEXTS / max(1, docs.count()))
+    """Hashes of shingles that are frequent in a sample of the different texts, ascending, and their counts.
+
+    The sample is a constant share of a large table: so a shingle counts as
+    common from the same number of texts on, whatever the size of the table,
+    and the pairs of those that do not grow no faster than the texts. It is
+    counted by shingle, in as many tasks as there are; the most frequent ones
+    come back, at most ``MOST_COMMON``.
+    """
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_TEXTS / max(1, docs.count())))
     hashed = docs.select(F.col(text).alias("text"), F.xxhash64(_normal(text)).alias("key"))
     sample = hashed.where(F.pmod("key", F.lit(1 << 20)) < round(share * (1 << 20))).dropDuplicates(["key"]).select("text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [_shingles(t, k) for batch in slices(batches) for t in texts_of(batch)]
-        if found:
-            e, n = np.unique(np.concatenate(found), return_counts=True)
-            most = np.argsort(-n, kind="stable")[:MOST_COMMON]
-            most = most[n[most] >= COMMON_TEXTS]
-            yield pa.RecordBatch.from_arrays([pa.array(e[most].view(np.int64)), pa.array(n[most])], ["e", "n"])
-            trim()
-
-    rows = sample.repartition(1).mapInArrow(counted, "e long, n long").collect()
-    e, n = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[1] for r in rows], dtype=np.int64)
+        for batch in slices(batches):
+            e, n = np.unique(np.concatenate([_shingles(t, k) for t in texts_of(batch)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(n)], ["e", "n"])
+        trim()
+
+    often = sample.mapInArrow(counted, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_TEXTS)
+    rows = often.orderBy(F.desc("n"), "e").limit(MOST_COMMON).toArrow()
+    e, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("e", "n"))
+    e = e.view(np.uint64)
     order = np.argsort(e)
     return e[order], n[order]
 

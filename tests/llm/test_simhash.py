@@ -204,3 +204,17 @@ def test_components_do_not_depend_on_the_tasks(spark, monkeypatch, most):
     for x in sorted(touched):
         least.setdefault(of[x], x)
     assert got == {x: least[of[x]] for x in touched}
+
+
+def test_what_is_common_does_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    """Passages in one of twelve texts each are known as common, however few texts a small table is judged by."""
+    monkeypatch.setattr(simhash, "SAMPLE_TEXTS", 20)
+    rng = random.Random(12)
+    passages = [" ".join(f"p{g}w{i}" for i in range(12)) for g in range(10)]
+    rows = [(i, " ".join(f"t{rng.randrange(10**9)}" for _ in range(20)) + " " + (passages[i % 12] if i % 12 < 10 else "")) for i in range(1600)]
+    e, n = simhash.common_shingles(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    held = dict(zip(e.tolist(), n.tolist()))
+    want = {int(x) for p in passages for x in simhash._shingles(p.encode(), 5)}
+    assert want == set(held) and list(held) == sorted(held) and all(c >= simhash.COMMON_TEXTS for c in held.values())
+    none = simhash.common_shingles(spark.createDataFrame([], "doc_id long, text string"), 5)
+    assert len(none[0]) == len(none[1]) == 0
